@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from parley.llm.languageid import op9_language_id
+from parley.llm.ngramjoin import op3_ngram_jaccard
 from parley.llm.qualityclassifier import op5_quality_classifier
 from parley.llm.qualityrules import op10_quality_rules
 from parley.llm.secrets import op8_secrets
@@ -10,6 +11,7 @@ from parley.llm.urlfilter import op2_url_filter
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_quality_classifier": op5_quality_classifier,
     "op8_secrets": op8_secrets,
     "op9_language_id": op9_language_id,
