@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from parley.llm.bpe import op7_bpe
 from parley.llm.languageid import op9_language_id
 from parley.llm.ngramjoin import op3_ngram_jaccard
+from parley.llm.packing import op1_packing
 from parley.llm.qualityclassifier import op5_quality_classifier
 from parley.llm.qualityrules import op10_quality_rules
 from parley.llm.secrets import op8_secrets
 from parley.llm.urlfilter import op2_url_filter
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_quality_classifier": op5_quality_classifier,
+    "op7_bpe": op7_bpe,
     "op8_secrets": op8_secrets,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
