@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from parley.llm.bpe import op7_bpe
 from parley.llm.languageid import op9_language_id
+from parley.llm.nearest import op4_nearest
 from parley.llm.ngramjoin import op3_ngram_jaccard
 from parley.llm.packing import op1_packing
 from parley.llm.qualityclassifier import op5_quality_classifier
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_nearest": op4_nearest,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_bpe": op7_bpe,
     "op8_secrets": op8_secrets,
