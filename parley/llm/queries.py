@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from parley.llm.bpe import op7_bpe
+from parley.llm.htmltext import op6_html_text
 from parley.llm.languageid import op9_language_id
 from parley.llm.nearest import op4_nearest
 from parley.llm.ngramjoin import op3_ngram_jaccard
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_nearest": op4_nearest,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_html_text": op6_html_text,
     "op7_bpe": op7_bpe,
     "op8_secrets": op8_secrets,
     "op9_language_id": op9_language_id,
