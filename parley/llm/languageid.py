@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import chunks, held_out, strings, table
+from parley.llm.common import chunks, filtered, held_out, strings, table
 from parley.llm.textkernel import CODES, LOWER, runs, span_hashes
 
 #: Documents that the probabilities are fitted on, taken in the order of a hash of the id.
@@ -204,35 +204,49 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, path: str | None = None) -> M
     return fit(counts, path or vocabulary_path(), shares)
 
 
+def predicted(column: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of each text of a column."""
+    names = np.array([*(model.languages if model else ()), "und"], object)
+    texts = strings(column)
+    best, p = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
+    for lo, hi, data, offsets in chunks(texts, 2 << 20) if model else ():
+        ascii_letter = ((data | 32) >= 97) & ((data | 32) <= 122) & (data < 128)
+        sums = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(ascii_letter, out=sums[1:])
+        ok = sums[offsets[1:]] > sums[offsets[:-1]]
+        for i in np.flatnonzero(~ok & (offsets[1:] > offsets[:-1])):
+            ok[i] = any(map(str.isalpha, texts[lo + int(i)].as_py()))
+        logs = model.likelihoods(data, offsets)
+        logs -= logs.max(1, keepdims=True)
+        np.exp(logs, out=logs)
+        best[lo:hi][ok], p[lo:hi][ok] = logs.argmax(1)[ok], (1 / logs.sum(1))[ok]
+    return names[best], p
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred and score for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        names = np.array([*(model.languages if model else ()), "und"], object)
         for batch in batches:
-            texts = strings(batch.column("text"))
-            for lo, hi, data, offsets in chunks(texts, 2 << 20):
-                n = hi - lo
-                best, p = np.full(n, len(names) - 1), np.zeros(n)
-                if model:
-                    ascii_letter = ((data | 32) >= 97) & ((data | 32) <= 122) & (data < 128)
-                    sums = np.zeros(len(data) + 1, np.int64)
-                    np.cumsum(ascii_letter, out=sums[1:])
-                    ok = sums[offsets[1:]] > sums[offsets[:-1]]
-                    for i in np.flatnonzero(~ok & (offsets[1:] > offsets[:-1])):
-                        ok[i] = any(map(str.isalpha, texts[lo + int(i)].as_py()))
-                    logs = model.likelihoods(data, offsets)
-                    logs -= logs.max(1, keepdims=True)
-                    np.exp(logs, out=logs)
-                    best[ok], p[ok] = logs.argmax(1)[ok], (1 / logs.sum(1))[ok]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), pa.array(names[best], pa.string()), pa.array(p)], ["doc_id", "lang_pred", "score"])
+            names, p = predicted(batch.column("text"), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(p)], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+    """The rows, all their columns, whose text has a language with a score of `least` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(texts: pa.Array) -> np.ndarray:
+        names, p = predicted(texts, shared.value)
+        return (names != "und") & (p >= least)
+
+    return filtered(docs, keep)
+
+
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict(docs, train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import chunks, held_out, table
+from parley.llm.common import chunks, filtered, held_out, table
 from parley.llm.textkernel import CODES, LOWER, SPACE, U, mix, shingles, span_hashes, words
 
 #: Labelled rows that the model is fitted on, taken in the order of a hash of the id.
@@ -157,20 +157,31 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return fit([flat[at[i] : at[i + 1]] for i in order], found.column("y").to_numpy()[order].astype(float))
 
 
+def scores(column: pa.Array, model: Model) -> np.ndarray:
+    """The score of each text of a column."""
+    out = [model.score(*features(data, offsets), hi - lo) for lo, hi, data, offsets in chunks(column)]
+    return np.concatenate(out) if out else np.zeros(0)
+
+
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score and predicted for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in chunks(batch.column("text")):
-                p = shared.value.score(*features(data, offsets), hi - lo)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+            p = scores(batch.column("text"), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, all their columns, whose text scores `threshold` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return filtered(docs, lambda texts: scores(texts, shared.value) >= threshold)
+
+
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = score(docs, train(docs, table(spark, sf_dir, "labels")))

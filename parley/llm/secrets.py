@@ -91,6 +91,40 @@ def ledger_of(versions: DataFrame, rules: str = RULES_VERSION) -> DataFrame:
     return addressed(versions).select("sha").distinct().withColumn("rules", F.lit(rules))
 
 
+def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
+    """The rows with every finding's span replaced in text and n_chars (where there is one) counted anew."""
+    names = docs.columns
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    found = scan(docs).select("sha", "spans")
+    at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    marked = docs.withColumn("__sha", sha).join(found.withColumnsRenamed({"sha": "__sha", "spans": "__spans"}), "__sha", "left")
+
+    def clean(text: str, spans: str) -> str:
+        out, end = [], 0
+        for start, stop in (tuple(map(int, x.split(":")[1:])) for x in spans.split(",")):
+            if start >= end:
+                out += [text[end:start], mask]
+            end = max(end, stop)
+        return "".join([*out, text[end:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, spans = list(batch.columns[:-1]), batch.columns[-1].to_pylist()
+            if any(spans):
+                texts = columns[at].to_pylist()
+                for i, s in enumerate(spans):
+                    if s:
+                        texts[i] = clean(texts[i], s)
+                if chars is not None:
+                    sizes = columns[chars].to_pylist()
+                    sizes = [len(t) if s else n for t, s, n in zip(texts, spans, sizes, strict=True)]
+                    columns[chars] = pa.array(sizes, columns[chars].type)
+                columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return marked.select(*(F.col(f"`{n}`") for n in names), "__spans").mapInArrow(run, docs.schema)
+
+
 def op8_secrets(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
