@@ -51,7 +51,7 @@ class Dictionary:
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Dictionary:
         """A dictionary file at any path that Spark reads."""
-        rows = spark.read.option("wholetext", True).text(path).limit(1).collect()
+        rows = spark.read.text(path, wholetext=True).limit(1).collect()
         return cls.parse(rows[0][0] if rows else "")
 
     def only(self, categories: Iterable[str]) -> Dictionary:

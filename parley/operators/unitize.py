@@ -87,14 +87,21 @@ def without_overlaps(segments: DataFrame) -> DataFrame:
 
 
 def unitized(rows: DataFrame, mode: str = "approx", merge_gap: float = 0.0, bracket_mode: str = "unwrap", strip_tags: bool = True) -> DataFrame:
-    """Turns from rows (conv_id, turn, speaker, text, start, end); `off`, or no times, only cleans the text."""
+    """Turns from rows (conv_id, turn, speaker, text, start, end); `off`, or no times, only cleans the text.
+
+    Conversations without any times keep their rows; turns of the others are numbered anew, in time order.
+    """
     if not {"text", "speaker"} <= set(rows.columns):
         return rows
     clean = cleaned(rows, bracket_mode, strip_tags)
     if mode == "off" or not {"start", "end"} <= set(rows.columns):
         return clean
     parts = clean.select("conv_id", "turn", "speaker", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.col("text_clean").alias("text"))
-    return merged_neighbours(without_overlaps(merged_neighbours(parts, merge_gap)), merge_gap).orderBy("conv_id", "start", "end")
+    parts = parts.withColumn("timed", F.count(F.col("start") + F.col("end")).over(Window.partitionBy("conv_id")) > 0)
+    whole = merged_neighbours(without_overlaps(merged_neighbours(parts.where("timed"), merge_gap)), merge_gap)
+    order = Window.partitionBy("conv_id").orderBy("start", "end", "turn")  # a segment's pieces have its number: count anew
+    whole = whole.withColumn("turn", (F.row_number().over(order) - 1).cast("long"))
+    return whole.unionByName(parts.where("not timed").drop("timed"))
 
 
 def report(rows: DataFrame, done: DataFrame) -> DataFrame:

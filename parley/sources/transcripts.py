@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -13,30 +13,28 @@ from parley.schema import CSV_TURNS
 PREFERENCE_NAMES = {"女性ID": "female_id", "男性ID": "male_id", "女性の交換意欲": "want_female", "男性の交換意欲": "want_male"}
 
 
+MOST_COLUMNS = 64
+
+
 def read_conversations(spark: SparkSession, data_dir: str, schema: str | StructType = CSV_TURNS) -> DataFrame:
     """All *.csv directly under a folder: file_path, file_basename, turn, ids, round and the file's columns.
 
-    Files are read by header name; columns that a file lacks are null.  A turn's number is its row's
-    place in its file, which is read whole by one task so that lines keep their order.  Files without
-    text or speaker give no rows.
+    Columns go by each file's own header; those that a file lacks are null, and so are values of another
+    type.  A file is read by one task, so its lines keep their order, and a turn's number is its row's
+    place.  Files without text or speaker give no rows.
     """
     wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    lines = spark.read.option("pathGlobFilter", "*.csv").option("wholetext", True).text(data_dir).select(F.col("_metadata.file_path").alias("file_path"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    header = F.from_csv(F.substring_index(F.translate("value", "\r", ""), "\n", 1), _header_schema(64))
-    names_ = F.transform(F.array(*(header[f"c{k}"] for k in range(64))), lambda x: F.lower(F.trim(x)))
-    rows = F.filter(F.split(F.regexp_replace("value", r"\r\n?", "\n"), r"\n(?=(?:[^\"]*\"[^\"]*\")*[^\"]*\z)"), lambda x: F.trim(x) != "")
-    cells = lines.select("file_path", names_.alias("names"), F.posexplode(rows).alias("at", "line")).where("at > 0")
-    values = F.from_csv("line", _header_schema(64), {"multiLine": "true"})
-    cells = cells.select("file_path", "names", (F.col("at") - 1).cast("long").alias("turn"), F.array(*(values[f"c{k}"] for k in range(64))).alias("v"))
-    cells = cells.where(F.array_contains("names", "text") & F.array_contains("names", "speaker"))
-    picked = [F.when(F.array_position("names", f.name) > 0, F.element_at("v", F.greatest(F.array_position("names", f.name).cast("int"), F.lit(1)))).try_cast(f.dataType).alias(f.name) for f in wanted]
+    cells = ", ".join(f"c{k} string" for k in range(MOST_COLUMNS))
+    rows = spark.read.schema(cells).csv(data_dir, pathGlobFilter="*.csv", multiLine=True, lineSep="\n", escape='"', mode="PERMISSIVE")
+    rows = rows.select(F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("at"), F.array(*(F.rtrim(F.col(f"c{k}"), F.lit("\r")) for k in range(MOST_COLUMNS))).alias("v"))
+    order = Window.partitionBy("file_path").orderBy("at")
+    rows = rows.withColumns({"header": F.first("v").over(order), "turn": (F.row_number().over(order) - 2).cast("long")}).where("turn >= 0")
+    names_ = F.transform("header", lambda x: F.lower(F.regexp_replace(x, r"(?U)^[\s\uFEFF]+|\s+$", "")))
+    rows = rows.withColumn("names", names_).where(F.array_contains("names", "text") & F.array_contains("names", "speaker"))
+    picked = [F.get("v", F.nullif(F.array_position("names", f.name), F.lit(0)).cast("int") - 1).try_cast(f.dataType).alias(f.name) for f in wanted]
     base = F.element_at(F.split("file_path", "/"), -1)
     f, m, k = id_in_name(base, "F"), id_in_name(base, "M"), round_number(base)
-    return cells.select("file_path", base.alias("file_basename"), "turn", f.alias("female_id"), m.alias("male_id"), dyad_id(f, m).alias("dyad_id"), k.alias("round_num"), round_label(k).alias("round_label"), *picked)
-
-
-def _header_schema(n: int) -> str:
-    return ", ".join(f"c{k} string" for k in range(n))
+    return rows.select("file_path", base.alias("file_basename"), "turn", f.alias("female_id"), m.alias("male_id"), dyad_id(f, m).alias("dyad_id"), k.alias("round_num"), round_label(k).alias("round_label"), *picked)
 
 
 def of_round(conversations: DataFrame, round_number: int | None = None) -> DataFrame:
