@@ -37,12 +37,6 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A copy in the shared folder, with its lineage cut; a lost executor doesn't lose it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def saved(df: DataFrame) -> DataFrame:
     """Written as Parquet to the shared folder and read again: a columnar cut of the lineage."""
     spark = df.sparkSession

@@ -138,7 +138,7 @@ def extract(html: str | None, weights: dict[str, float] | None = None) -> str:
             if depth is not None and not (name in INLINE and any(x not in INLINE for x, _ in stack[depth + 1 :])):
                 shut -= sum(bad for _, bad in stack[depth:])
                 del stack[depth:]
-        runs.append((weights.get(name, unknown) if kind != "none" else 0.0, None, block and kind != "none"))
+        runs.append((weights.get(name, unknown) if kind != "none" else 0.0, " " if name == "br" else None, block and kind != "none"))
     best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
     for i, (score, _, _) in enumerate(runs):
         if total < 0:
@@ -153,8 +153,6 @@ def extract(html: str | None, weights: dict[str, float] | None = None) -> str:
         elif ends:
             blocks.append("".join(held))
             held = []
-        else:
-            held.append("")
     blocks.append("".join(held))
     return "\n\n".join(x for x in (" ".join(unescape(b).split()) for b in blocks) if x)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import chunks, held_out, table
-from parley.llm.textkernel import SPACE, U, mix, shingles, span_hashes, words
+from parley.llm.textkernel import CODES, SPACE, U, mix, shingles, span_hashes, words
 
 #: Labelled rows that the trees are fitted on, taken in the order of a hash of the id.
 TRAIN_ROWS = 20_000
@@ -28,6 +28,8 @@ TRAIN_ROWS = 20_000
 KEEP_FROM = 0.3
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Features and the direction in which a score may go as they grow (0: either).
 FEATURES = {"log_words": 0, "word_length": 0, "symbols": -1, "dup_lines": -1, "repeat_words": -1, "upper": -1, "digits": 0, "marks": -1, "line_words": 0, "repeats_next": -1, "odd_words": -1}
@@ -50,8 +52,6 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def statistics(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(base counts, features) of each text of a chunk, a row per text."""
-    from parley.llm.textkernel import CODES
-
     n, codes = len(offsets) - 1, CODES[data]
     starts, ends, doc = words(data, offsets)
     inside = ~SPACE[data]
@@ -88,12 +88,13 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     base = np.stack([n_words, chars, symbols, dup_lines, repeat_words], 1)
     upper = per_text((data >= 65) & (data <= 90), offsets)
     digits = per_text((data >= 48) & (data <= 57), offsets)
-    letters = per_text(((data | 32) >= 97) & ((data | 32) <= 122) & (data < 128) | (data >= 128), offsets)
+    letter = LETTER[data]
+    letters = per_text(letter, offsets)
     follow = np.zeros(len(doc), bool)
     follow[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
     follow = np.bincount(doc[follow], minlength=n)
     bare = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122) & (data < 128) | (data >= 128), out=bare[1:])
+    np.cumsum(letter, out=bare[1:])
     odd = np.bincount(doc[bare[ends] == bare[starts]], minlength=n)
     w, c = np.maximum(n_words, 1), np.maximum(chars, 1)
     marks = per_text(inside, offsets) - letters - digits
