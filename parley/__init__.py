@@ -1,0 +1,7 @@
+"""Conversation style coordination on PySpark: dictionaries, measures, repair of transcripts, whole studies."""
+
+from parley.functions.dictionary import Dictionary
+from parley.functions.scoring import responsiveness, similarity
+from parley.operators.features import match_tokens, token_counts, turn_counts
+
+__all__ = ["Dictionary", "match_tokens", "responsiveness", "similarity", "token_counts", "turn_counts"]

@@ -39,14 +39,16 @@ def long_counts(counts: DataFrame, keys: list[str], categories: Iterable[str]) -
     return out.select(*keys, "category", "n", "total", rate(F.col("n"), F.col("total")).alias("rate"))
 
 
-def match_tokens(words: DataFrame, dictionary: Dictionary, categories: Iterable[str]) -> DataFrame:
+def match_tokens(words: DataFrame, dictionary: Dictionary, categories: Iterable[str], fold_case: bool = True) -> DataFrame:
     """words (word) -> (word, category), distinct: each distinct word against the dictionary once.
 
     Exact patterns are a hash join; prefixes are looked up among the word's own prefixes of the lengths
     that occur; only patterns with a `*` elsewhere are tried one by one.  The dictionary's size is checked.
+    fold_case lowers the patterns, as the default tokeniser lowers its tokens.
     """
     spark = words.sparkSession
-    own = dictionary.only(categories).lowered()
+    own = dictionary.only(categories)
+    own = own.lowered() if fold_case else own
     table = F.broadcast(own.table(spark))
     distinct = words.select("word").where("word is not null").distinct()
     exact = distinct.join(table.where("kind = 'exact'"), distinct.word == F.col("literal")).select("word", "category")
@@ -58,9 +60,9 @@ def match_tokens(words: DataFrame, dictionary: Dictionary, categories: Iterable[
     return exact.unionByName(prefix).unionByName(other).distinct()
 
 
-def token_counts(tokenised: DataFrame, keys: list[str], dictionary: Dictionary, categories: Iterable[str], column: str = "tokens") -> DataFrame:
+def token_counts(tokenised: DataFrame, keys: list[str], dictionary: Dictionary, categories: Iterable[str], column: str = "tokens", fold_case: bool = True) -> DataFrame:
     """Counts of any tokeniser's tokens: rows with an array column -> keys, category, n (zeros left out)."""
     words = tokenised.select(*keys, F.explode(column).alias("word"))
     often = words.groupBy(*keys, "word").count()
-    found = often.join(match_tokens(often, dictionary, categories), "word")
+    found = often.join(match_tokens(often, dictionary, categories, fold_case), "word")
     return found.groupBy(*keys, "category").agg(F.sum("count").alias("n"))

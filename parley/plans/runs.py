@@ -53,7 +53,7 @@ def meta_of(conversations: DataFrame) -> DataFrame:
 def lsm_tables(conversations: DataFrame, dictionary: Dictionary, categories: Sequence[str] = CATEGORIES, minutes: float | None = None, dictionary_name: str | None = None) -> dict[str, DataFrame]:
     """lsm_results and, with a width, lsm_temporal: a wide record for each conversation (and window)."""
     own = dictionary.only(categories)
-    counts = features.turn_counts(as_turns(conversations).repartition("conv_id"), own, own.labels)
+    counts = features.turn_counts(as_turns(conversations), own, own.labels).drop("text")
     meta = meta_of(conversations)
     timed = as_turns(conversations).groupBy("conv_id").agg((F.count("start") > 0).alias("has_timestamps"))
     constant = {"categories_order": F.lit("|".join(own.labels)), "dic_filename": F.lit(dictionary_name)}
@@ -113,7 +113,7 @@ def rlsm_tables(conversations: DataFrame, dictionary: Dictionary, o: Options = O
         before = rows
         rows = unitize.unitized(rows, "approx", o.merge_gap, o.bracket_mode, o.strip_tags)
         reports = unitize.report(before, rows)
-    counts = features.turn_counts(rows.repartition("conv_id"), own, [*main, *micro]).drop("text").persist(StorageLevel.MEMORY_AND_DISK)
+    counts = features.turn_counts(rows, own, [*main, *micro]).drop("text").repartition("conv_id").persist(StorageLevel.MEMORY_AND_DISK)
     errors = responsiveness.validation_errors(counts, GENDERS)
     good = counts.join(errors.select("conv_id"), "conv_id", "left_anti")
     meta = meta_of(conversations)

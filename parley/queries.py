@@ -47,8 +47,13 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counts(spark: SparkSession, sf_dir: str, categories=CATS) -> DataFrame:
-    """Dealt out by conversation before anything is counted, so all levels share one shuffle."""
-    return features.turn_counts(turns(spark, sf_dir).repartition("conv_id"), SAMPLE, categories)
+    """Turns with counts instead of texts, which no shuffle then carries."""
+    return features.turn_counts(turns(spark, sf_dir), SAMPLE, categories).drop("text")
+
+
+def dealt(spark: SparkSession, sf_dir: str, categories=CATS) -> DataFrame:
+    """Counted turns dealt out by conversation: neighbours, windows and means then share one shuffle."""
+    return counts(spark, sf_dir, categories).repartition("conv_id")
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -183,24 +188,24 @@ SPINE = """indiv AS (SELECT conv_id, responder AS speaker, category, avg(rlsm) A
 
 @query(sql_counts() + f", {sql_pairs()} SELECT conv_id, pair_index, leader, responder, category, round(rlsm, 6) AS rlsm FROM pairs")
 def rlsm_pairs(spark, sf_dir):
-    return rounded(responsiveness.pairs_long(pairs_of(counts(spark, sf_dir)), CATS))
+    return rounded(responsiveness.pairs_long(pairs_of(dealt(spark, sf_dir)), CATS))
 
 
 @query(sql_counts() + f""", {sql_pairs()} SELECT conv_id, category, count(*) AS pairs_total, count(*) FILTER (a > 0 AND b > 0) AS pairs_valid, count(*) FILTER (a = 0 AND b = 0) AS pairs_both_zero,
  count(*) FILTER (a = 0 AND b > 0) AS pairs_leader_zero, count(*) FILTER (a > 0 AND b = 0) AS pairs_responder_zero, round(count(*) FILTER (a > 0 AND b > 0) / count(*), 6) AS coverage_ratio FROM pairs GROUP BY ALL""")
 def rlsm_pair_cases(spark, sf_dir):
-    return rounded(responsiveness.pair_cases(pairs_of(counts(spark, sf_dir)), CATS))
+    return rounded(responsiveness.pair_cases(pairs_of(dealt(spark, sf_dir)), CATS))
 
 
 @query(sql_counts() + f", {sql_pairs()} SELECT conv_id, speaker, category, round(rlsm, 6) AS rlsm FROM spine")
 def rlsm_individual(spark, sf_dir):
-    c = counts(spark, sf_dir)
+    c = dealt(spark, sf_dir)
     spine = responsiveness.individual_spine(c, responsiveness.individuals(pairs_of(c), CATS), CATS)
     return rounded(similarity.as_long(spine, ["conv_id", "speaker"], CATS, "rlsm", "rlsm"))
 
 
 def _dyads(spark, sf_dir, policy, categories=CATS):
-    c = counts(spark, sf_dir, categories)
+    c = dealt(spark, sf_dir, categories)
     return responsiveness.dyads(c, responsiveness.individuals(pairs_of(c, categories), categories), categories, policy)
 
 
@@ -218,7 +223,7 @@ def rlsm_dyad_nanmean(spark, sf_dir):
  ov AS (SELECT conv_id, avg(rlsm) FILTER (speaker = 'user') AS u, avg(rlsm) FILTER (speaker = 'assistant') AS a FROM spine GROUP BY conv_id)
  SELECT conv_id, round(f, 6) AS dyad_final, round(u, 6) AS user_overall, round(a, 6) AS assistant_overall FROM convs LEFT JOIN fin USING (conv_id) LEFT JOIN ov USING (conv_id)""")
 def rlsm_final(spark, sf_dir):
-    c = counts(spark, sf_dir)
+    c = dealt(spark, sf_dir)
     own = responsiveness.individuals(pairs_of(c), CATS)
     whole = responsiveness.overall(responsiveness.individual_spine(c, own, CATS), CATS)
     both = whole.groupBy("conv_id").agg(*(F.max(F.when(F.col("speaker") == s, F.col("overall"))).alias(f"{s}_overall") for s in SPEAKERS))
@@ -249,7 +254,7 @@ def _sql_summary() -> str:
 
 @query(sql_counts() + _sql_summary())
 def rlsm_summary_imputed(spark, sf_dir):
-    c = counts(spark, sf_dir)
+    c = dealt(spark, sf_dir)
     return rounded(responsiveness.summary(c, pairs_of(c), SPEAKERS, CATS))
 
 
@@ -281,7 +286,7 @@ def sql_rolling(include: bool = True, least: int = 3, min_tokens: int = 0) -> st
 
 
 def _rolling(spark, sf_dir, include=True, least=3, categories=CATS):
-    return rolling.rolling_rates(rolling.long_turns(counts(spark, sf_dir, categories), least), categories, include_current=include)
+    return rolling.rolling_rates(rolling.long_turns(dealt(spark, sf_dir, categories), least), categories, include_current=include)
 
 
 def _rates_long(rates: DataFrame) -> DataFrame:
@@ -307,7 +312,7 @@ def rw_pairs_min_tokens(spark, sf_dir):
 
 
 def _rw_final(spark, sf_dir, least=3):
-    c = counts(spark, sf_dir)
+    c = dealt(spark, sf_dir)
     pairs = rolling.rolling_pairs(_rolling(spark, sf_dir, least=least), CATS)
     out = responsiveness.dyads(c, responsiveness.individuals(pairs, CATS), CATS).select("conv_id", F.col("dyad_final").alias("rw_dyad_final_rlsm"))
     return rounded(out.join(rolling.scored_pairs(pairs, CATS), "conv_id", "left").withColumn("n_pair_turns", F.coalesce("n_pair_turns", F.lit(0).cast("long"))))
@@ -454,7 +459,7 @@ def lsm_talk_ratio(spark, sf_dir):
 
 def _rolling_results(spark, sf_dir):
     """Three runs of the rolling operator, one with other parameters for most conversations."""
-    c = counts(spark, sf_dir)
+    c = dealt(spark, sf_dir)
     out = None
     for window, include, tokens in ((8, True, 0), (4, True, 0), (8, False, 5)):
         rates = rolling.rolling_rates(rolling.long_turns(c), CATS, window, include)

@@ -198,3 +198,17 @@ def test_overlap_shares_text_by_time(spark):
     df = segments(spark, [("f", 0.0, 10.0, "abcdefghij"), ("m", 4.0, 6.0, "XY")])
     got = [(r.speaker, r.text) for r in unitize.unitized(df).orderBy("start").collect()]
     assert got == [("female", "abcd"), ("male", "XY"), ("female", "efghij")]
+
+
+def test_own_tokeniser(spark):
+    from parley.operators.tokenise import tokeniser, words_of
+
+    def factory():
+        return lambda text: [{"text": w, "lemma": w.rstrip("s") if w != "is" else "", "pos": "SYM" if w == "+" else "X", "is_punct": w == "."} for w in text.split()]
+
+    df = spark.createDataFrame([(1, "Dogs is . + cats"), (2, None)], "conv_id long, text string")
+    df = df.withColumn("tokens", words_of(tokeniser(factory)(F.col("text"))))
+    assert {r.conv_id: r.tokens for r in df.collect()} == {1: ["Dog", "is", "cat"], 2: []}
+    d = Dictionary.of({"ppron": ["Dog"], "ipron": ["c*"]})
+    got = features.token_counts(df, ["conv_id"], d, ["ppron", "ipron"], fold_case=False).collect()
+    assert {(r.conv_id, r.category, r.n) for r in got} == {(1, "ppron", 1), (1, "ipron", 1)}
