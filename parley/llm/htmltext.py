@@ -5,7 +5,7 @@ that labelled pages give (the log odds of standing inside the marked content, so
 emphasis tags cost little and list, link and section tags much); a linear scan finds the contiguous run
 with the largest sum.  Elements that can't be content (scripts, styles, navigation, asides, forms,
 and those whose class, id or role names them as menus, adverts, notices, comments and the like) hold
-no words: what stands in them scores like tags and is never part of the text.
+no words: each costs a little as a whole and is never part of the text.
 
 Defined cases: null or empty html gives an empty text; a page without words has none; a tag
 that the page's end cuts off is no text; repeated pages each get their row; extra columns are
@@ -50,6 +50,8 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 WORD_SCORE = 1.0
+#: What an element that can't be content costs as a whole, wherever it stands.
+SHUT_SCORE = -0.5
 
 #: Labelled pages: between <content> and </content> stands what a reader came for.
 LABELLED = (
@@ -119,15 +121,10 @@ def extract(html: str | None, weights: dict[str, float] | None = None) -> str:
     shut = 0  # how many open elements can't be content
     for kind, name, text in pieces(html):
         if kind == "text":
-            words = len(text.split())
-            if shut:
-                runs.append((-0.5 * words, None, False))
-            elif words:
-                runs.append((WORD_SCORE * words, text, False))
-            else:
-                runs.append((0.0, text, False))
+            if not shut:
+                runs.append((WORD_SCORE * len(text.split()), text, False))
             continue
-        block = name not in INLINE
+        block, held_shut = name not in INLINE, shut > 0
         if kind == "open" and name not in VOID:
             bad = name in BOILERPLATE or names_boilerplate(text) and name not in ("html", "body", "article", "main")
             if not text.rstrip().endswith("/") or name in BOILERPLATE:
@@ -138,7 +135,8 @@ def extract(html: str | None, weights: dict[str, float] | None = None) -> str:
             if depth is not None and not (name in INLINE and any(x not in INLINE for x, _ in stack[depth + 1 :])):
                 shut -= sum(bad for _, bad in stack[depth:])
                 del stack[depth:]
-        runs.append((weights.get(name, unknown) if kind != "none" else 0.0, " " if name == "br" else None, block and kind != "none"))
+        score = 0.0 if kind == "none" or held_shut else SHUT_SCORE if shut else weights.get(name, unknown)
+        runs.append((score, " " if name == "br" else None, block and kind != "none"))
     best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
     for i, (score, _, _) in enumerate(runs):
         if total < 0:
