@@ -51,7 +51,7 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\
 NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 WORD_SCORE = 1.0
 #: What an element that can't be content costs as a whole, wherever it stands.
-SHUT_SCORE = -0.5
+SHUT_SCORE = -0.2
 
 #: Labelled pages: between <content> and </content> stands what a reader came for.
 LABELLED = (
