@@ -162,17 +162,18 @@ class Best:
         rough = queries @ rows.T / norm_q[:, None] / norm_r
         rough[reps[:, None] == row_reps[None]] = -np.inf  # its own class comes by itself
         take = min(rough.shape[1], self.k + 3)
-        top = np.argpartition(-rough, take - 1, 1)[:, :take]
+        least = -np.partition(-rough, take - 1, 1)[:, take - 1] - 1e-9  # all rows that may tie with the last one taken stay
         for i, rep in enumerate(reps.tolist()):
             own = self.held.setdefault(rep, {})
             floor = min(own.values()) if len(own) >= self.k else -2.0
-            at = top[i][(rough[i, top[i]] >= floor - 1e-9) & (rough[i, top[i]] > -np.inf)]
+            at = np.flatnonzero((rough[i] >= max(least[i], floor - 1e-9)) & (rough[i] > -np.inf))
             if not len(at):
                 continue
             exact = (queries[i] * rows[at]).sum(1) / (norm_q[i] * norm_r[at])
-            for j, s in zip(at.tolist(), exact.tolist(), strict=True):
+            best = np.lexsort((row_reps[at], -exact))[:take]  # a class's least id stands for it among ties
+            for j, s in zip(at[best].tolist(), exact[best].tolist(), strict=True):
                 for x in ids[j][: self.k]:
-                    own[x] = s
+                    own[x] = max(s, own.get(x, s))
             if len(own) > self.k:
                 self.held[rep] = dict(sorted(own.items(), key=lambda x: (-x[1], x[0]))[: self.k])
 

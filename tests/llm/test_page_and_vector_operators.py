@@ -116,6 +116,25 @@ def test_nearest(spark):
     assert nearest.search(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_nearest_of_many_collinear_vectors(spark):
+    """Distinct vectors of one cosine: the smallest ids win, in the buckets and in the exact search of few rows."""
+    order = [(k * 37) % 101 for k in range(1, 101)]  # ids in no order of length
+    vectors = [(x, [3.0 * 2.0**i, 1.0 * 2.0**i, -2.0 * 2.0**i]) for i, x in zip(range(-50, 50), order, strict=True)]
+    df = spark.createDataFrame([*vectors, (200, [3.0, 1.5, -2.0]), (201, [-1.0, 0.0, 9.0])], "vec_id long, embedding array<double>").repartition(3)
+    for few in (df, df.where("vec_id <= 20 or vec_id = 200")):
+        got = sorted((x.rank, x.vec_id) for x in nearest.search(few, F.col("vec_id") == 200).collect())
+        assert got == [(k, k) for k in range(1, 6)]
+
+
+def test_best_keeps_ties_by_id():
+    r = np.random.default_rng(4)
+    rows = np.outer(2.0 ** np.arange(20), [1.0, 2.0, 3.0])
+    reps = r.permutation(20) + 1
+    best = nearest.Best(5)
+    best.add(np.array([99]), np.array([[3.0, 2.0, 2.0]]), rows, [[x] for x in reps.tolist()], reps)
+    assert best.rows().column("vec_id").to_pylist() == [1, 2, 3, 4, 5]
+
+
 PAGES = [
     ("<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a>one</a></li><li><a>two</a></li></ul></nav><div class='ad big'>buy this thing now please</div><article><h1>The title</h1><p>First <b>bold</b>  words &amp; more.<p>Second&nbsp;one<br>here.</p></article><footer>the end of it</footer></body></html>", "The title\n\nFirst bold words & more.\n\nSecond one here."),
     ("<body><div id=main><p>Some words of the text that matter here</p><script>var x='</p><p>not text</p>';</script><p>and others that follow</p></div><div class='user-comments'><p>a long comment by a reader that has very many words in it, more than the text</p></div></body>", "Some words of the text that matter here\n\nand others that follow"),
