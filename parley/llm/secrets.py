@@ -21,11 +21,18 @@ from parley.llm.common import strings, table
 
 # The base kinds in the order in which equal starts are listed, then what this module adds.
 BASE_KINDS = ("assign", "access", "hex")
-RULES_VERSION = "rules-1"
+RULES_VERSION = "rules-1.1"
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-MORE = {"pem": re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"), "github": re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")}
+# A private key: from its BEGIN line to the END line of the same label or, where the text has none before the next BEGIN,
+# over the lines of base64 that follow (and known header lines before them); the last line of a key may be short.
+_GAP, _LINE = r"""(?:[\s>\#*|"',]|\\[rn])""", r"(?:(?:\\r)?\\n|\r?\n)[ \t>\#*|]*"
+_HEADERS = rf"(?:{_LINE}(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\n\\]*)*"
+_BASE64 = rf"(?:(?:{_GAP}*[A-Za-z0-9+/=]{{16,}})+(?:(?:{_LINE}|[ \t]+)[A-Za-z0-9+/=]+)?(?:{_LINE}=[A-Za-z0-9+/]{{4}})?|{_LINE}[A-Za-z0-9+/=]+)?"
+_END = rf"(?:{_GAP}*-----END [A-Z0-9\x20]*PRIVATE KEY(?: BLOCK)?-----)?"
+PEM = rf"-----BEGIN (?P<label>(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?P=label)-----|{_HEADERS}{_BASE64}{_END})"
+MORE = {"pem": re.compile(PEM), "github": re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")}
 NEEDLES = ("passw", "secret", "token", "apikey", "api_key")
 FINDINGS = "sha string, n_assign long, n_access long, n_hex long, base string, spans string"
 
