@@ -5,7 +5,10 @@ that labelled pages give (the log odds of standing inside the marked content, so
 emphasis tags cost little and list, link and section tags much); a linear scan finds the contiguous run
 with the largest sum.  Elements that can't be content (scripts, styles, navigation, asides, forms,
 and those whose class, id or role names them as menus, adverts, notices, comments and the like) hold
-no words: each costs a little as a whole and is never part of the text.
+no words: each costs a little as a whole and is never part of the text.  Names after a part such as
+"no" or "with" say nothing.  A form or an element with such a class or id that wraps the page (no
+article or main is outside, and it holds one, or most words with few outside) is left to the scan; no run crosses
+its border.  So is a navigation or form without an end tag, by the weight of its tag.
 
 Defined cases: null or empty html gives an empty text; a page without words has none; a tag
 that the page's end cuts off is no text; repeated pages each get their row; extra columns are
@@ -40,6 +43,11 @@ NAMES = {
     "comment", "comments", "commentlist", "replies", "reply", "disqus", "respond", "discussion", "form", "search",
 }
 
+#: Parts of a name after which the others describe a layout: no-sidebar, with-menu.
+QUALIFIERS = {"no", "not", "non", "without", "with", "has", "have", "hide"}
+REPLIES = {"comment", "comments", "commentlist", "replies", "reply", "disqus", "respond"}
+BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "article", "main"}
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\b[^>]*(?:>|\Z)|\Z)"
@@ -52,6 +60,8 @@ NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 WORD_SCORE = 1.0
 #: What an element that can't be content costs as a whole, wherever it stands.
 SHUT_SCORE = -0.2
+#: A wrapper holds more than so many times the words outside of it, or is none by its words; a form without blocks has so many.
+WRAPPER_TIMES, WRAPPER_WORDS = 4, 50
 
 #: Labelled pages: between <content> and </content> stands what a reader came for.
 LABELLED = (
@@ -62,15 +72,24 @@ LABELLED = (
 )
 
 
-def names_boilerplate(rest: str) -> bool:
-    """Whether a tag's class, id, role or hidden attribute marks the element as something else than content."""
+def names_boilerplate(rest: str) -> set[str]:
+    """What in a tag's class, id, role or hidden attribute marks the element as something else than content.
+
+    Parts of classes and ids; "*" for a role or a hidden element, which no wrapper of a page has.
+    """
+    found = set()
     for m in ATTRIBUTE.finditer(rest):
         kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if kind == "hidden" or kind == "aria-hidden" and value.lower() == "true" or kind == "role" and value.lower() in ROLES:
-            return True
-        if kind in ("class", "id") and any(part.lower() in NAMES for part in NAME_PARTS.findall(value)):
-            return True
-    return False
+            found.add("*")
+        if kind in ("class", "id"):
+            for one in value.split():
+                for part in map(str.lower, NAME_PARTS.findall(one)):
+                    if part in QUALIFIERS:
+                        break
+                    if part in NAMES:
+                        found.add(part)
+    return found
 
 
 def pieces(html: str) -> Iterator[tuple[str, str, str]]:
@@ -110,32 +129,86 @@ def tag_weights(labelled: Iterable[str] = LABELLED) -> dict[str, float]:
     return weights
 
 
+class Element:
+    """An element that can't be content by its name, and what it holds."""
+
+    def __init__(self, up: Element | None, name: str, marks: set[str]):
+        self.up, self.name, self.marks = up, name, marks
+        self.ended = self.shut = False
+        self.borders = 0  # how many wrappers it is in, itself among them
+        self.words = self.direct = 0  # words inside, and those in no further such element
+        self.blocks = self.content = False  # whether it holds blocks of text; an article or main
+        self.may_wrap = "*" not in marks and (up is None or up.may_wrap) and (name == "form" or name not in BOILERPLATE)
+
+
+def judge(page: Element, elements: list[Element]) -> None:
+    """Sets which elements are shut; outer ones come first."""
+    page.words = page.direct
+    for e in reversed(elements):
+        e.words += e.direct
+        e.up.words += e.words
+        if e.up is not page:  # the page's own article or main stands outside of all these
+            e.up.blocks |= e.blocks
+            e.up.content |= e.content
+    pool = page.words - sum(e.words for e in elements if not e.may_wrap and (e.up is page or e.up.may_wrap))
+    open_words = page.direct
+    for e in elements:
+        e.borders, e.shut = e.up.borders, True
+        if e.up.shut or "*" in e.marks:
+            continue
+        loose = not e.ended and e.name in ("nav", "form", "menu") and e.blocks
+        most = (e.blocks or e.words >= WRAPPER_WORDS) and 2 * e.words > pool and e.words > WRAPPER_TIMES * open_words and not (open_words and e.marks & REPLIES)
+        if loose or (e.may_wrap or not e.ended) and not page.content and (e.content or most):
+            e.shut = False
+            e.borders += not loose
+            open_words += e.direct
+
+
 def extract(html: str | None, weights: dict[str, float] | None = None) -> str:
     """The page's main text: blocks joined by two line feeds."""
     if not html:
         return ""
     weights = weights or tag_weights()
     unknown = weights[""]
-    runs: list[tuple[float, str | None, bool]] = []  # (score, text, whether a block ends here)
-    stack: list[tuple[str, bool]] = []
-    shut = 0  # how many open elements can't be content
+    page = Element(None, "", set())
+    elements: list[Element] = []
+    stack: list[tuple[str, Element, bool]] = []  # (name, innermost element that can't be content, whether it is this one)
+    here, steps = page, []  # (kind, name, text or its words, the innermost element before and after)
     for kind, name, text in pieces(html):
+        before = here
         if kind == "text":
-            if not shut:
-                runs.append((WORD_SCORE * len(text.split()), text, False))
-            continue
-        block, held_shut = name not in INLINE, shut > 0
-        if kind == "open" and name not in VOID:
-            bad = name in BOILERPLATE or names_boilerplate(text) and name not in ("html", "body", "article", "main")
+            here.direct += len(text.split())
+        elif kind == "open" and name not in VOID:
+            marks = names_boilerplate(text)
+            bad = name in BOILERPLATE or marks and name not in ("html", "body", "article", "main")
+            if name in BLOCKS:
+                here.blocks = True
+                here.content |= name in ("article", "main") and not marks
             if not text.rstrip().endswith("/") or name in BOILERPLATE:
-                stack.append((name, bad))
-                shut += bad
+                if bad:
+                    here = Element(here, name, marks)
+                    elements.append(here)
+                stack.append((name, here, bool(bad)))
         elif kind == "close":
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None and not (name in INLINE and any(x not in INLINE for x, _ in stack[depth + 1 :])):
-                shut -= sum(bad for _, bad in stack[depth:])
+            if depth is not None and not (name in INLINE and any(x not in INLINE for x, _, _ in stack[depth + 1 :])):
+                if stack[depth][2]:
+                    stack[depth][1].ended = True
                 del stack[depth:]
-        score = 0.0 if kind == "none" or held_shut else SHUT_SCORE if shut else weights.get(name, unknown)
+                here = stack[-1][1] if stack else page
+        steps.append((kind, name, text, before, here))
+    judge(page, elements)
+    runs: list[tuple[float, str | None, bool]] = []  # (score, text, whether a block ends here)
+    for kind, name, text, before, after in steps:
+        if kind == "text":
+            if not after.shut:
+                runs.append((WORD_SCORE * len(text.split()), text, False))
+            continue
+        block = name not in INLINE
+        if before.borders != after.borders and not before.shut and not after.shut:
+            score = -math.inf
+        else:
+            score = 0.0 if kind == "none" or before.shut else SHUT_SCORE if after.shut else weights.get(name, unknown)
         runs.append((score, " " if name == "br" else None, block and kind != "none"))
     best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
     for i, (score, _, _) in enumerate(runs):

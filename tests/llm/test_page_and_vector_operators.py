@@ -161,3 +161,26 @@ def test_tag_weights_are_learnt_from_pages():
     weights = htmltext.tag_weights()
     assert all(w < 0 for w in weights.values())
     assert weights["p"] > weights["li"] > weights["div"] and weights["p"] > weights["nav"]
+
+
+ARTICLE = "<h1>A name</h1><p>The words of the page that a reader came for, some of them.</p><p>And a second paragraph of it.</p>"
+ARTICLE_TEXT = "A name\n\nThe words of the page that a reader came for, some of them.\n\nAnd a second paragraph of it."
+MENU, REPLY = "<ul><li><a>one</a></li><li><a>two</a></li></ul>", "<p>A reader's reply with many words in it, many more than the text has, as it goes on and on and on, in one sentence.</p>"
+WRAPPED = [
+    f"<body><div class='content no-sidebar'>{ARTICLE}</div></body>",
+    f"<body><div id='page' class='with-sidebar hasMenu'>{ARTICLE}<div class='sidebar'><p>not this</p></div></div></body>",
+    f"<body><a>site</a><section class='discussion'>{ARTICLE}</section></body>",
+    f"<body><form id='aspnetForm'><div class='header'>{MENU}</div><div>{ARTICLE}</div><div class='footer'><p>not this</p></div></form></body>",
+    f"<body><form><section class='discussion'>{ARTICLE}</section></form></body>",
+    f"<body><div class='left-sidebar'><main>{ARTICLE}</main></div><div><p>words of something else</p></div></body>",
+    f"<body><nav>{MENU}<div>{ARTICLE}</div></body>",
+    f"<body><div><form action='/q'><input>{ARTICLE}</div><footer>not this</footer></body>",
+    f"<body><div>{ARTICLE}</div><div class='comments'>{REPLY * 9}</div></body>",
+    f"<body><article>{ARTICLE}</article><section class='related'><article>{REPLY * 9}</article></section></body>",
+]
+
+
+def test_html_wrappers_are_left_to_the_scan():
+    for html in WRAPPED:
+        assert htmltext.extract(html) == ARTICLE_TEXT, html
+    assert htmltext.extract(f"<body><div hidden>{ARTICLE}</div><form>name please</form><nav>{MENU}</nav></body>") == ""
