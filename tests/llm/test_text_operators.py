@@ -122,6 +122,14 @@ def test_jaccard_edges(spark, docs, empty):
     assert ngramjoin.one_of_each(docs.where("doc_id < 2").union(unnamed)).count() == 3
 
 
+def test_jaccard_of_a_null_id_with_a_size_of_its_own(spark):
+    some = spark.createDataFrame([(1, "a b c d"), (None, " ".join(f"w{k}" for k in range(500)))], "doc_id long, text string")
+    for df, want in ((some, [(None, 498, None), (1, 2, 1)]), (some.where("doc_id is null"), [(None, 498, None)])):
+        got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngramjoin.components_of(df).collect()]
+        assert sorted(got, key=str, reverse=True) == want
+        assert ngramjoin.one_of_each(df).count() == len(want)
+
+
 def test_schemes_share_a_signature_whenever_sets_are_linked():
     r = np.random.default_rng(3)
     for _ in range(300):
