@@ -116,6 +116,19 @@ def test_nearest(spark):
     assert nearest.search(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_nearest_with_the_settings_of_large_tables(spark):
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(40, 64))
+    vectors = [(k, (centres[k % 40] + 0.7 * r.normal(size=64)).tolist()) for k in range(4000)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    want = exact_neighbours(vectors)
+    got = {}
+    for x in nearest.search(df, F.col("vec_id") % 50 == 0, settings=nearest.Settings()).collect():
+        got.setdefault(x.query_id, set()).add(x.vec_id)
+    assert nearest.Settings().projections == 6 and set(got) == set(want)
+    assert np.mean([len(got[k] & {j for _, j in near}) / 5 for k, near in want.items()]) >= 0.9
+
+
 def test_nearest_of_many_collinear_vectors(spark):
     """Distinct vectors of one cosine: the smallest ids win, in the buckets and in the exact search of few rows."""
     order = [(k * 37) % 101 for k in range(1, 101)]  # ids in no order of length
