@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,68 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Written as Parquet to the shared folder and read again: a columnar cut of the lineage."""
+@contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """SQL settings for the jobs that are run inside the block; the session's own come back after it."""
+    names = {k.replace("__", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def saved(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """Written as Parquet to the shared folder and read again: a columnar cut of the lineage.
+
+    The job's shuffle files go when it ends, the table at the latest when the driver does; scratch() deletes
+    tables earlier.  `batch_rows` bounds the rows of an Arrow batch, for rows that may be long.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/parley-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    conf = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
+    if batch_rows:
+        conf["spark__sql__execution__arrow__maxRecordsPerBatch"] = str(batch_rows)
+    with settings(spark, **conf):
+        df.write.parquet(path)
+    file_system, at = _file_system(spark, path)
+    file_system.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._parley_path = path
+    return out
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def deleted(df: DataFrame) -> None:
+    """Deletes the table that a saved() frame reads."""
+    file_system, at = _file_system(df.sparkSession, df._parley_path)
+    file_system.delete(at, True)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[..., DataFrame]]:
+    """A saved() whose tables are deleted when the block ends; what outlives it must be saved outside of it."""
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+        made.append(saved(df, batch_rows))
+        return made[-1]
+
+    try:
+        yield keep
+    finally:
+        for df in made:
+            deleted(df)
 
 
 def held_out(key: str | F.Column = "doc_id") -> F.Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import saved
+from parley.llm.common import saved, scratch
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -19,22 +19,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Only nodes that occur in an edge to another node are returned; null ends are left out; no edges, no rows.
     """
-    pair = lambda x, y: edges_of(x, y)
-    live = saved(pair(edges, ("a", "b")))
-    parents: DataFrame | None = None
-    while live.limit(1).count():
-        hooks = saved(live.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("up")))
-        hooks = flattened(hooks)
-        parents = hooks if parents is None else saved(followed(parents, hooks).unionByName(hooks))
-        table = hooks.select("node", "up")
-        left = live.join(table.withColumnsRenamed({"node": "hi", "up": "hi_up"}), "hi", "left")
-        left = left.join(table.withColumnsRenamed({"node": "lo", "up": "lo_up"}), "lo", "left")
-        live = saved(pair(left.select(F.coalesce("hi_up", "hi").alias("a"), F.coalesce("lo_up", "lo").alias("b")), ("a", "b")))
-    if parents is None:
-        kind = edges.schema["a"].dataType
-        return live.select(F.col("hi").cast(kind).alias("node"), F.col("lo").cast(kind).alias("component"))
-    roots = parents.select(F.col("up").alias("node")).distinct().join(parents, "node", "left_anti")
-    return parents.select("node", F.col("up").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    with scratch() as keep:
+        live = keep(edges_of(edges, ("a", "b")))
+        parents: DataFrame | None = None
+        while live.limit(1).count():
+            hooks = keep(live.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("up")))
+            hooks = flattened(hooks, keep)
+            parents = hooks if parents is None else keep(followed(parents, hooks).unionByName(hooks))
+            left = live.join(hooks.withColumnsRenamed({"node": "hi", "up": "hi_up"}), "hi", "left")
+            left = left.join(hooks.withColumnsRenamed({"node": "lo", "up": "lo_up"}), "lo", "left")
+            live = keep(edges_of(left.select(F.coalesce("hi_up", "hi").alias("a"), F.coalesce("lo_up", "lo").alias("b")), ("a", "b")))
+        if parents is None:
+            return saved(live.select(F.col("hi").alias("node"), F.col("lo").alias("component")))
+        roots = parents.select(F.col("up").alias("node")).distinct().join(parents, "node", "left_anti")
+        return saved(parents.select("node", F.col("up").alias("component")).unionByName(roots.select("node", F.col("node").alias("component"))))
 
 
 def edges_of(edges: DataFrame, names: tuple[str, str]) -> DataFrame:
@@ -48,10 +46,10 @@ def followed(parents: DataFrame, hooks: DataFrame) -> DataFrame:
     return parents.join(on, "up", "left").select("node", F.coalesce("next", "up").alias("up"))
 
 
-def flattened(hooks: DataFrame) -> DataFrame:
+def flattened(hooks: DataFrame, keep) -> DataFrame:
     """Pointer jumping: every node points at the end of its chain."""
     while True:
         on = hooks.select(F.col("node").alias("up"), F.col("up").alias("next"))
         if not hooks.join(on, "up", "left_semi").limit(1).count():
             return hooks
-        hooks = saved(followed(hooks, hooks))
+        hooks = keep(followed(hooks, hooks))

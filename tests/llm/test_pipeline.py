@@ -25,7 +25,7 @@ def test_run_equals_a_plain_version(spark):
     left = docs.where(docs.doc_id.isin(list(spoken)))
     good = {r.doc_id for r in qualityclassifier.score(left, qualityclassifier.train(left, labels)).collect() if r.predicted}
     texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in good}
-    kept = {k for k, (_, c) in brute_components(texts.items()).items() if k == c}
+    kept = {k for k, (_, c) in brute_components(texts.items(), percent=80, width=5).items() if k == c}
 
     def masked(text):
         out, end = [], 0

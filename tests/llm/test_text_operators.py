@@ -83,34 +83,92 @@ def test_fullest_is_the_best_subset():
 # ---- n-gram Jaccard join (3) --------------------------------------------------------------------
 
 
-def brute_components(rows, percent=90):
-    sets = {}
-    for k, t in rows:
-        w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
-        sets[k] = set(zip(w, w[1:], w[2:], strict=False)) if len(w) > 2 else {tuple(w)} if w else set()
-    up = {k: k for k in sets}
+def shingle_set(text, width=3):
+    w = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+
+
+def linked(a, b, percent):
+    inter = len(a & b)
+    return bool(a and b) and 100 * inter >= percent * (len(a) + len(b) - inter)
+
+
+def brute_components(rows, percent=90, width=3):
+    """By id: (size of its set, least id of its component); an id that repeats is linked by any of its texts."""
+    rows = [(k, shingle_set(t, width)) for k, t in rows]
+    up = {k: k for k, _ in rows}
 
     def root(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and sets[b]:
-                inter = len(sets[a] & sets[b])
-                if 100 * inter >= percent * (len(sets[a]) + len(sets[b]) - inter):
-                    x, y = root(a), root(b)
-                    up[max(x, y)] = min(x, y)
-    return {k: (len(sets[k]), root(k)) for k in sets}
+    for i, (a, x) in enumerate(rows):
+        for b, y in rows[:i]:
+            if a != b and linked(x, y, percent):
+                p, q = root(a), root(b)
+                up[max(p, q)] = min(p, q)
+    return {k: (len(x), root(k)) for k, x in rows}
 
 
-@pytest.mark.parametrize(("group", "near"), [(128, 1e-5), (3, 10.0)])
-def test_jaccard(docs, corpus, monkeypatch, group, near):
+@pytest.mark.parametrize(("group", "near", "width", "percent"), [(128, 1e-5, 3, 90), (3, 10.0, 3, 90), (1024, 1e-5, 5, 80), (3, 10.0, 5, 80)])
+def test_jaccard(docs, corpus, monkeypatch, group, near, width, percent):
     monkeypatch.setattr(ngramjoin, "GROUP", group)
     monkeypatch.setattr(ngramjoin, "NEAR_SHARE", near)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.components_of(docs).collect()}
-    assert got == brute_components(corpus)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.components_of(docs, width, percent).collect()}
+    assert got == brute_components(corpus, percent, width)
+
+
+@pytest.fixture(scope="session")
+def template_rows():
+    """Texts on both sides of the limit, most with a passage in common: near copies of some texts, and of those."""
+    r = random.Random(12)
+    passage = " ".join(f"common{k}" for k in range(12))
+    rows = []
+    for size in (12, 25, 60, 150):
+        base = [f"w{r.randrange(5000)}" for _ in range(size)]
+        for k in range(45):
+            words = list(base)
+            for _ in range(r.randrange(1 + size // 12)):
+                words[r.randrange(size)] = f"n{r.randrange(9)}"
+            rows.append(" ".join(words) + (" " + passage if k % 3 else ""))
+    rows += [" ".join(f"w{r.randrange(5000)}" for _ in range(r.randrange(3, 60))) + " " + passage for _ in range(60)]
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize(("shingles", "width", "percent"), [(1 << 20, 3, 90), (400, 3, 90), (1 << 20, 5, 80), (900, 5, 80)])
+def test_jaccard_of_near_copies_and_a_common_passage(spark, template_rows, monkeypatch, shingles, width, percent):
+    monkeypatch.setattr(ngramjoin, "PART_SHINGLES", shingles)
+    df = spark.createDataFrame(template_rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.components_of(df, width, percent).collect()}
+    want = brute_components(template_rows, percent, width)
+    assert got == want and len(set(want.values())) < len(want) - 20
+
+
+def test_jaccard_of_ids_that_repeat_with_other_texts(spark):
+    r = random.Random(1)
+    a, b, c = (" ".join(f"w{r.randrange(999)}" for _ in range(40)) for _ in range(3))
+    rows = [(1, a), (5, a + " x"), (5, b), (9, b), (9, b), (7, c), (5, ""), (7, None), (8, "")]
+    df = spark.createDataFrame([(k, t, 1, 2, 3, 4) for k, t in rows], "doc_id long, text string, node int, hub int, n int, sigs int")
+    got = {(x.doc_id, x.component_id) for x in ngramjoin.components_of(df).collect()}
+    assert got == {(k, c) for k, (_, c) in brute_components(rows).items()} == {(1, 1), (5, 1), (9, 1), (7, 7), (8, 8)}
+    assert ngramjoin.components_of(df).count() == len(rows)
+
+
+def test_linked_sets_share_as_many_signatures_as_are_needed():
+    r = np.random.default_rng(6)
+    for percent in (80, 90):
+        for n in (4, 9, 15, 40, 130, 600):
+            base = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+            n = len(base)
+            h = 2 * n * (100 - percent) // (100 + percent) // 2
+            other = np.unique(np.concatenate([base[r.permutation(n)[h:]], r.integers(0, 2**63, h).astype(np.uint64)]))
+            band = ngramjoin.band_of(n, percent)
+            most = ngramjoin.most_differences(band, percent)
+            for q in {0, (most + 2 + most // 6) // 4, (most + 2 + most // 6) // 2}:
+                m = most + 2 + most // 6 - q
+                both = [ngramjoin.scheme_signatures(x, band, m, q) for x in (base, other)]
+                assert len(np.intersect1d(*both)) >= ngramjoin.needed(most, q)
 
 
 def test_jaccard_edges(spark, docs, empty):
