@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id stays: shingles of three words, 0.9 alike."""
-    return ngramjoin.one_of_each(docs)
+    """Of each group of linked documents the one with the least id stays: shingles of five words, 0.8 alike."""
+    return ngramjoin.one_of_each(docs, width=5, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
