@@ -6,18 +6,24 @@ then perturbed ones in the order of their estimated success (the summed squared
 crossed borders), and candidates of all tables are scored exactly in double precision.  Queries that
 found too few candidates are compared with all rows, in blocks.
 
+How many projections a table has is measured, at every size alike: the exact neighbours of a bounded sample
+of rows among all rows are looked for under each number of projections, and the largest number that finds
+enough of them is taken.  So denser tables get finer buckets.
+
 Rows with equal vectors are one class with its least ids, so hot vectors are indexed and searched once.
+Large buckets are dealt out in blocks, of index rows and of queries.
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components take no
 part; vectors of different lengths are never compared; ties go to the smaller id; fewer candidates than
 asked for are all returned; repeated ids are rows of their own as candidates, and a query leaves out
-rows of its own id; extra columns are not read; an empty table gives no rows.
+rows of its own id; an id that repeats with other vectors asks once for each of them; extra columns, whatever
+their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -25,27 +31,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import saved, table
+from parley.llm.common import saved, scratch, table
 
-#: Index rows that one task holds of a table, about: large indexes are dealt out to several tasks a bucket.
+#: Index rows and queries of one block, about; a bucket of more is dealt out to several tasks.
 ROWS_A_PART = 100_000
+QUERIES_A_PART = 20_000
+#: Buckets that are dealt out at most, of each kind: where there would be more, blocks are larger.
+MOST_DEALT = 10_000
 #: Queries whose best candidates one task holds before it hands them on.
 HELD_QUERIES = 50_000
+#: Rows whose exact neighbours are looked up to choose the number of projections, and the share that must be found.
+SAMPLE_ROWS = 128
+SAMPLE_RECALL = 0.94
+PROJECTIONS = (24, 20, 16, 14, 12, 10, 9, 8, 7, 6, 5, 4, 3, 2)
 
 
 @dataclass(frozen=True)
 class Settings:
-    tables: int = 8
+    tables: int = 4
     projections: int = 6
-    width: float = 1.5
+    width: float = 2.0
     probes: int = 64
     seed: int = 11
 
-    @classmethod
-    def for_rows(cls, n: int) -> Settings:
-        """Fewer projections for small indexes, whose nearest rows are farther off."""
-        return cls(projections=2 if n < 3_000 else 4 if n < 8_000 else 6)
-
 
 @lru_cache(maxsize=16)
 def projections(settings: Settings, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,23 +126,35 @@ def _by_size(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(sizes == size))
 
 
-def indexed(classes: DataFrame, settings: Settings, parts: int) -> DataFrame:
-    """A row for each class and table: bucket, part, rep, ids, vec."""
+@dataclass(frozen=True)
+class Blocks:
+    """Of each bucket that is dealt out: in how many parts its index rows come, and in how many its queries."""
+
+    buckets: np.ndarray
+    rows: np.ndarray
+    queries: np.ndarray
+
+    def of(self, names: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        if not len(self.buckets):
+            return np.ones(names.shape, np.int64)
+        at = np.minimum(np.searchsorted(self.buckets, names), len(self.buckets) - 1)
+        return np.where(self.buckets[at] == names, counts[at], 1)
+
+
+def bucket_counts(classes: DataFrame, settings: Settings) -> DataFrame:
+    """(bucket, rows) of the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _by_size(whole):
                 vec = _matrix(batch.column("vec"))
-                names = bucket_names(steps(vec, settings)[0], vec.shape[1])
-                part = pa.array(batch.column("rep").to_numpy() % parts)
-                for t in range(settings.tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(names[:, t])), part, batch.column("rep"), batch.column("ids"), batch.column("vec")], ["bucket", "part", "rep", "ids", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket_names(steps(vec, settings)[0], vec.shape[1]).ravel())], ["bucket"])
 
-    return classes.mapInArrow(run, "bucket long, part long, rep long, ids array<long>, vec array<double>")
+    return classes.select("vec").mapInArrow(run, "bucket long").groupBy("bucket").agg(F.count("*").alias("rows"))
 
 
-def probed(classes: DataFrame, settings: Settings, parts: int) -> DataFrame:
-    """A row for each query class, visited bucket and part: bucket, part, rep, vec."""
+def probed(classes: DataFrame, settings: Settings) -> DataFrame:
+    """(bucket, rep) of each query class and visited bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -144,11 +164,57 @@ def probed(classes: DataFrame, settings: Settings, parts: int) -> DataFrame:
                     vec = _matrix(some.column("vec"))
                     at = probe_steps(*steps(vec, settings), settings)
                     names = bucket_names(at.reshape(-1, settings.tables, settings.projections), vec.shape[1])
-                    n = names.size // len(vec) * parts
-                    rows = pa.array(np.repeat(np.arange(len(vec)), n))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names.ravel(), parts)), pa.array(np.tile(np.arange(parts), names.size)), some.column("rep").take(rows), some.column("vec").take(rows)], ["bucket", "part", "rep", "vec"])
+                    rep = some.column("rep").to_numpy()
+                    yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), pa.array(np.repeat(rep, names.size // len(rep)))], ["bucket", "rep"])
 
-    return classes.mapInArrow(run, "bucket long, part long, rep long, vec array<double>")
+    return classes.select("rep", "vec").mapInArrow(run, "bucket long, rep long")
+
+
+def blocks_of(counts: DataFrame, asked: DataFrame) -> Blocks:
+    """counts (bucket, rows), asked (bucket, queries); at most MOST_DEALT buckets of each kind reach the driver."""
+    all_rows, all_asked = (d.agg(F.sum(c)).first()[0] or 0 for d, c in ((counts, "rows"), (asked, "queries")))
+    row_limit, query_limit = max(ROWS_A_PART, all_rows // MOST_DEALT), max(QUERIES_A_PART, all_asked // MOST_DEALT)
+    found: dict[int, list[int]] = {}
+    for k, (d, c, limit) in enumerate(((counts, "rows", row_limit), (asked, "queries", query_limit))):
+        for r in d.where(F.col(c) > limit).collect():
+            found.setdefault(r["bucket"], [1, 1])[k] = -(-r[c] // limit)
+    names = np.array(sorted(found), np.int64)
+    return Blocks(names, *(np.array([found[int(b)][k] for b in names], np.int64) for k in (0, 1)))
+
+
+def indexed(classes: DataFrame, settings: Settings, blocks: Blocks) -> DataFrame:
+    """A row for each class, table and block of queries: bucket, part, block, rep, ids, vec."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _by_size(whole):
+                vec = _matrix(batch.column("vec"))
+                all_names = bucket_names(steps(vec, settings)[0], vec.shape[1])
+                rep = batch.column("rep").to_numpy()
+                for t in range(settings.tables):
+                    names = np.ascontiguousarray(all_names[:, t])
+                    part, times = rep % blocks.of(names, blocks.rows), blocks.of(names, blocks.queries)
+                    row = np.repeat(np.arange(len(names)), times)
+                    block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                    more = [batch.column(c).take(pa.array(row)) for c in ("rep", "ids", "vec")]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(part[row]), pa.array(block), *more], ["bucket", "part", "block", "rep", "ids", "vec"])
+
+    kind = classes.schema["vec"].dataType.simpleString()
+    return classes.mapInArrow(run, f"bucket long, part long, block long, rep long, ids array<long>, vec {kind}")
+
+
+def dealt(probes: DataFrame, blocks: Blocks) -> DataFrame:
+    """probes (bucket, rep) with a row for each part of the bucket's index: bucket, part, block, rep."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, rep = batch.column("bucket").to_numpy(), batch.column("rep").to_numpy()
+            block, times = rep % blocks.of(names, blocks.queries), blocks.of(names, blocks.rows)
+            row = np.repeat(np.arange(len(names)), times)
+            part = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(part), pa.array(block[row]), pa.array(rep[row])], ["bucket", "part", "block", "rep"])
+
+    return probes.select("bucket", "rep").mapInArrow(run, "bucket long, part long, block long, rep long")
 
 
 class Best:
@@ -186,21 +252,21 @@ class Best:
 
 def met(index: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     """(rep, vec_id, score): candidates that a query class meets in a bucket, the best of each task."""
-    rows = probes.select("bucket", "part", F.lit(0).alias("kind"), "rep", F.array().cast("array<long>").alias("ids"), "vec")
-    rows = rows.unionByName(index.select("bucket", "part", F.lit(1).alias("kind"), "rep", "ids", "vec"))
+    rows = probes.select("bucket", "part", "block", F.lit(0).alias("kind"), "rep", F.array().cast("array<long>").alias("ids"), "vec")
+    rows = rows.unionByName(index.select("bucket", "part", "block", F.lit(1).alias("kind"), "rep", "ids", "vec"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, here, waiting = Best(k), None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([batch.column(c).to_numpy() for c in ("bucket", "part", "kind")], 1)
+            key = np.stack([batch.column(c).to_numpy() for c in ("bucket", "part", "block", "kind")], 1)
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
-                part, place = batch.slice(a, b - a), tuple(key[a, :2].tolist())
+                part, place = batch.slice(a, b - a), tuple(key[a, :3].tolist())
                 if place != here:
                     here, waiting = place, []
-                if key[a, 2] == 0:
+                if key[a, 3] == 0:
                     waiting.append((part.column("rep").to_numpy(), _matrix(part.column("vec"))))
                 elif waiting:
                     own = _matrix(part.column("vec"))
@@ -212,7 +278,7 @@ def met(index: DataFrame, probes: DataFrame, k: int) -> DataFrame:
                         yield best.rows()
         yield best.rows()
 
-    return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "kind").mapInArrow(run, "rep long, vec_id long, score double")
+    return rows.repartition("bucket", "part", "block").sortWithinPartitions("bucket", "part", "block", "kind").mapInArrow(run, "rep long, vec_id long, score double")
 
 
 def first(rows: DataFrame, by: str, k: int) -> DataFrame:
@@ -222,42 +288,99 @@ def first(rows: DataFrame, by: str, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def exact_pairs(classes: DataFrame, k: int, rows: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(vector, one of its k nearest) of a sample of at most `rows` classes against all classes."""
+    some = classes.select("rep", "vec").orderBy(F.xxhash64("rep"), "rep").limit(rows).collect()
+    shared = classes.sparkSession.sparkContext.broadcast([(r["rep"], np.array(r["vec"], float)) for r in some])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _by_size(whole):
+                vec, rep = _matrix(batch.column("vec")), batch.column("rep").to_numpy()
+                asked = [(r, q) for r, q in shared.value if len(q) == vec.shape[1]]
+                if not asked or not len(vec):
+                    continue
+                reps, q = np.array([r for r, _ in asked]), np.stack([x for _, x in asked])
+                score = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (vec / np.linalg.norm(vec, axis=1, keepdims=True)).T
+                score[reps[:, None] == rep[None]] = -np.inf
+                best = np.argsort(-score, 1, kind="stable")[:, :k]
+                row = best.ravel()
+                found = np.take_along_axis(score, best, 1).ravel()
+                kept = np.flatnonzero(np.isfinite(found))
+                out = [pa.array(np.repeat(reps, best.shape[1])[kept]), pa.array(rep[row[kept]]), pa.array(found[kept]), batch.column("vec").take(pa.array(row[kept]))]
+                yield pa.RecordBatch.from_arrays(out, ["query", "rep", "score", "vec"])
+
+    kind = classes.schema["vec"].dataType.simpleString()
+    near = classes.select("rep", "vec").mapInArrow(run, f"query long, rep long, score double, vec {kind}")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
+    near = near.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).select("query", "vec").collect()
+    by_rep = dict(shared.value)
+    return [(by_rep[r["query"]], np.array(r["vec"], float)) for r in near]
+
+
+def recall_of(pairs: list[tuple[np.ndarray, np.ndarray]], settings: Settings) -> float:
+    """The share of pairs of which the first vector visits a bucket that the second is in."""
+    hits = 0
+    for size in {len(q) for q, _ in pairs}:
+        q, v = (np.stack([p[k] for p in pairs if len(p[0]) == size]) for k in (0, 1))
+        at = probe_steps(*steps(q, settings), settings)
+        visited = bucket_names(at.reshape(-1, settings.tables, settings.projections), size).reshape(len(q), -1, settings.tables)
+        hits += int((visited == bucket_names(steps(v, settings)[0], size)[:, None]).any((1, 2)).sum())
+    return hits / max(len(pairs), 1)
+
+
+def measured(classes: DataFrame, k: int, settings: Settings = Settings(), rows: int = SAMPLE_ROWS, least: float = SAMPLE_RECALL) -> Settings:
+    """The settings with the most projections that still find `least` of the sample's exact neighbours."""
+    pairs = exact_pairs(classes, k, rows)
+    tries = (replace(settings, projections=n) for n in PROJECTIONS)
+    return next((s for s in tries if recall_of(pairs, s) >= least), replace(settings, projections=PROJECTIONS[-1]))
+
+
 def search(vectors: DataFrame, queries: F.Column, k: int = 5, settings: Settings | None = None) -> DataFrame:
     """vectors (vec_id, embedding) -> query_id, rank, vec_id, score; queries: a condition on vec_id."""
-    vec = F.col("embedding").cast("array<double>")
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    element = element if element in ("float", "double") else "double"  # single precision travels as it is
+    vec = F.col("embedding").cast(f"array<{element}>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec"))
     ok = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    rows = rows.where("vec_id is not null").where(F.coalesce(ok, F.lit(False))).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))
+    rows = rows.where("vec_id is not null").where(F.coalesce(ok, F.lit(False))).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0).cast(element)))
     asked = rows.where(queries)
-    # The least ids of equal vectors: limited per deal of a class, then per class, before anything is gathered.
-    few = rows.withColumn("deal", F.pmod(F.xxhash64("vec_id"), F.lit(32)))
-    for keys in (("vec", "deal"), ("vec",)):
-        few = few.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id"))).where(F.col("nth") <= k + 1)
-    classes = few.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    classes = saved(classes.select(F.col("ids")[0].alias("rep"), "ids", "vec"))
-    n = classes.count()
-    settings = settings or Settings.for_rows(n)
-    parts = max(1, n // ROWS_A_PART)
-
-    named = saved(asked.join(classes.select("vec", "rep", "ids"), "vec").select(F.col("vec_id").alias("query_id"), "rep", "ids"))
-    wanted = saved(classes.join(named.select("rep").distinct(), "rep", "left_semi"))
-    found = saved(first(met(indexed(classes, settings, parts), probed(wanted, settings, parts), k), "rep", k).select("rep", "vec_id", "score"))
-    short = found.groupBy("rep").count().where(F.col("count") >= k)
-    short = saved(wanted.join(short, "rep", "left_anti"))
-    if short.limit(1).count():
-        blocks = max(8, parts)
-        first_block = F.size("vec").cast("long") * blocks  # vectors of one length have blocks of their own
-        all_rows = classes.select((first_block + F.pmod(F.xxhash64("rep"), F.lit(blocks))).alias("bucket"), F.lit(0).cast("long").alias("part"), "rep", "ids", "vec")
-        asking = short.select(F.explode(F.sequence(first_block, first_block + blocks - 1)).alias("bucket"), F.lit(0).cast("long").alias("part"), "rep", "vec")
-        exact = first(met(all_rows, asking, k), "rep", k).select("rep", "vec_id", "score")
-        found = saved(found.join(short.select("rep"), "rep", "left_anti").unionByName(exact))
-    # Rows of the query's own class: the cosine of a vector with itself, as it is computed.
-    own = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
-    selves = wanted.select("rep", F.explode("ids").alias("vec_id"), (own / (F.sqrt(own) * F.sqrt(own))).alias("score"))
-    lists = found.unionByName(selves).groupBy("rep").agg(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id")).alias("near"))
-    near = named.join(saved(lists), "rep").withColumn("near", F.slice(F.array_sort(F.filter("near", lambda x: x["vec_id"] != F.col("query_id"))), 1, k))
-    out = near.select("query_id", F.posexplode("near").alias("at", "one"))
-    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("one.vec_id").alias("vec_id"), (-F.col("one.minus")).alias("score"))
+    with scratch() as keep:
+        # The least ids of equal vectors: limited per deal of a class, then per class, before anything is gathered.
+        few = rows.withColumn("deal", F.pmod(F.xxhash64("vec_id"), F.lit(32)))
+        for keys in (("vec", "deal"), ("vec",)):
+            few = few.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id"))).where(F.col("nth") <= k + 1)
+        classes = few.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+        classes = keep(classes.select(F.col("ids")[0].alias("rep"), "ids", "vec"))
+        named = keep(asked.join(classes.select("vec", "rep", "ids"), "vec").select(F.col("vec_id").alias("query_id"), "rep", "ids"))
+        wanted = keep(classes.join(named.select("rep").distinct(), "rep", "left_semi"))
+        settings = settings or measured(classes, k)
+
+        counts = keep(bucket_counts(classes, settings))
+        probes = keep(probed(wanted, settings).join(counts.select("bucket").hint("merge"), "bucket", "left_semi"))
+        blocks = blocks_of(counts, probes.groupBy("bucket").agg(F.count("*").alias("queries")))
+        with_vectors = dealt(probes, blocks).join(wanted.select("rep", "vec").hint("merge"), "rep")
+        found = keep(first(met(indexed(classes, settings, blocks), with_vectors, k), "rep", k).select("rep", "vec_id", "score"))
+        short = found.groupBy("rep").count().where(F.col("count") >= k)
+        short = keep(wanted.join(short, "rep", "left_anti"))
+        asking = short.count()
+        if asking:
+            n = counts.agg(F.sum("rows")).first()[0] // settings.tables
+            parts, groups = max(8, n // ROWS_A_PART), max(1, asking // QUERIES_A_PART)
+            deal = lambda count: F.pmod(F.xxhash64("rep"), F.lit(count))
+            each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<long>"))
+            size = F.size("vec").cast("long").alias("bucket")  # vectors of one length meet
+            all_rows = classes.select(size, deal(parts).alias("part"), each(groups).alias("block"), "rep", "ids", "vec")
+            queries_ = short.select(size, each(parts).alias("part"), deal(groups).alias("block"), "rep", "vec")
+            exact = first(met(all_rows, queries_, k), "rep", k).select("rep", "vec_id", "score")
+            found = keep(found.join(short.select("rep"), "rep", "left_anti").unionByName(exact))
+        # Rows of the query's own class: the cosine of a vector with itself, as it is computed.
+        own = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+        selves = wanted.select("rep", F.explode("ids").alias("vec_id"), (own / (F.sqrt(own) * F.sqrt(own))).alias("score"))
+        lists = found.unionByName(selves).groupBy("rep").agg(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id")).alias("near"))
+        near = named.join(keep(lists), "rep").withColumn("near", F.slice(F.array_sort(F.filter("near", lambda x: x["vec_id"] != F.col("query_id"))), 1, k))
+        out = near.select("query_id", F.posexplode("near").alias("at", "one"))
+        return saved(out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("one.vec_id").alias("vec_id"), (-F.col("one.minus")).alias("score")))
 
 
 def op4_nearest(spark, sf_dir: str) -> DataFrame:

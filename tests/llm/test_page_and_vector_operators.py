@@ -116,6 +116,29 @@ def test_nearest(spark):
     assert nearest.search(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_nearest_measures_its_settings(spark, monkeypatch):
+    """The number of projections comes from the data, and hot buckets are dealt out in blocks on both sides."""
+    monkeypatch.setattr(nearest, "ROWS_A_PART", 150)
+    monkeypatch.setattr(nearest, "QUERIES_A_PART", 5)
+    r = np.random.default_rng(10)
+    found = {}
+    for name, spread in (("tight", 0.15), ("loose", 1.5)):
+        centres = r.normal(size=(50, 32))
+        vectors = [(k, (centres[k % 50] + spread * r.normal(size=32)).astype(np.float32).tolist()) for k in range(3000)]
+        vectors += [(3000 + k, vectors[50 * k][1]) for k in range(20)] + [(vectors[100][0], vectors[7][1])]
+        df = spark.createDataFrame([(*v, 0.0, 1, "x") for v in vectors], "vec_id long, embedding array<float>, score double, rep int, bucket string")
+        classes = df.selectExpr("vec_id as rep", "embedding as vec").where("vec_id < 3000").dropDuplicates(["rep"])
+        found[name] = nearest.measured(classes, 5)
+        if name == "tight":
+            want = exact_neighbours(vectors[:-1])
+            got = {}
+            for x in nearest.search(df, F.col("vec_id") % 50 == 0).collect():
+                got.setdefault(x.query_id, set()).add(x.vec_id)
+            hits = [len(got[k] & {j for _, j in near}) / 5 for k, near in want.items() if k != 100]
+            assert set(got) == set(want) and np.mean(hits) >= 0.9
+    assert found["tight"].projections > found["loose"].projections
+
+
 def test_nearest_with_the_settings_of_large_tables(spark):
     r = np.random.default_rng(9)
     centres = r.normal(size=(40, 64))
@@ -134,6 +157,9 @@ def test_nearest_of_many_collinear_vectors(spark):
     order = [(k * 37) % 101 for k in range(1, 101)]  # ids in no order of length
     vectors = [(x, [3.0 * 2.0**i, 1.0 * 2.0**i, -2.0 * 2.0**i]) for i, x in zip(range(-50, 50), order, strict=True)]
     df = spark.createDataFrame([*vectors, (200, [3.0, 1.5, -2.0]), (201, [-1.0, 0.0, 9.0])], "vec_id long, embedding array<double>").repartition(3)
+    scaled = spark.createDataFrame([(k, [3.0 * 2.0**k, 1.0 * 2.0**k, -2.0 * 2.0**k]) for k in range(30)] + [(200, [3.0, 1.5, -2.0])], "vec_id long, embedding array<double>")
+    got = sorted((x.rank, x.vec_id) for x in nearest.search(scaled, F.col("vec_id") == 200).collect())
+    assert got == [(k + 1, k) for k in range(5)]
     for few in (df, df.where("vec_id <= 20 or vec_id = 200")):
         got = sorted((x.rank, x.vec_id) for x in nearest.search(few, F.col("vec_id") == 200).collect())
         assert got == [(k, k) for k in range(1, 6)]
