@@ -1,6 +1,7 @@
 """Byte-pair encoding and decoding over a minimal acyclic transducer of frequent words.
 
-Texts are normalised and cut into words as the vocabulary file says.  Frequent words, counted over the
+Texts are normalised and cut into words as the vocabulary file says, by the library's own normaliser and
+character classes, so that no result depends on the Unicode tables of an executor's Python.  Frequent words, counted over the
 whole corpus in bounded memory, are compiled into one automaton whose equal suffixes are shared; numbers
 on its edges add up to a word's rank among them, and the rank leads to its ids.  The automaton is one
 block of bytes that each worker memory-maps.  Words that it lacks are merged exactly, many at a time.
@@ -17,7 +18,6 @@ import heapq
 import json
 import re
 import tempfile
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,8 +37,10 @@ SUMMARY_WORDS = 1 << 16
 MEMO_WORDS = 400_000
 CHUNK = 1 << 21
 LONG_WORD = 128
-# White space as the vocabulary's pattern has it.
-WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Texts of these characters alone are their own normal form but for case, which Python's tables have as the library does;
+#: all other texts go through the library's normaliser.
+PLAIN = "\x00-\u02ff\u0400-\u0481\u048a-\u052f\u2010-\u2027\u2030-\u205e\u20ac\u3001-\u3029\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fef\uff01-\uff5e"
+NOT_PLAIN = re.compile(f"[^{PLAIN}]")
 NONE, LETTER, DIGIT, OTHER = range(4)
 NEVER = np.int32(2**31 - 1)
 
@@ -51,17 +53,26 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 @lru_cache(maxsize=1)
 def character_classes() -> np.ndarray:
+    """NONE (white space), LETTER, DIGIT or OTHER for each code point, by the library's own regular expressions."""
+    from tokenizers import Regex, pre_tokenizers
+
+    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
+    every = points.astype("<u4").tobytes().decode("utf-32-le")
     out = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x110000):
-        kind = unicodedata.category(chr(c))[0]
-        if kind == "L":
-            out[c] = LETTER
-        elif kind == "N":
-            out[c] = DIGIT
-    out[WHITE] = NONE
+    for kind, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (NONE, r"\s+")):
+        for _, (start, end) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
+            out[points[start:end]] = kind
     return out
 
 
+@lru_cache(maxsize=2)
+def normaliser(path: str):
+    """The library's normaliser of a vocabulary file: a function of a text."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).normalizer.normalize_str
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -73,6 +84,7 @@ class Vocabulary:
     """Ids of bytes and merges, as arrays."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -299,10 +311,15 @@ class Lexicon:
         return out
 
 
-def normalised(text: str) -> str:
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-    return text.lower()
+@lru_cache(maxsize=1)
+def opened(block: bytes) -> Lexicon:
+    """The lexicon at hand, mapped once for all tasks of a worker."""
+    return Lexicon.opened(block)
+
+
+def normalised(text: str, path: str) -> str:
+    """As the library does it, save that white space isn't collapsed, which parts words all the same."""
+    return text.lower() if text.isascii() or not NOT_PLAIN.search(text) else normaliser(path)(text)
 
 
 def cut(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -383,7 +400,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets by text)."""
-        plain = list(map(normalised, texts))
+        plain = [normalised(t, self.v.path) for t in texts]
         odd = {}
         if self.v.special_pattern and any("<|" in t for t in texts):
             odd = {i: t for i, t in enumerate(texts) if self.v.special_pattern.search(t)}
@@ -433,13 +450,13 @@ def runs_of_texts(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, l
         yield lo, texts[lo:]
 
 
-def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def word_counts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """A summary of a task's frequent words: counts fall together when it holds too many."""
     codes = mix(np.arange(0x110000, dtype=U)) | U(1)
     held: dict[str, int] = {}
     for batch in batches:
         for _, texts in runs_of_texts(batch.column("text")):
-            whole, points, starts, ends, _ = cut(list(map(normalised, texts)))
+            whole, points, starts, ends, _ = cut([normalised(t, path) for t in texts])
             if not len(starts):
                 continue
             _, first, n = np.unique(span_hashes(codes[points], starts, ends), return_index=True, return_counts=True)
@@ -456,21 +473,21 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.binary()), pa.array([k for _, k in some], pa.int64())], ["word", "n"])
 
 
-def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[bytes]:
+def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> list[bytes]:
     """The words with the largest summed counts, `most` at most."""
-    found = docs.select("text").mapInArrow(word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(lambda batches: word_counts(batches, path), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [w for w in found.orderBy(F.desc("n"), "word").limit(most).select("word").toArrow().column(0).to_pylist()]
 
 
 def encoded(docs: DataFrame, path: str | None = None, words: list[bytes] | None = None) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of their decoded text, for each row."""
     path = path or vocabulary_path()
-    block = Lexicon.compiled(vocabulary(path), frequent_words(docs) if words is None else words)
+    block = Lexicon.compiled(vocabulary(path), frequent_words(docs, path) if words is None else words)
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        encoder = Encoder(v, Lexicon.opened(shared.value))
+        encoder = Encoder(v, opened(shared.value))
         for batch in batches:
             for lo, texts in runs_of_texts(batch.column("text")):
                 ids, offsets = encoder.encode(texts)

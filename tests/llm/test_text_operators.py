@@ -304,6 +304,22 @@ def test_bpe_equals_the_library(spark, docs, corpus, empty):
     assert bpe.encoded(empty).count() == 0
 
 
+def test_bpe_knows_every_code_point():
+    """Alone, in runs, and after letters, digits, quotes and accents: the library's ids."""
+    v = bpe.vocabulary(bpe.vocabulary_path())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = points[:0x3400] + ["".join(points[k : k + 16]) for k in range(0, len(points), 16)]
+    texts += [f"a{x}b 1{x}2 '{x}s {x}\u0301 A{x}" for x in points[:0x3400] + points[0xA000:0xAC00] + points[0xF000:0x10000]]
+    texts += ["".join(points[k::997]) for k in range(300)]
+    encoder = bpe.Encoder(v)
+    for lo in range(0, len(texts), 20_000):
+        some = texts[lo : lo + 20_000]
+        want, _ = ids_of(some)
+        ids, at = encoder.encode(some)
+        for k, i in enumerate(want):
+            assert ids[at[k] : at[k + 1]].tolist() == i, ascii(some[k])
+
+
 def test_lexicon_is_minimal_and_exact():
     v = bpe.vocabulary(bpe.vocabulary_path())
     r = random.Random(1)
