@@ -1,15 +1,19 @@
 """Language ID by unigram pieces, with all segmentations of a word summed.
 
-The pieces are those of a fixed public vocabulary (lower-cased, letters only, up to eight bytes with the
-mark of a word's start as a space) and every single byte, so that any word has a segmentation.  A word
-is a run of ASCII letters and non-ASCII bytes; runs of over 32 bytes are scored in 32-byte parts.  Per
-language, expectation maximisation over the words of a bounded, documented sample of the rows that may
-be learnt from fits the pieces' probabilities.  A text's likelihood is the product over its words of the
-forward algorithm's sum; the score is the posterior of the best language.
+The pieces are those of a fixed public vocabulary (lower-cased, letters only, with the mark of a word's
+start as a space) and every single byte, so that any word has a segmentation.  A word is a longest run of
+ASCII letters and non-ASCII bytes, of any length.  Per language, expectation maximisation over the words of
+a bounded, documented sample of the rows that may be learnt from fits the pieces' probabilities.  A text's
+likelihood is the product over its words of the forward algorithm's sum; the score is the posterior of the
+best language.
+
+Pieces are found from their ends: a table holds every ending of a piece, so a search stops where no piece
+goes on.  Sums of long words are kept in range by factors that are taken out as they go.
 
 Defined cases: null text or text without any letter is `und` with score 0; with nothing to learn from
-every text is; repeated rows each get their row; ties go to the first language by name; extra columns
-are not read; an empty table gives no rows.
+every text is; each labelled row teaches its own language, though ids repeat; repeated rows each get their
+row; ties go to the first language by name; extra columns, whatever their names, are not read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,12 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import chunks, filtered, held_out, strings, table
-from parley.llm.textkernel import CODES, LOWER, runs, span_hashes
+from parley.llm.textkernel import CODES, LOWER, U, powers, runs, span_hashes
 
 #: Documents that the probabilities are fitted on, taken in the order of a hash of the id.
 TRAIN_ROWS = 3_000
-LONGEST = 8
-PART = 32
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 VOCABULARY = "piece_bpe_32k.model"
@@ -41,25 +43,45 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def packed(piece: bytes) -> int:
-    return int.from_bytes(piece, "little")
+@dataclass(frozen=True)
+class Pieces:
+    """Hashes of all endings of pieces, sorted, and which piece each is (-1: none itself); pieces count from 0."""
+
+    endings: np.ndarray
+    piece: np.ndarray
+    count: int
+    longest: int
+
+    @classmethod
+    def of(cls, names: list[bytes]) -> Pieces:
+        found: dict[bytes, int] = {}
+        for i, name in enumerate(names):
+            for k in range(1, len(name)):
+                found.setdefault(name[k:], -1)
+            found[name] = i
+        flat = np.frombuffer(b"".join(found), np.uint8)
+        ends = np.cumsum([len(x) for x in found])
+        place = ends.repeat([len(x) for x in found]) - 1 - np.arange(len(flat))  # from the end of each
+        hashes = np.add.reduceat(CODES[flat] * powers(int(place.max()) + 1)[0][place], np.append(0, ends[:-1]))
+        order = np.argsort(hashes)
+        return cls(hashes[order], np.array(list(found.values()), np.int32)[order], len(names), max(map(len, names)))
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str) -> np.ndarray:
-    """Sorted 64-bit codes of the vocabulary's usable pieces and all single bytes."""
+def pieces(path: str) -> Pieces:
+    """The vocabulary's pieces of letters and all single bytes."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
-    found = {packed(bytes([b])) for b in (0x20, *np.flatnonzero(LETTER).tolist())}
+    found = {bytes([b]) for b in (0x20, *np.flatnonzero(LETTER).tolist())}
     for i in range(model.get_piece_size()):
         if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
             continue
         piece = model.id_to_piece(i).replace("▁", " ").encode().lower()
         body = piece[1:] if piece[:1] == b" " else piece
-        if body and len(piece) <= LONGEST and LETTER[list(body)].all():
-            found.add(packed(piece))
-    return np.array(sorted(found), np.uint64)
+        if body and LETTER[list(body)].all():
+            found.add(piece)
+    return Pieces.of(sorted(found))
 
 
 def matrix(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,50 +96,70 @@ def matrix(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return out, sizes + 1
 
 
-def lattice(words: np.ndarray, sizes: np.ndarray, codes: np.ndarray):
-    """For each end position and piece length: (end, length, rows that have the piece, piece numbers)."""
-    out = []
-    wide = words.astype(np.uint64)
+def lattice(words: np.ndarray, sizes: np.ndarray, p: Pieces) -> Iterator[tuple[int, list[tuple[int, np.ndarray, np.ndarray]]]]:
+    """For each end position: (end, [(piece length, rows that have the piece there, piece numbers)])."""
+    up = powers(p.longest)[0]
+    columns = np.ascontiguousarray(CODES[words].T)
     for end in range(1, words.shape[1] + 1):
         rows = np.flatnonzero(sizes >= end)
-        key = np.zeros(len(rows), np.uint64)
-        for length in range(1, min(end, LONGEST) + 1):
-            key = key << np.uint64(8) | wide[rows, end - length]
-            at = np.minimum(np.searchsorted(codes, key), len(codes) - 1)
-            hit = codes[at] == key
-            if hit.any():
-                out.append((end, length, rows[hit], at[hit]))
+        key, found = np.zeros(len(rows), U), []
+        for length in range(1, min(end, p.longest) + 1):
+            key = key + columns[end - length][rows] * up[length - 1]
+            at = np.minimum(np.searchsorted(p.endings, key), len(p.endings) - 1)
+            hit = p.endings[at] == key
+            rows, key, ids = rows[hit], key[hit], p.piece[at[hit]]
+            if not len(rows):
+                break
+            whole = ids >= 0
+            if whole.any():
+                found.append((length, rows[whole].astype(np.int32), ids[whole]))
+        yield end, found
+
+
+def log_sums(words: np.ndarray, sizes: np.ndarray, p: Pieces, probability: np.ndarray) -> np.ndarray:
+    """Per row and language the log of the summed probability of all segmentations of the row's bytes."""
+    ring = p.longest + 1
+    alpha = np.zeros((ring, len(words), probability.shape[1]))  # of the last ends only
+    alpha[0] = 1.0
+    taken = np.zeros(alpha.shape[1:])
+    out = np.zeros_like(taken)
+    for end, found in lattice(words, sizes, p):
+        here = alpha[end % ring]
+        here[:] = 0.0
+        for length, rows, ids in found:
+            here[rows] += alpha[(end - length) % ring][rows] * probability[ids]
+        done = np.flatnonzero(sizes == end)
+        out[done] = np.log(here[done]) + taken[done]
+        if end % 8 == 0:
+            live = np.flatnonzero(sizes > end)
+            factor = here[live]
+            taken[live] += np.log(factor)
+            alpha[:, live] /= factor
     return out
 
 
-def forward(words: np.ndarray, sizes: np.ndarray, codes: np.ndarray, probability: np.ndarray, steps=None) -> np.ndarray:
-    """alpha[row, end, language]: the summed probability of all segmentations of the first `end` bytes."""
-    alpha = np.zeros((words.shape[1] + 1, len(words), probability.shape[1]))
-    alpha[0] = 1.0
-    for end, length, rows, ids in steps if steps is not None else lattice(words, sizes, codes):
-        alpha[end][rows] += alpha[end - length][rows] * probability[ids]
-    return alpha
+def by_size(sizes: np.ndarray, cells: int = 1 << 19) -> Iterator[np.ndarray]:
+    """Positions in runs of similar sizes, each of about so many cells as a matrix (or a single word)."""
+    order = np.argsort(sizes, kind="stable")
+    lo = 0
+    while lo < len(order):
+        limit = max(8, int(sizes[order[lo]]) * 3 // 2)
+        hi = int(np.searchsorted(sizes[order], limit, "right"))
+        hi = min(hi, lo + max(1, cells // (limit + 1)))
+        yield order[lo:hi]
+        lo = hi
 
 
-def parts(data: np.ndarray, offsets: np.ndarray):
-    """(starts, ends, text number) of the scored runs of letters in lower-cased bytes."""
+def letter_runs(data: np.ndarray, offsets: np.ndarray):
+    """(starts, ends, text number) of the words in lower-cased bytes."""
     starts, ends = runs(LETTER[data], offsets)
-    long = np.flatnonzero(ends - starts > PART)
-    if len(long):
-        more = [np.arange(starts[i], ends[i], PART) for i in long]
-        keep = np.ones(len(starts), bool)
-        keep[long] = False
-        all_starts = np.concatenate([starts[keep], *more])
-        all_ends = np.concatenate([ends[keep], *(np.minimum(m + PART, ends[i]) for m, i in zip(more, long, strict=True))])
-        order = np.argsort(all_starts)
-        starts, ends = all_starts[order], all_ends[order]
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    codes: np.ndarray
+    path: str
     probability: np.ndarray
     prior: np.ndarray
 
@@ -125,50 +167,59 @@ class Model:
         """Log likelihood of each text in each language."""
         n, low = len(offsets) - 1, LOWER[data]
         out = np.tile(self.prior, (n, 1))
-        starts, ends, doc = parts(low, offsets)
+        starts, ends, doc = letter_runs(low, offsets)
         if not len(starts):
             return out
         _, first, back = np.unique(span_hashes(CODES[low], starts, ends), return_index=True, return_inverse=True)
-        logs = np.empty((len(first), len(self.languages)))
-        sizes = ends[first] - starts[first]
-        for lo, hi in ((0, 6), (6, 12), (12, PART)):  # narrow matrices for short words
-            for rows in np.array_split(some := np.flatnonzero((sizes > lo) & (sizes <= hi)), max(1, len(some) // 20_000)):
-                if len(rows):
-                    words, lengths = matrix(low, starts[first[rows]], ends[first[rows]])
-                    alpha = forward(words, lengths, self.codes, self.probability)
-                    logs[rows] = np.log(alpha[lengths, np.arange(len(rows))])
+        logs, p = np.empty((len(first), len(self.languages))), pieces(self.path)
+        for rows in by_size(ends[first] - starts[first]):
+            logs[rows] = log_sums(*matrix(low, starts[first[rows]], ends[first[rows]]), p, self.probability)
         for k in range(len(self.languages)):
             out[:, k] += np.bincount(doc, logs[back, k], n)
         return out
 
 
+def expected_counts(steps: list, sizes: np.ndarray, often: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in words that occur `often`, given the pieces' log probabilities."""
+    at = np.arange(len(sizes))
+    alpha = np.full((int(sizes.max()) + 1, len(sizes)), -np.inf)
+    alpha[0] = 0.0
+    for end, found in steps:
+        for length, rows, ids in found:
+            alpha[end][rows] = np.logaddexp(alpha[end][rows], alpha[end - length][rows] + logs[ids])
+    beta = np.full_like(alpha, -np.inf)
+    beta[sizes, at] = -alpha[sizes, at]
+    out = np.zeros(len(logs))
+    for end, found in reversed(steps):
+        for length, rows, ids in found:
+            flow = beta[end][rows] + logs[ids]
+            out += np.bincount(ids, np.exp(alpha[end - length][rows] + flow) * often[rows], len(logs))
+            beta[end - length][rows] = np.logaddexp(beta[end - length][rows], flow)
+    return out
+
+
 def fit(counts: dict[str, dict[bytes, int]], path: str, shares: dict[str, int], rounds: int = 4) -> Model | None:
-    """counts: per language its words (lower-cased, at most PART bytes) and how often each occurs."""
+    """counts: per language its words (lower-cased) and how often each occurs."""
     languages = tuple(sorted(k for k in counts if counts[k]))
     if not languages:
         return None
-    codes = pieces(path)
-    table_ = np.full((len(codes), len(languages)), 1.0 / len(codes))
+    p = pieces(path)
+    table_ = np.full((p.count, len(languages)), 1.0 / p.count)
     for k, language in enumerate(languages):
         names = list(counts[language])
-        often = np.array([counts[language][w] for w in names], float)
-        ends = np.cumsum([len(w) for w in names])
-        words, sizes = matrix(np.frombuffer(b"".join(names), np.uint8), ends - [len(w) for w in names], ends)
-        steps = lattice(words, sizes, codes)
+        often, lengths = np.array([counts[language][w] for w in names], float), np.array(list(map(len, names)))
+        ends = np.cumsum(lengths)
+        flat = np.frombuffer(b"".join(names), np.uint8)
+        groups = []
+        for rows in by_size(lengths):
+            words, sizes = matrix(flat, (ends - lengths)[rows], ends[rows])
+            groups.append((list(lattice(words, sizes, p)), sizes, often[rows]))
         for _ in range(rounds):
-            p = table_[:, k : k + 1]
-            alpha = forward(words, sizes, codes, p, steps)[:, :, 0]
-            beta = np.zeros_like(alpha)
-            whole = alpha[sizes, np.arange(len(names))]
-            beta[sizes, np.arange(len(names))] = often / np.maximum(whole, 1e-300)
-            expected = np.full(len(codes), 0.05)
-            for end, length, rows, ids in reversed(steps):
-                flow = beta[end][rows] * p[ids, 0]
-                np.add.at(expected, ids, flow * alpha[end - length][rows])
-                beta[end - length][rows] += flow
+            logs = np.log(table_[:, k])
+            expected = 0.05 + sum(expected_counts(*g, logs) for g in groups)
             table_[:, k] = expected / expected.sum()
     share = np.array([shares[x] for x in languages], float)
-    return Model(languages, codes, table_, np.log(share / share.sum()))
+    return Model(languages, path, table_, np.log(share / share.sum()))
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +227,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in chunks(batch.column("text")):
             low = LOWER[data]
-            starts, ends, doc = parts(low, offsets)
+            starts, ends, doc = letter_runs(low, offsets)
             names, language = np.unique(np.array(batch.column("lang").slice(lo, hi - lo).to_pylist(), object).astype(str), return_inverse=True)
             out = [(names[i], b"", int((language == i).sum())) for i in range(len(names))]
             for i, name in enumerate(names):
@@ -190,9 +241,10 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, path: str | None = None) -> Model | None:
     """Fits a model on at most `rows` documents with a language and text that aren't held out."""
-    known = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    known = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null").where(~held_out()).select("doc_id").distinct()
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id").select("lang", "text")
+    texts = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text")
+    texts = texts.join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi").select("lang", "text")
     found = texts.mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, dict[bytes, int]] = {}
     shares: dict[str, int] = {}

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,20 +238,81 @@ def test_language_id(spark, docs, empty):
     assert nothing is None and {r.lang_pred for r in languageid.predict(docs, nothing).collect()} == {"und"}
 
 
-def test_forward_sums_all_segmentations():
-    pieces = {b" a": 0.2, b" ab": 0.1, b"b": 0.3, b"bc": 0.15, b"c": 0.05, b" ": 0.1, b"a": 0.07, b"abc": 0.03}
-    codes = np.array(sorted(map(languageid.packed, pieces)), np.uint64)
-    p = np.array([[{languageid.packed(k): v for k, v in pieces.items()}[int(c)]] for c in codes])
+PIECES = {b" a": 0.2, b" ab": 0.1, b"b": 0.3, b"bc": 0.15, b"c": 0.05, b" ": 0.1, b"a": 0.07, b"abcabcabcabcabc": 0.03}
 
-    def brute(x):
-        return 1.0 if not x else sum(v * brute(x[len(k) :]) for k, v in pieces.items() if x.startswith(k))
 
-    names = [b"a", b"abc", b"abcabc", b"cab", b"bbb"]
+def word_matrix(names):
     ends = np.cumsum(list(map(len, names)))
-    words, sizes = languageid.matrix(np.frombuffer(b"".join(names), np.uint8), ends - [len(n) for n in names], ends)
-    alpha = languageid.forward(words, sizes, codes, p)
+    return languageid.matrix(np.frombuffer(b"".join(names), np.uint8), ends - [len(n) for n in names], ends)
+
+
+def segmentations(x):
+    return [[]] if not x else [[k, *rest] for k in PIECES if x.startswith(k) for rest in segmentations(x[len(k) :])]
+
+
+def test_forward_sums_all_segmentations():
+    p = languageid.Pieces.of(list(PIECES))
+    names = [b"a", b"abc", b"abcabc", b"cab", b"bbb", b"abcabcabcabcabc"]
+    got = languageid.log_sums(*word_matrix(names), p, np.array(list(PIECES.values()))[:, None])
     for i, n in enumerate(names):
-        assert alpha[sizes[i], i, 0] == pytest.approx(brute(b" " + n))
+        assert np.exp(got[i, 0]) == pytest.approx(sum(np.prod([PIECES[k] for k in s]) for s in segmentations(b" " + n)))
+
+
+def test_forward_of_words_of_any_length():
+    p = languageid.Pieces.of([b" ", b"a", b"ab", b"b"])
+    probability = np.array([[0.1, 1e-9], [0.2, 1e-8], [0.3, 1e-7], [0.4, 1e-9]])
+    n = 4000  # (ab)^n has (a b | ab)^n
+    got = languageid.log_sums(*word_matrix([b"ab" * n, b"a"]), p, probability)
+    for k in range(2):
+        q = probability[:, k]
+        assert got[0, k] == pytest.approx(np.log(q[0]) + n * np.log(q[1] * q[3] + q[2]))
+        assert got[1, k] == pytest.approx(np.log(q[0] * q[1]))
+
+
+def test_expectations_are_those_of_all_segmentations():
+    p, weights = languageid.Pieces.of(list(PIECES)), np.array(list(PIECES.values()))
+    names, often = [b"abc", b"abcabc", b"a", b"abcabcabcabcabc"], np.array([2.0, 5.0, 1.0, 3.0])
+    words, sizes = word_matrix(names)
+    got = languageid.expected_counts(list(languageid.lattice(words, sizes, p)), sizes, often, np.log(weights))
+    want = np.zeros(len(PIECES))
+    for name, times in zip(names, often, strict=True):
+        every = segmentations(b" " + name)
+        share = np.array([np.prod([PIECES[k] for k in s]) for s in every])
+        for s, x in zip(every, share / share.sum(), strict=True):
+            for k in s:
+                want[list(PIECES).index(k)] += times * x
+    assert got == pytest.approx(want)
+
+
+def test_all_pieces_of_letters_are_used():
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=languageid.vocabulary_path())
+    texts = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    plain = re.compile("▁?(?:(?!▁)[A-Za-z\u0080-\U0010ffff])+")
+    want = {t.replace("▁", " ").encode().lower() for t in texts if plain.fullmatch(t)} | {bytes([b]) for b in range(256) if b >= 128 or chr(b) in " abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    p = languageid.pieces(languageid.vocabulary_path())
+    assert sum(len(w) > 8 for w in want) > 2_000 and p.longest == max(map(len, want))
+    assert p.count == len(want) == (p.piece >= 0).sum() and len(np.unique(p.endings)) == len(p.endings)
+
+
+def test_language_id_scores_whole_words_end_to_end(spark):
+    """Two made-up languages: the posterior from the model's own sums, word by word; long runs and CJK are whole."""
+    rows = [(k, w, lang) for k in range(60) for lang, w in (("xx", f"malo kora{'ta' * (k % 4)} " * 9), ("yy", f"strumpf wirklich{'keit' * (k % 3)} " * 9))]
+    rows = [(10 * i + 1, t, lang) for i, (_, t, lang) in enumerate(rows)]
+    rows += [(5, "strumpfwirklichkeit" * 30, None), (6, "malokora" * 99 + " malo", None), (7, "日本語テキスト" * 40, None), (8, "12 34", "yy"), (9, None, "xx")]
+    rows += [(1, "strumpf " * 500, None), (11, "wirklich strumpf", None)]  # ids of labelled rows: their own language is unknown
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = languageid.train(df)
+    assert model.languages == ("xx", "yy")
+    got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in df.select("doc_id", "text").join(languageid.predict(df, model), "doc_id").collect() if r.doc_id < 10 and r.doc_id != 1}
+    assert got[5, rows[-7][1]][0] == "yy" and got[6, rows[-6][1]][0] == "xx"
+    assert got[8, "12 34"] == ("und", 0.0) and got[9, None] == ("und", 0.0) and got[7, rows[-5][1]][0] in ("xx", "yy")
+    p = languageid.pieces(model.path)
+    for text in ("malo strumpf kora", "wirklichkeit", "koratata malo malo"):
+        logs = model.prior + sum(languageid.log_sums(*word_matrix([w.encode()]), p, model.probability)[0] for w in text.split())
+        names, score = languageid.predicted(pa.array([text]), model)
+        assert names[0] == model.languages[int(logs.argmax())] and score[0] == pytest.approx(1 / np.exp(logs - logs.max()).sum())
 
 
 def base_statistics(s):
