@@ -1,24 +1,27 @@
 """HTML extraction by the maximum-scoring subsequence.
 
 A page is a sequence of words and tags.  Words score positive and tags negative, each tag by a weight
-that labelled pages give (the log odds of standing inside the marked content, so that paragraph and
-emphasis tags cost little and list, link and section tags much); a linear scan finds the contiguous run
-with the largest sum.  Elements that can't be content (scripts, styles, navigation, asides, forms,
-and those whose class, id or role names them as menus, adverts, notices, comments and the like) hold
-no words: each costs a little as a whole and is never part of the text.  Names after a part such as
-"no" or "with" say nothing.  A form or an element with such a class or id that wraps the page (no
-article or main is outside, and it holds one, or most words with few outside) is left to the scan; no run crosses
-its border.  So is a navigation or form without an end tag, by the weight of its tag.
+that labelled pages give: the log odds of standing inside the marked content, times the factor under which
+the scan finds that content best.  A linear scan finds the contiguous run with the largest sum.
+
+Inside of it some elements are no content: scripts, styles, navigation, asides, forms, and those whose class,
+id or role names them as menus, adverts, notices, comments and the like.  They hold no words: each costs a
+little as a whole and is never part of the text.  An article's own header is content.  Names after a part such as
+"no" or "with" say nothing, and so do names of subjects ("legal", "popular") before one of content ("article").
+A form or an element with such a class or id that wraps the page (no article or main is outside, and it holds
+one, or most words with few outside; for names of subjects, more than there are outside) is left to the scan; no
+run crosses its border.  So is a navigation, form or drawing without an end tag, by the weight of its tag.
 
 Defined cases: null or empty html gives an empty text; a page without words has none; a tag
-that the page's end cuts off is no text; repeated pages each get their row; extra columns are
-not read; an empty table gives no rows; pages are read whole.
+that the page's end cuts off is no text; repeated pages each get their row; extra columns, whatever their
+names, are not read; an empty table gives no rows; pages are read whole.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from html import unescape
@@ -27,12 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from parley.llm.common import strings, table
+from parley.llm.labelledpages import labelled_pages
 
 # Elements by kind, in HTML.
-RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "xmp", "noembed", "noframes")
-BOILERPLATE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "select", "button", "fieldset", "label", "datalist"}
+RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title", "annotation", "annotation-xml", "object", "xmp", "noembed", "noframes")
+BOILERPLATE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "select", "button", "fieldset", "label", "datalist", "svg"}
+#: Elements of which a slash before the end of the tag closes them.
+FOREIGN = {"svg"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE |= {"math", "mfrac", "mi", "mn", "mo", "mover", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtext", "munder", "munderover", "semantics"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "alert", "dialog"}
 NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "adsense", "adslot", "adbox", "sponsor", "sponsored", "promo", "promotion", "banner",
@@ -46,6 +53,9 @@ NAMES = {
 #: Parts of a name after which the others describe a layout: no-sidebar, with-menu.
 QUALIFIERS = {"no", "not", "non", "without", "with", "has", "have", "hide"}
 REPLIES = {"comment", "comments", "commentlist", "replies", "reply", "disqus", "respond"}
+#: Names that may be what an article is about, and names of content that they then stand before.
+SUBJECTS = {"legal", "popular", "trending", "discussion", "tags", "notice", "alert", "social", "share", "search", "form", "banner", "copyright"}
+CONTENT = {"article", "body", "content", "entry", "main", "page", "post", "story", "text"}
 BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "article", "main"}
 
 TOKEN = re.compile(
@@ -63,13 +73,8 @@ SHUT_SCORE = -0.2
 #: A wrapper holds more than so many times the words outside of it, or is none by its words; a form without blocks has so many.
 WRAPPER_TIMES, WRAPPER_WORDS = 4, 50
 
-#: Labelled pages: between <content> and </content> stands what a reader came for.
-LABELLED = (
-    "<html><head><meta charset='utf-8'><title>t</title></head><body><nav><ul><li><a href='/a'>home</a></li><li><a href='/b'>news today</a></li><li><a href='/c'>sport</a></li></ul></nav><div class='ad'>buy this now for less</div><article><content><h1>A title of the page</h1><p><b>the first words of the text</b> go on for a while <br> and end here</p><p>another paragraph of the text with some more words in it</p><p>short one</p></content></article><footer>all rights reserved by us</footer></body></html>",
-    "<html><body><header><a href='/'>site name</a></header><div id='menu'><ul><li><a>one</a></li><li><a>two</a></li></ul></div><div class='main'><content><h2>Heading</h2><p>words of the text in a <a href='/x'>linked phrase</a> that go on</p><blockquote><p>a quoted sentence of some words</p></blockquote><p>and the last <em>words</em> here</p></content></div><aside><h3>see too</h3><ul><li><a>this</a></li><li><a>that</a></li></ul></aside><footer><p>contact us</p></footer></body></html>",
-    "<html><body><div class='nav'><a>a</a><a>b</a><a>c</a></div><section><content><h1>Name</h1><p>one sentence of the article, with words.</p><ul><li>an item of the text itself</li><li>a second item of the text</li></ul><p>closing words of the article</p></content></section><section id='comments'><h3>comments</h3><div><p>a reader says this</p></div><div><p>another says that</p></div></section><form><label>mail</label><input><button>send</button></form></body></html>",
-    "<html><body><table><tr><td><a>x</a></td><td><a>y</a></td></tr></table><main><content><p>a long paragraph of text that has no heading but many words in it</p><pre>some code</pre><p>the next paragraph says <i>more</i> about <span>it</span></p></content></main><div class='share'><a>share</a><a>mail</a></div></body></html>",
-)
+#: Factors of the log odds that are tried on the labelled pages.
+FACTORS = (0.25, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0)
 
 
 def names_boilerplate(rest: str) -> set[str]:
@@ -84,7 +89,10 @@ def names_boilerplate(rest: str) -> set[str]:
             found.add("*")
         if kind in ("class", "id"):
             for one in value.split():
-                for part in map(str.lower, NAME_PARTS.findall(one)):
+                parts = [x.lower() for x in NAME_PARTS.findall(one)]
+                for part in parts:
+                    if part in SUBJECTS and parts[-1] in CONTENT:
+                        continue
                     if part in QUALIFIERS:
                         break
                     if part in NAMES:
@@ -107,26 +115,40 @@ def pieces(html: str) -> Iterator[tuple[str, str, str]]:
         yield "text", "", html[at:]
 
 
-@lru_cache(maxsize=1)
-def tag_weights(labelled: Iterable[str] = LABELLED) -> dict[str, float]:
-    """The score of each tag's occurrence, below 0; the entry "" is for tags that no labelled page has."""
-    inside: dict[str, float] = {}
-    outside: dict[str, float] = {}
+def log_odds(labelled: Iterable[str]) -> dict[str, float]:
+    """Of each tag the log odds of an occurrence inside the content, among those that the scan looks at."""
+    sides: tuple[dict, dict] = ({}, {})
     for html in labelled:
         content = False
-        for kind, name, _ in pieces(html):
+        for kind, name, _, before, after in steps_of(html):
             if name == "content":
                 content = kind == "open"
-            elif kind in ("open", "close"):
-                side = inside if content else outside
+            elif kind in ("open", "close") and not before.shut and not (name == "header" and after.shut):  # a page's own header is none of an article's
+                side = sides[content]
                 side[name] = side.get(name, 0) + 1
-    total_in, total_out = sum(inside.values()), sum(outside.values())
-    weights = {}
-    for name in {*inside, *outside}:
-        odds = math.log((inside.get(name, 0) + 0.5) / (total_in + 1)) - math.log((outside.get(name, 0) + 0.5) / (total_out + 1))
-        weights[name] = min(-0.05, 2 * odds) if odds < 0 else -0.05
-    weights[""] = -0.5
-    return weights
+    totals = [sum(side.values()) + 1 for side in sides]
+    rate = lambda side, name: math.log((side.get(name, 0) + 0.5) / totals[side is sides[1]])
+    return {name: rate(sides[1], name) - rate(sides[0], name) for name in {*sides[0], *sides[1]}}
+
+
+def agreement(labelled: Iterable[str], weights: dict[str, float]) -> float:
+    """Mean share of words that the extracted texts and the content have in common."""
+    total = 0.0
+    for html in labelled:
+        inside = html[html.index("<content>") + 9 : html.index("</content>")]
+        want = Counter(re.sub(r"<[^>]*>", " ", inside).split())
+        got = Counter(extract(html.replace("<content>", "").replace("</content>", ""), weights).split())
+        total += 2 * (want & got).total() / max((want + got).total(), 1)
+    return total / len(labelled)
+
+
+@lru_cache(maxsize=1)
+def tag_weights() -> dict[str, float]:
+    """The score of each tag's occurrence, below 0; the entry "" is for tags that no labelled page has."""
+    pages = labelled_pages()
+    odds = log_odds(pages)
+    tries = [{"": -0.5} | {name: min(-0.05, factor * x) for name, x in odds.items()} for factor in FACTORS]
+    return max(tries, key=lambda w: agreement(pages, w))
 
 
 class Element:
@@ -156,35 +178,48 @@ def judge(page: Element, elements: list[Element]) -> None:
         e.borders, e.shut = e.up.borders, True
         if e.up.shut or "*" in e.marks:
             continue
-        loose = not e.ended and e.name in ("nav", "form", "menu") and e.blocks
-        most = (e.blocks or e.words >= WRAPPER_WORDS) and 2 * e.words > pool and e.words > WRAPPER_TIMES * open_words and not (open_words and e.marks & REPLIES)
+        loose = not e.ended and e.name in ("nav", "form", "menu", "svg") and e.blocks
+        subject = bool(e.marks) and e.marks <= SUBJECTS and e.name not in BOILERPLATE
+        enough = e.blocks or e.words >= WRAPPER_WORDS or subject and not open_words
+        most = enough and 2 * e.words > pool and e.words > (1 if subject else WRAPPER_TIMES) * open_words and not (open_words and e.marks & REPLIES)
         if loose or (e.may_wrap or not e.ended) and not page.content and (e.content or most):
             e.shut = False
             e.borders += not loose
             open_words += e.direct
 
 
-def extract(html: str | None, weights: dict[str, float] | None = None) -> str:
-    """The page's main text: blocks joined by two line feeds."""
-    if not html:
-        return ""
-    weights = weights or tag_weights()
-    unknown = weights[""]
+def best_run(scores: Iterable[float]) -> tuple[int, int]:
+    """(begin, end) of the contiguous run with the largest sum above 0; of equal ones the first, at its longest."""
+    best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
+    for i, score in enumerate(scores):
+        if total < 0:
+            total, begin = 0.0, i
+        total += score
+        if total > best or total == best and best_at[0] == begin and best > 0:
+            best, best_at = total, (begin, i + 1)
+    return best_at
+
+
+def steps_of(html: str) -> list[tuple[str, str, str, Element, Element]]:
+    """(kind, name, text, the innermost element that may be no content before and after) of each piece, judged."""
     page = Element(None, "", set())
     elements: list[Element] = []
     stack: list[tuple[str, Element, bool]] = []  # (name, innermost element that can't be content, whether it is this one)
-    here, steps = page, []  # (kind, name, text or its words, the innermost element before and after)
+    here, steps = page, []
     for kind, name, text in pieces(html):
         before = here
         if kind == "text":
             here.direct += len(text.split())
         elif kind == "open" and name not in VOID:
             marks = names_boilerplate(text)
-            bad = name in BOILERPLATE or marks and name not in ("html", "body", "article", "main")
+            bad = name in BOILERPLATE
+            if (name == "header" or "header" in marks) and here is page and any(x in ("article", "main") for x, _, _ in stack):
+                marks, bad = marks - {"header"}, bad and name != "header"  # the content's own
+            bad = bad or marks and name not in ("html", "body", "article", "main")
             if name in BLOCKS:
                 here.blocks = True
                 here.content |= name in ("article", "main") and not marks
-            if not text.rstrip().endswith("/") or name in BOILERPLATE:
+            if not text.rstrip().endswith("/") or name in BOILERPLATE - FOREIGN:
                 if bad:
                     here = Element(here, name, marks)
                     elements.append(here)
@@ -198,6 +233,16 @@ def extract(html: str | None, weights: dict[str, float] | None = None) -> str:
                 here = stack[-1][1] if stack else page
         steps.append((kind, name, text, before, here))
     judge(page, elements)
+    return steps
+
+
+def extract(html: str | None, weights: dict[str, float] | None = None) -> str:
+    """The page's main text: blocks joined by two line feeds."""
+    if not html:
+        return ""
+    weights = weights or tag_weights()
+    unknown = weights[""]
+    steps = steps_of(html)
     runs: list[tuple[float, str | None, bool]] = []  # (score, text, whether a block ends here)
     for kind, name, text, before, after in steps:
         if kind == "text":
@@ -210,15 +255,9 @@ def extract(html: str | None, weights: dict[str, float] | None = None) -> str:
         else:
             score = 0.0 if kind == "none" or before.shut else SHUT_SCORE if after.shut else weights.get(name, unknown)
         runs.append((score, " " if name == "br" else None, block and kind != "none"))
-    best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
-    for i, (score, _, _) in enumerate(runs):
-        if total < 0:
-            total, begin = 0.0, i
-        total += score
-        if total > best or total == best and best_at[0] == begin and best > 0:
-            best, best_at = total, (begin, i + 1)
+    begin, end = best_run(score for score, _, _ in runs)
     blocks, held = [], []
-    for _, text, ends in runs[best_at[0] : best_at[1]]:
+    for _, text, ends in runs[begin:end]:
         if text is not None:
             held.append(text)
         elif ends:
@@ -230,12 +269,13 @@ def extract(html: str | None, weights: dict[str, float] | None = None) -> str:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row."""
+    weights = tag_weights()  # learnt once, by the driver
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                texts = [extract(x.as_py()) for x in strings(part.column("html"))]
+                texts = [extract(x.as_py(), weights) for x in strings(part.column("html"))]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
