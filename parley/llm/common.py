@@ -68,21 +68,21 @@ def saved(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
         conf["spark__sql__execution__arrow__maxRecordsPerBatch"] = str(batch_rows)
     with settings(spark, **conf):
         df.write.parquet(path)
-    file_system, at = _file_system(spark, path)
+    file_system, at = file_system_of(spark, path)
     file_system.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._parley_path = path
     return out
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system_of(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def deleted(df: DataFrame) -> None:
     """Deletes the table that a saved() frame reads."""
-    file_system, at = _file_system(df.sparkSession, df._parley_path)
+    file_system, at = file_system_of(df.sparkSession, df._parley_path)
     file_system.delete(at, True)
 
 

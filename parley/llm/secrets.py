@@ -2,10 +2,11 @@
 
 Every version (row) of the corpus is addressed by the SHA-256 of its text.  A blob is scanned once per
 rule version, however many rows hold it, and never again if a ledger of earlier scans has the pair;
-findings are joined back to every row that holds the blob.
+findings are kept with their rule version and joined back to every row that holds the blob.
 
-Defined cases: null text counts as empty and has no findings; repeated rows each get their result;
-extra columns pass through unread; an empty table gives no rows; texts are scanned whole.
+Defined cases: null text counts as empty and has no findings; null keys are keys; repeated rows, and ids that
+repeat with other texts, each get their result; extra columns, whatever their names but __sha and __spans, pass
+through unread; an empty table gives no rows; texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import strings, table
+from parley.llm.common import file_system_of, saved, strings, table
 
 # The base kinds in the order in which equal starts are listed, then what this module adds.
 BASE_KINDS = ("assign", "access", "hex")
@@ -35,6 +36,7 @@ PEM = rf"-----BEGIN (?P<label>(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----(?:(?:(
 MORE = {"pem": re.compile(PEM), "github": re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")}
 NEEDLES = ("passw", "secret", "token", "apikey", "api_key")
 FINDINGS = "sha string, n_assign long, n_access long, n_hex long, base string, spans string"
+LEDGER = "sha string, rules string"
 
 
 def spans_of(text: str) -> list[tuple[int, int, str]]:
@@ -71,31 +73,51 @@ def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def addressed(versions: DataFrame, key: str = "doc_id") -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return versions.select(F.col(key).alias("key"), F.sha2(text, 256).alias("sha"), text.alias("text"))
+    return versions.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.sha2(text, 256).alias("sha"), text.alias("text"))
 
 
 def unseen(versions: DataFrame, ledger: DataFrame | None = None, key: str = "doc_id", rules: str = RULES_VERSION) -> DataFrame:
-    """(sha, text) of each blob that the ledger (sha, rules) lacks under these rules, once."""
+    """(sha, text) of each blob that the ledger (sha, rules) lacks under these rules, once (for each row of its least key)."""
     blobs = addressed(versions, key)
-    owners = blobs.groupBy("sha").agg(F.min(F.coalesce("key", F.lit(-1))).alias("owner"))
+    owners = blobs.groupBy("sha").agg(F.min("key").alias("key"))
     if ledger is not None:
-        owners = owners.join(ledger.where(F.col("rules") == rules), "sha", "left_anti")
-    kept = blobs.withColumn("owner", F.coalesce("key", F.lit(-1))).hint("shuffle_hash")
-    return kept.join(owners.hint("shuffle_hash"), ["owner", "sha"], "left_semi").select("sha", "text")
+        owners = owners.join(ledger.where(F.col("rules") == rules).hint("merge"), "sha", "left_anti")
+    return blobs.join(owners.hint("merge"), ["key", "sha"], "left_semi").select("sha", "text")
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
-    """Findings of all blobs: those scanned now and, where a ledger is given, those `known` from before.
+def scan(versions: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None, key: str = "doc_id", rules: str = RULES_VERSION) -> DataFrame:
+    """Findings under these rules: of blobs scanned now and, with a ledger, those `known` under the same rules from before.
 
-    One row per blob with findings: sha, counts of the base kinds, base and all spans.
+    One row per blob with findings: sha, counts of the base kinds, base and all spans, rules.
     """
-    found = unseen(versions, ledger, key).mapInArrow(scan_batches, FINDINGS).dropDuplicates(["sha"])
-    return found if known is None else found.unionByName(known)
+    found = unseen(versions, ledger, key, rules).mapInArrow(scan_batches, FINDINGS).dropDuplicates(["sha"]).withColumn("rules", F.lit(rules))
+    return found if known is None else found.unionByName(known.where(F.col("rules") == rules))
 
 
-def ledger_of(versions: DataFrame, rules: str = RULES_VERSION) -> DataFrame:
+def ledger_of(versions: DataFrame, key: str = "doc_id", rules: str = RULES_VERSION) -> DataFrame:
     """The (sha, rules) pairs that a scan of these versions settles, for the next run's ledger."""
-    return addressed(versions).select("sha").distinct().withColumn("rules", F.lit(rules))
+    return addressed(versions, key).select("sha").distinct().withColumn("rules", F.lit(rules))
+
+
+def incremental(versions: DataFrame, folder: str, key: str = "doc_id", rules: str = RULES_VERSION) -> DataFrame:
+    """Findings of all versions; the folder's ledger and findings spare blobs that it has, and grow by the others.
+
+    Findings are written before the pairs that settle them, so a run that is cut short is only done again.
+    """
+    spark = versions.sparkSession
+    rows = saved(addressed(versions, key).select("key", "sha"))
+    ledger, known = (_table_at(spark, f"{folder}/{name}", kind) for name, kind in (("ledger", LEDGER), ("findings", f"{FINDINGS}, rules string")))
+    fresh = saved(scan(versions, ledger, None, key, rules))
+    fresh.join(known.select("sha", "rules"), ["sha", "rules"], "left_anti").write.mode("append").parquet(f"{folder}/findings")
+    done = rows.select("sha").distinct().withColumn("rules", F.lit(rules)).join(ledger.hint("merge"), ["sha", "rules"], "left_anti")
+    saved(done).write.mode("append").parquet(f"{folder}/ledger")
+    findings = _table_at(spark, f"{folder}/findings", f"{FINDINGS}, rules string").where(F.col("rules") == rules)
+    return rows.join(findings, "sha")
+
+
+def _table_at(spark, path: str, kind: str) -> DataFrame:
+    file_system, at = file_system_of(spark, path)
+    return spark.read.schema(kind).parquet(path) if file_system.exists(at) else spark.createDataFrame([], kind)
 
 
 def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:

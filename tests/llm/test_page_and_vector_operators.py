@@ -76,9 +76,54 @@ def test_blocks_spread_to_aliases(spark):
     assert got["http://y.com/fr/ok"] == "allow" and got["http://one.net/q"] == "allow"  # an explicit allow comes first
 
 
+LINKS = [
+    ("http://a.net/x/y/z", "<link rel=canonical href='../w'>", ("a.net/x/y/z", "a.net/x/w")),
+    ("http://a.net/x/y/z", "<link rel=canonical href='./../../../up/.'>", ("a.net/x/y/z", "a.net/up/")),
+    ("http://a.net", "<link rel='canonical' href='http://b.net'>", ("a.net/", "b.net/")),
+    ("http://a.net/p", "<link rel=canonical href='/q?a=1&amp;b=2'>", ("a.net/p", "a.net/q")),
+    ("http://a.net/p", '<link rel=canonical href="/a&amp;b&#47;c&#x64;">', ("a.net/p", "a.net/a&b/cd")),
+    ("http://a.net/p", "<!-- <link rel=canonical href='/no'> -->", None),
+    ("http://a.net/p", "<script>var x = \"<link rel=canonical href='/no'>\"</script>", None),
+    ("http://a.net/p", "<title><link rel=canonical href='/no'></title><link rel=canonical href='/yes'>", ("a.net/p", "a.net/yes")),
+    ("http://a.net/p", "<link rel=canonical href='mailto:x@y.z'>", None),
+    ("http://a.net/p", "<link rel=canonical href='r?u=http://c.net/'>", ("a.net/p", "a.net/r")),
+    ("http://a.net/p", "<link rel=canonical href='?page=2'>", ("a.net/p", "a.net/p")),
+    ("http://A.net/p", "<meta http-equiv='refresh' content='3; URL=HTTPS://B.net:80/Q#x'>", ("a.net/p", "b.net:80/Q")),
+    ("nothing", "<link rel=canonical href='/no'>", None),
+    (None, "<link rel=canonical href='/no'>", None),
+]
+
+
+def test_links_are_resolved(spark):
+    df = spark.createDataFrame([(k, u, h) for k, (u, h, _) in enumerate(LINKS)], "page_id long, url string, html string")
+    for k, (_, html, want) in enumerate(LINKS):
+        got = [tuple(e) for e in urlfilter.link_edges(df.where(F.col("page_id") == k)).collect()]
+        assert got == ([want] if want else []), html
+
+
+def test_any_number_of_rules(spark):
+    """More rules than one expression holds, and fewer; repeated pages and clashing names are nothing special."""
+    rules = [*urlfilter.RULES, ("block", "org", "/"), *(("block" if k % 2 else "allow", f"h{k}.net", "/" + "p" * (k % 5)) for k in range(600))]
+    urls = [*URLS, *(f"http://www.h{k}.net/{'p' * (k % 7)}/x" for k in range(0, 640, 7)), "http://h3.net", "http://.h4.net/pppp"]
+    pages = spark.createDataFrame([(k, u, "x", "y", "z") for k, u in enumerate(urls * 2)], "page_id long, url string, host string, verdict string, own string")
+    edges = spark.createDataFrame([("z.net/a", "www.h1.net/p")], "a string, b string")
+    for some in (rules, rules[:40]):
+        got = urlfilter.judge(pages, edges, some).collect()
+        assert len(got) == 2 * len(urls)
+        for r in got:
+            host, path = plain_split((urls * 2)[r.page_id])
+            fits = [(len(h + p), -k, v, h + p) for k, (v, h, p) in enumerate(some) if (host == h or host.endswith("." + h)) and path.startswith(p)]
+            _, _, verdict, rule = max(fits, default=(0, 0, "block" if (host, path) == ("z.net", "/a") else "allow", None))
+            assert (r.host, r.path, r.verdict, r.rule) == (host, path, verdict, rule)
+
+
 def test_only_dataframe_operations(spark):
     plan = urlfilter.op2_url_filter(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan)
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    many = [("block", f"h{k}.net", "/") for k in range(600)]
+    plan = urlfilter.judge(pages, urlfilter.link_edges(pages), many)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|MapInArrow|ExistingRDD", plan)
 
 
 def exact_neighbours(vectors, k=5):

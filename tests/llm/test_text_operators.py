@@ -450,6 +450,41 @@ def test_ledger_spares_seen_blobs(spark):
     assert secrets.scan(more, ledger, known).count() == known.count() + 1
 
 
+def test_two_runs_with_a_ledger_and_new_rules(spark, tmp_path):
+    """A second run scans new blobs only; after a rule change every blob is scanned once again and comes once."""
+    names = "path string, text string, sha int, rules string"
+    rows = [(f"p{k}" if k != 3 else None, t, 1, "x") for k, t in SECRETS]
+    first = spark.createDataFrame(rows, names)
+    folder = str(tmp_path / "ledger")
+    want = lambda more=(): sorted((k or "", ",".join(s)) for k, t, *_ in [*rows, *more] if (s := plain_spans(t)))
+    base = lambda df: sorted((r.key, r.base) for r in df.collect() if r.base)
+    assert base(secrets.incremental(first, folder, "path")) == want()
+    assert base(secrets.incremental(first, folder, "path")) == want()
+    more = [("q7", "new token: abcdefgh", 1, "x"), ("q8", SECRETS[0][1], 1, "x")]
+    both = first.union(spark.createDataFrame(more, names))
+    ledger = spark.read.parquet(f"{folder}/ledger")
+    assert [r.text for r in secrets.unseen(both, ledger, "path").collect()] == ["new token: abcdefgh"]
+    assert base(secrets.incremental(both, folder, "path")) == want(more)
+    assert base(secrets.incremental(both, folder, "path", "rules-2")) == want(more)
+    assert base(secrets.incremental(both, folder, "path", "rules-2")) == want(more)
+    ledger, found = (spark.read.parquet(f"{folder}/{x}") for x in ("ledger", "findings"))
+    for df in (ledger, found):
+        assert df.count() == df.select("sha", "rules").distinct().count() and {r.rules for r in df.select("rules").distinct().collect()} == {secrets.RULES_VERSION, "rules-2"}
+    assert ledger.count() == 2 * 6
+    assert secrets.scan(both, ledger, found, "path").count() == found.where(found.rules == secrets.RULES_VERSION).count()
+
+
+def test_added_kinds_of_secrets(spark, tmp_path):
+    github = "ghp_" + "Ab3" * 12
+    texts = [f"x {github} y", "gh_nothing ghp_short", "-----BEGIN PRIVATE KEY-----\nQUJDRA==\n-----END PRIVATE KEY-----", ""]
+    schema = "doc_id long, text string, spans string, sha string, n_hex int"
+    spark.createDataFrame([(k, t, "a", "b", 1) for k, t in enumerate(texts)], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.spans for r in secrets.op8_secrets(spark, str(tmp_path)).collect()}
+    assert got == {0: f"github:2:{2 + len(github)}", 1: "", 2: f"pem:0:{len(texts[2])}", 3: ""}
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert secrets.op8_secrets(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(k, t, 0) for k, t in SECRETS], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r for r in secrets.redacted(df).collect()}
