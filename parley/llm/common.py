@@ -107,6 +107,16 @@ def held_out(key: str | F.Column = "doc_id") -> F.Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """(doc_id, text, label) of at most `rows` labelled ids that may be learnt from, in the order of a hash of the id.
+
+    An id with several labels has the largest one, an id with several texts the least one; null ids have none.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(~held_out()).groupBy("doc_id").agg(F.max(label).alias(label))
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text"))
+
+
 def strings(column: pa.Array) -> pa.Array:
     """A string column as one array without nulls (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.bpe import Encoder, runs_of_texts, vocabulary, vocabulary_path
-from parley.llm.common import saved, table
+from parley.llm.common import saved, scratch, table
 
 CAPACITY = 4096
 CLOSING_ID = 1
 #: Pieces of one length that are ranked in one group.
 RANK_GROUP = 400
+#: Groups of one length at most; beyond, groups are larger, so that counting them off stays small.
+MOST_GROUPS = 4096
 
 
 def fullest(lengths: list[int], counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -125,7 +127,7 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     pieces = saved(pieces_of(docs, path or vocabulary_path(), capacity))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = docs.sparkSession.sparkContext.broadcast(pack(counts, capacity))
-    groups = max(1, -(-max(counts.values(), default=1) // RANK_GROUP))
+    groups = min(MOST_GROUPS, max(1, -(-max(counts.values(), default=1) // RANK_GROUP)))
     dealt = pieces.withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
     within = Window.partitionBy("length", "deal").orderBy("doc_id", "piece")
     before = Window.partitionBy("length").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,8 +8,9 @@ text's features; dual coordinate descent fits a linear model with a hinge loss,
 fitted on rows apart from those turns margins into scores.
 
 Defined cases: null or empty text has no features and gets the score of margin 0; without labels of
-both kinds every score is the share of label 1 (1 without labels); repeated rows each get their row;
-extra columns are not read; an empty table gives no rows.
+both kinds every score is the share of label 1 (1 without labels); repeated rows each get their row, and what
+an id that repeats teaches is in labelled_sample; extra columns, whatever their names, are not read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import chunks, filtered, held_out, table
+from parley.llm.common import chunks, filtered, held_out, labelled_sample, table
 from parley.llm.textkernel import CODES, LOWER, SPACE, U, mix, shingles, span_hashes, words
 
 #: Labelled rows that the model is fitted on, taken in the order of a hash of the id.
@@ -113,6 +114,15 @@ def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-3), b
 
 
+def log_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Of each feature the log of its share among label 1's features over that among label 0's, from counts plus one."""
+    count = np.ones((2, SIZE))
+    for r, label in zip(rows, labels, strict=True):
+        count[int(label), r] += 1
+    count /= count.sum(1, keepdims=True)
+    return np.log(count[1] / count[0])
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     """rows: distinct feature ids of each text; labels 0 or 1.  Every fifth row only fits the curve."""
     share = float(labels.mean()) if len(labels) else 1.0
@@ -122,12 +132,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     apart = np.arange(len(rows)) % 5 == 4
     if labels[~apart].min() == labels[~apart].max() or labels[apart].min() == labels[apart].max():
         apart[:] = False
-    count = np.ones((2, SIZE))
-    for r, label in zip(rows, labels, strict=True):
-        count[int(label), r] += 1
-    count /= count.sum(1, keepdims=True)
-    ratio = np.log(count[1] / count[0])
     learn = [r for r, x in zip(rows, apart, strict=True) if not x]
+    ratio = log_ratios(learn, labels[~apart])
     y = np.where(labels[~apart] > 0, 1.0, -1.0)
     cost = np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y < 0).mean())
     w, bias = descend(learn, ratio, y, cost)
@@ -148,9 +154,7 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fits the model on at most `rows` labelled documents that aren't held out."""
-    known = labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInArrow(_training_rows, "doc_id long, x array<int>, y int").limit(2 * rows).toArrow()
+    found = labelled_sample(docs, labels, "quality", rows).mapInArrow(_training_rows, "doc_id long, x array<int>, y int").toArrow()
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
     lists = found.column("x").combine_chunks()
     flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()

@@ -5,8 +5,9 @@ bounded, documented sample of labelled rows that aren't held out, then flattened
 scored for a whole batch at a time.  Some statistics are constrained: more of them never raises a score.
 
 Defined cases: null or empty text has no words and fails the base rule; without labels of both kinds
-there are no trees and the base rule alone decides; repeated rows each get their row; extra columns are
-not read; an empty table gives no rows.
+there are no trees and the base rule alone decides; repeated rows each get their row, and what an id that
+repeats teaches is in labelled_sample; extra columns, whatever their names, are not read; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import chunks, held_out, table
+from parley.llm.common import chunks, labelled_sample, table
 from parley.llm.textkernel import CODES, SPACE, U, mix, shingles, span_hashes, words
 
 #: Labelled rows that the trees are fitted on, taken in the order of a hash of the id.
@@ -177,9 +178,7 @@ def fit(x: np.ndarray, y: np.ndarray, direction=tuple(FEATURES.values()), rounds
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees | None:
     """Fits the trees on at most `rows` labelled documents that aren't held out."""
-    known = labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInArrow(_training_rows, "x array<double>, y int").limit(2 * rows).toArrow()
+    found = labelled_sample(docs, labels, "quality", rows).mapInArrow(_training_rows, "doc_id long, x array<double>, y int").toArrow().sort_by("doc_id")
     x = np.array(found.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     return fit(x, np.array(found.column("y").to_pylist(), float))
 
@@ -188,7 +187,9 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for lo, hi, data, offsets in chunks(batch.column("text")):
             x = statistics(data, offsets)[1]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("quality").slice(lo, hi - lo).cast(pa.int32())], ["x", "y"])
+            own = (batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "quality"))
+            ids, y = next(own).cast(pa.int64()), next(own).cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(list(x), pa.list_(pa.float64())), y], ["doc_id", "x", "y"])
 
 
 def score(docs: DataFrame, trees: Trees | None, keep_from: float = KEEP_FROM) -> DataFrame:

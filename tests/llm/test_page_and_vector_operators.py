@@ -117,6 +117,24 @@ def test_any_number_of_rules(spark):
             assert (r.host, r.path, r.verdict, r.rule) == (host, path, verdict, rule)
 
 
+def test_sql_of_the_url_filter_gives_its_rows(spark, tmp_path):
+    """The oracle's own steps, on pages with the links that it resolves: chains, stars, allows that come first."""
+    import duckdb
+
+    from parley.llm.queries import ORACLES
+
+    r = random.Random(4)
+    hosts = ["x.com", "y.com", "a.net", "www.a.net", "b.net", "example.org", "Sub.Example.org", "c.org"]
+    url = lambda: f"http://{r.choice(hosts)}/{r.choice(('', 'es/', 'en/1', 'fr/', 'de/', 'q', 'w'))}{r.randrange(3)}"
+    pages = [(k, u, r.choice((None, "", f"<link rel=canonical href='{r.choice((url(), url(), '/de/1', '//b.net/q1'))}'>", "<p>x</p>"))) for k, u in enumerate([url() for _ in range(80)] + URLS)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = {tuple(x) for x in db.execute(ORACLES["op2_url_filter"]).fetchall()}
+    got = {tuple(x) for x in urlfilter.op2_url_filter(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect()}
+    assert got == want and len({x[4] for x in got if x[3] is None}) == 2
+
+
 def test_only_dataframe_operations(spark):
     plan = urlfilter.op2_url_filter(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan)

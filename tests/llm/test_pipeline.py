@@ -18,6 +18,34 @@ def test_stages(spark, docs, empty):
         assert stage(spark, empty.drop("score"), labels_dir).count() == 0
 
 
+CASES = [
+    (1, "the river and the garden of the morning were in the house of the people that we have seen", "en"),
+    (1, "the river and the garden of the morning were in the house of the people that we have seen", "en"),
+    (2, None, None), (3, "", "en"), (4, "12 34 !!", "en"), (None, "a letter to the people of the town and the garden of the house, with no id", "en"),
+    (6, "der Fluss und der Garten des Morgens, password: hunter22x und das Haus der Leute in der Stadt " * 40, None),
+    (7, "der Fluss und der Garten des Morgens, password: hunter22x und das Haus der Leute in der Stadt " * 40 + "heute", "de"),
+]
+
+
+def test_each_stage_takes_nulls_repeats_ties_and_clashing_names(spark, tmp_path):
+    extra = "score double, label string, hub long, sha string, rows int, piece string"
+    docs = spark.createDataFrame([(*c[:2], c[2], "s", len(c[1] or ""), 0.5, "x", 9, "y", 3, "z") for c in CASES], f"doc_id long, text string, lang string, source string, n_chars int, {extra}")
+    spark.createDataFrame([(1, 1, 0), (6, 1, 0), (6, 0, 0), (None, 0, 0), (9, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        kept[name] = sorted((str(r.doc_id), getattr(r, "text", None)) for r in out.collect())
+        assert name == "packing" or out.columns == docs.columns, name
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+    spoken = [c for c in CASES if c[0] not in (2, 3, 4)]
+    assert {k for k, _ in kept["language_id"]} <= {str(c[0]) for c in spoken} and len(kept["language_id"]) >= 4
+    assert len(kept["quality"]) == len(CASES)  # too few labels: every score is the share of label 1, which is kept
+    want = sorted((str(k), t) for k, t, _ in dict((str(c[0]), c) for c in CASES if c[0] != 7).values())
+    assert kept["near_duplicates"] == want  # one of the rows that repeat, and 7 goes as a near copy of 6
+    assert [k for k, _ in kept["secrets"]] == sorted(str(c[0]) for c in CASES) and not any("hunter22x" in (t or "") for _, t in kept["secrets"])
+    assert sorted({k for k, _ in kept["packing"]}) == sorted({str(c[0]) for c in CASES}) and len(kept["packing"]) == len(CASES)
+
+
 def test_run_equals_a_plain_version(spark):
     sf = "/root/testdata/sf0.001"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.llm import bpe, languageid, ngramjoin, packing, qualityclassifier, qualityrules, secrets
-from parley.llm.common import held_out
+from parley.llm.common import chunks, held_out, labelled_sample
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -224,6 +224,75 @@ def test_quality_classifier(spark, docs, empty):
     assert qualityclassifier.accepted(docs, none).columns == docs.columns
 
 
+def plain_features(text):
+    """The classifier's features of a text, as tuples instead of hashed numbers."""
+    found = list(WORD.finditer(text or ""))
+    low = [m[0].translate({c: c + 32 for c in range(65, 91)}) for m in found]
+
+    def shape(i):
+        if i and low[i] == low[i - 1]:
+            return "again"
+        kinds = ["a" if "a" <= c <= "z" or ord(c) > 127 else "A" if "A" <= c <= "Z" else "0" if c.isdigit() else c for c in found[i][0]]
+        return "".join(c for k, c in enumerate(kinds) if not k or c != kinds[k - 1])
+
+    shapes = [shape(i) for i in range(len(low))]
+    return {(k, *values[i : i + width]) for k, (values, width) in enumerate(((low, 1), (low, 2), (shapes, 1), (shapes, 2), (shapes, 3))) for i in range(len(low) - width + 1)}
+
+
+def test_features_are_those_of_a_plain_version(corpus):
+    """As many distinct features as the plain version has, but for hashes that meet; equal ones for equal texts."""
+    texts = [t for _, t in corpus if t] + ["Hello HELLO 12ab x-1 x-1 The the THE", "É è! ok", ""]
+    column, seen = pa.array(texts), {}
+    for lo, hi, data, offsets in chunks(column):
+        doc, feature = qualityclassifier.features(data, offsets)
+        for i in range(hi - lo):
+            own, want = feature[doc == i].tolist(), plain_features(texts[lo + i])
+            assert len(want) - 1 - len(want) ** 2 / qualityclassifier.SIZE <= len(own) == len(set(own)) <= len(want)
+            seen.setdefault(tuple(sorted(own)), set()).add(frozenset(want))
+    assert all(len(x) == 1 for x in seen.values())
+
+
+def test_log_ratios_and_dual_descent_against_plain_versions():
+    r = np.random.default_rng(5)
+    rows = [np.unique(r.integers(0, 12, r.integers(1, 6)) + 6 * (k % 2) * (r.random() < 0.7)).astype(np.int64) for k in range(60)]
+    labels = np.array([k % 2 for k in range(60)], float)
+    ratio = qualityclassifier.log_ratios(rows, labels)
+    share = [[(sum(f in x for x, y in zip(rows, labels, strict=True) if y == c) + 1) for f in range(30)] + [1] * (qualityclassifier.SIZE - 30) for c in (0, 1)]
+    want = np.log(np.array(share[1]) / sum(share[1])) - np.log(np.array(share[0]) / sum(share[0]))
+    assert ratio == pytest.approx(want)
+    y, cost = np.where(labels > 0, 1.0, -1.0), np.where(labels > 0, 0.7, 0.9)
+    w, bias = qualityclassifier.descend(rows, ratio, y, cost, epochs=400)
+    x = np.zeros((60, 19))  # the same problem by subgradients of the primal objective
+    for i, f in enumerate(rows):
+        x[i, f], x[i, 18] = ratio[f] / np.sqrt(len(f)), 1.0
+    loss = lambda v: 0.5 * v @ v + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    v, best = np.zeros(19), np.inf
+    for k in range(8_000):
+        v = v - (v - x.T @ (cost * y * (y * (x @ v) < 1))) / (k + 20)
+        best = min(best, loss(v))
+    assert loss(np.append(w[:18], bias)) == pytest.approx(best, rel=2e-3)
+
+
+def test_curve_fits_the_apart_rows_only():
+    r = np.random.default_rng(7)
+    rows = [np.sort(r.choice(40, 6, replace=False)) + 40 * (k % 2) for k in range(100)]
+    labels = np.array([k % 2 for k in range(100)], float)
+    apart = np.arange(100) % 5 == 4
+    strange = [x + 1000 if a else x for x, a in zip(rows, apart, strict=True)]
+    one, two = qualityclassifier.fit(rows, labels), qualityclassifier.fit(strange, labels)
+    assert (one.weights == two.weights).all() and one.bias == two.bias and one.slope != two.slope
+
+
+def test_ids_that_repeat_teach_once(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, None), (None, "c"), (6, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (6, None), (7, 1)], "doc_id long, quality int")
+    got = {tuple(r) for r in labelled_sample(docs, labels, "quality", 10).collect()}
+    want = {(1, 1, "a"), (2, 0, None)}
+    import zlib
+
+    assert got == {x for x in want if zlib.crc32(str(x[0]).encode()) % 5}
+
+
 def test_language_id(spark, docs, empty):
     all_docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = languageid.train(all_docs)
@@ -349,6 +418,28 @@ def test_trees_are_monotonic_and_learn():
     assert (np.diff(trees.score(probe).reshape(50, 40), axis=1) <= 1e-12).all()
 
 
+def test_flattened_trees_are_walked_as_nodes_are(spark):
+    """On the real statistics: vectorised scores equal a node-by-node walk, and constrained ones never rise."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    trees = qualityrules.train(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    x = np.concatenate([qualityrules.statistics(data, offsets)[1] for _, _, data, offsets in chunks(pa.array([r.text for r in docs.limit(300).collect()]))])
+
+    def walk(row):
+        total = trees.bias
+        for node in trees.roots:
+            while trees.left[node] != node:
+                node = trees.left[node] if row[trees.feature[node]] <= trees.threshold[node] else trees.right[node]
+            total += trees.value[node]
+        return 1 / (1 + np.exp(-total))
+
+    assert trees.score(x) == pytest.approx([walk(row) for row in x])
+    for j, (name, direction) in enumerate(qualityrules.FEATURES.items()):
+        if direction:
+            probe = np.repeat(x[:40], 25, 0)
+            probe[:, j] = np.tile(np.linspace(x[:, j].min(), x[:, j].max() + 1, 25), 40)
+            assert (direction * np.diff(trees.score(probe).reshape(40, 25), axis=1) >= -1e-12).all(), name
+
+
 # ---- BPE (7) ------------------------------------------------------------------------------------
 
 ODD = ["don't 'small ''s \"'s it's'll we'RE I'VEx 'lll 3.5 ½ x²", "ΟΔΟΣ. İstanbul ſ ﬁ", "<|endoftext|>Hi<|startoftext|> wor<|endoftext|>", "😀👍🏽 हिन्दी ไทย", "é Å\u3000d\x1ce\x85f", "'re're'res 'll'll", "ab" * 900]
