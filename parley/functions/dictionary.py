@@ -6,11 +6,10 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A dictionary becomes part of the plan and of broadcasts; larger ones raise.
-MOST_PATTERNS = 20_000
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -65,32 +64,66 @@ class Dictionary:
     def lowered(self) -> Dictionary:
         return Dictionary(tuple((p.lower(), c) for p, c in self.entries), self.labels)
 
-    def _checked(self) -> None:
-        if len(self.entries) > MOST_PATTERNS:
-            raise ValueError(f"{len(self.entries)} patterns; at most {MOST_PATTERNS}")
-
-    def alternation(self, category: str, anything: str) -> str:
-        """One regular expression for a category's patterns; `anything` stands for `*`."""
-        self._checked()
-        own = dict.fromkeys(p for p, c in self.entries if category in c)
-        return "|".join(anything.join(re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", x) for x in p.split("*")) for p in own)
-
-    def count_in(self, text: Column, category: str) -> Column:
-        """How many tokens of a text fit the category, in one pass over the text, without splitting it."""
-        own = self.alternation(category, r"[\p{L}\p{N}]*")
-        if not own:
-            return F.lit(0).cast("long")
-        return F.regexp_count(text, F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{own})(?![\p{{L}}\p{{N}}])")).cast("long")
+    def fits(self, token: Column, categories: Iterable[str]) -> Column:
+        """Whether a token fits a pattern of one of the categories, by looking up the token and its ends.
+
+        Patterns with one `*` are looked up by the token's first and last letters, for each pair of lengths that
+        occurs; only those with more are tried by a regular expression.
+        """
+        wanted = set(categories)
+        exact, ends, others = [], {}, []
+        for pattern in dict.fromkeys(p for p, c in self.entries if wanted.intersection(c)):
+            first, *rest = pattern.split("*")
+            if not rest:
+                exact.append(pattern)
+            elif len(rest) == 1:
+                ends.setdefault((len(first), len(rest[0])), []).append((first, rest[0]))
+            else:
+                others.append(regex_of(pattern))
+        out = among(token, exact) if exact else F.lit(False)
+        for (a, b), found in ends.items():
+            enough = F.length(token) >= a + b
+            if a and b:
+                fit = enough & among(ends_of(token, a, b), [f"{x}*{y}" for x, y in found])
+            elif a or b:
+                fit = enough & among(F.substring(token, 1, a) if a else F.substring(token, -b, b), [x or y for x, y in found])
+            else:
+                fit = enough
+            out = out | fit
+        return out | token.rlike("|".join(others)) if others else out
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(pattern, category, kind, literal, regex): kind is exact, prefix or other."""
-        self._checked()
-        rows = []
+        """(category, key, a, b, regex): a token fits if its first a and last b letters, or the whole of it (a null), are the key.
+
+        With a regex it has to fit that too.  Its size is known to the planner, which broadcasts it if it is small.
+        """
+        rows = {k: [] for k in ("category", "key", "a", "b", "regex")}
         for pattern, categories in self.entries:
-            kind = "exact" if "*" not in pattern else "prefix" if pattern.index("*") == len(pattern) - 1 else "other"
-            own = ".*".join(re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", x) for x in pattern.split("*"))
-            rows += [(pattern, c, kind, pattern.rstrip("*") if kind == "prefix" else pattern, f"^(?s:{own})$") for c in categories]
-        return spark.createDataFrame(rows, "pattern string, category string, kind string, literal string, regex string")
+            parts = pattern.split("*")
+            star = len(parts) > 1
+            for category in categories:
+                one = (category, f"{parts[0]}*{parts[-1]}" if star else pattern, len(parts[0]) if star else None, len(parts[-1]) if star else None, regex_of(pattern) if len(parts) > 2 else None)
+                for k, v in zip(rows, one, strict=True):
+                    rows[k].append(v)
+        kinds = dict.fromkeys(rows, pa.string()) | {"a": pa.int32(), "b": pa.int32()}
+        return spark.createDataFrame(pa.table({k: pa.array(v, kinds[k]) for k, v in rows.items()}))
+
+
+def among(token: Column, values: list[str]) -> Column:
+    """token.isin(values), handed to the JVM in one call where there are many."""
+    if len(values) <= 64 or not hasattr(token, "_jc") or any("\0" in v for v in values):
+        return token.isin(values)
+    listed = SparkSession.active()._jvm.java.util.regex.Pattern.compile("\0").splitAsStream("\0".join(sorted(values))).toList()
+    return type(token)(token._jc.isInCollection(listed))
+
+
+def regex_of(pattern: str) -> str:
+    return "^(?s:" + ".*".join(re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", x) for x in pattern.split("*")) + ")$"
+
+
+def ends_of(token: Column, a: int | Column, b: int | Column) -> Column:
+    """The first a and the last b letters of a token, as keys of patterns have them."""
+    return F.concat(F.left(token, a if isinstance(a, Column) else F.lit(a)), F.lit("*"), F.right(token, b if isinstance(b, Column) else F.lit(b)))
 
 
 #: Frequent function words of four languages; one word may be in several categories.

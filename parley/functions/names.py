@@ -12,6 +12,10 @@ FEMALE_WIDE = (*FEMALE, "女性")
 MALE_WIDE = (*MALE, "男性")
 TRUE = ("true", "1", "t", "y", "yes")
 FALSE = ("false", "0", "f", "n", "no")
+# Where file names have the round.
+ROUND_FIELD = r"^[^_]*_([0-9]+)(?:_|\.|$)"
+ROUND_WORD = r"round[_\- ]*([12])\b"
+FIRST_WORD, SECOND_WORD = r"\b1st\b|\bfirst\b", r"\b2nd\b|\bsecond\b"
 EDGE_SPACE = r"(?U)^\s+|\s+$"
 
 
@@ -49,10 +53,10 @@ def number_of_id(name: Column) -> Column:
 
 def round_number(name: Column) -> Column:
     """1 or 2: from the second field between underscores if it is one, else from words such as round_2 or 1st."""
-    field = F.regexp_extract(name, r"^[^_]*_([0-9]+)(?:_|\.|$)", 1).try_cast("int")
+    field = F.regexp_extract(name, ROUND_FIELD, 1).try_cast("int")
     low = F.lower(name)
-    worded = F.regexp_extract(low, r"round[_\- ]*([12])\b", 1).try_cast("int")
-    ordinal = F.when(low.rlike(r"\b1st\b|\bfirst\b"), 1).when(low.rlike(r"\b2nd\b|\bsecond\b"), 2)
+    worded = F.regexp_extract(low, ROUND_WORD, 1).try_cast("int")
+    ordinal = F.when(low.rlike(FIRST_WORD), 1).when(low.rlike(SECOND_WORD), 2)
     return F.coalesce(F.when(field.isin(1, 2), field), worded, ordinal)
 
 

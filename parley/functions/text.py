@@ -59,8 +59,3 @@ def joined(texts: Column, order: Column) -> Column:
     rows = F.array_sort(F.collect_list(F.struct(order.alias("at"), texts.alias("text"))))
     return F.array_join(F.transform(rows, lambda x: x["text"]), " ")
 
-
-def split_at(text: Column, ratio: Column) -> tuple[Column, Column]:
-    """Both parts of a text cut at a share of its characters (half to even), trimmed."""
-    k = F.bround(F.length(text) * ratio).cast("int")
-    return stripped(text.substr(F.lit(1), k)), stripped(text.substr(k + 1, F.length(text)))

@@ -78,13 +78,13 @@ def with_parameters(rw: DataFrame, window: int | None = None, include_current: b
 
 
 def representatives(rw: DataFrame, keys: Sequence[str], prefer: int | None = None, order: Sequence[str] = PARAMETERS) -> DataFrame:
-    """One row for each key: current included, window nearest the preferred one, most tokens, most pairs."""
+    """One row for each key: current included, window nearest the preferred one (none last), most tokens, most pairs."""
     have = rw.columns
     nearest = F.abs(F.col("window_size_param") - (PREFERRED_WINDOW if prefer is None else prefer)) if "window_size_param" in have else F.lit(0)
     current = F.coalesce(flag(F.col("include_current")), F.lit(False)) if "include_current" in have else F.lit(False)
     least = F.coalesce(F.col("min_window_tokens"), F.lit(-1)) if "min_window_tokens" in have else F.lit(-1)
     pairs = F.coalesce(F.col("n_pair_turns"), F.lit(-1)) if "n_pair_turns" in have else F.lit(-1)
-    best = Window.partitionBy(*keys).orderBy(current.desc(), nearest.asc(), least.desc(), pairs.desc(), *(F.col(c) for c in order if c in have))
+    best = Window.partitionBy(*keys).orderBy(current.desc(), nearest.asc_nulls_last(), least.desc(), pairs.desc(), *(F.col(c) for c in order if c in have))
     return rw.withColumn("__nth", F.row_number().over(best)).where("__nth = 1").drop("__nth")
 
 

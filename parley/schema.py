@@ -12,7 +12,4 @@ MIN_TURN_WORDS = 3
 IMPUTED = 0.5
 WINDOW_MINUTES = 5.0
 
-TURNS = "conv_id long, turn long, speaker string, text string, start double, end double"
 CSV_TURNS = "speaker string, text string, start double, end double"
-CSV_UNTIMED = "speaker string, text string"
-PREFERENCES = "female_id string, male_id string, want_female string, want_male string"

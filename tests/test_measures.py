@@ -155,15 +155,33 @@ def test_dictionary(spark):
 
 
 def test_counting_in_place_equals_the_token_join(spark):
-    d = Dictionary.of({"ppron": ["i", "th*", "*ou"], "ipron": ["it", "o*r"]})
-    rows = [(1, 0, "f", "I think it is over, YOU thou; other-wise it's 12i"), (1, 1, "m", None), (1, 2, "f", "")]
+    d = Dictionary.of({"ppron": ["i", "th*", "*ou", "don't", "other-wise", "i t", "*'t"], "ipron": ["it", "o*r", "o*h*r", "a*a"]})
+    rows = [(1, 0, "f", "I think it is over, YOU thou; other-wise it's 12i don't a aa"), (1, 1, "m", None), (1, 2, "f", "")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, speaker string, text string")
     wide = features.turn_counts(turns, d, ["ppron", "ipron"])
     long = {(r.turn, r.category): r.n for r in features.long_counts(wide, ["turn"], ["ppron", "ipron"]).collect()}
     tokens = turns.select("turn", features.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     joined = {(r.turn, r.category): r.n for r in features.token_counts(tokens, ["turn"], d, ["ppron", "ipron"]).collect()}
-    assert {k: v for k, v in long.items() if v} == joined == {(0, "ppron"): 4, (0, "ipron"): 4}
-    assert [r.total for r in wide.orderBy("turn").collect()] == [12, 0, 0]
+    assert {k: v for k, v in long.items() if v} == joined == {(0, "ppron"): 4, (0, "ipron"): 5}
+    assert [r.total for r in wide.orderBy("turn").collect()] == [16, 0, 0]
+
+
+def test_any_number_of_patterns_and_any_characters(spark):
+    """Both ways of counting equal a plain match, for patterns with any characters and more than 20,000 of them."""
+    import random
+    import re
+
+    r = random.Random(3)
+    odd = ["", "*", "a*", "*b", "a*b", "a*c*b", "**", "x.y", "x.*y", "[z]", "[*]", "a$", "^*", "d'", "*'*", "i|j", "\\*", "é*", "*ß"]
+    d = Dictionary.of({"ppron": odd + [f"w{k}" for k in range(15_000)], "ipron": [f"{r.choice('abc')}*{k}" for k in range(9_000)]})
+    tokens = ["".join(r.choice("abcxyzé.$^['|\\]ij0123") for _ in range(r.randrange(1, 7))) for _ in range(80)] + ["w77", "w99999", "b12", "", "\\", "aß", None]
+    plain = {c: [re.compile(".*".join(map(re.escape, p.split("*"))), re.S) for p, cs in d.entries if c in cs] for c in ("ppron", "ipron")}
+    want = {c: sum(any(p.fullmatch(t) for p in ps) for t in tokens if t is not None) for c, ps in plain.items()}
+    df = spark.createDataFrame([(1, tokens)], "doc_id int, tokens array<string>")
+    got = {x.category: x.n for x in features.token_counts(df, ["doc_id"], d, ["ppron", "ipron"], fold_case=False).collect()}
+    words = df.select(F.explode("tokens").alias("word"))
+    joined = features.match_tokens(words, d, ["ppron", "ipron"], fold_case=False).join(words, "word").groupBy("category").count().collect()
+    assert got == want == {x.category: x["count"] for x in joined}
 
 
 @pytest.mark.parametrize(("raw", "want"), [("[え] それで", "え それで"), ("[笑] はい", "はい"), ("今日は[たぶん]大丈夫", "今日はたぶん大丈夫"), ("[] 空のかっこ", "空のかっこ"), ("a　 b［ LAUGH ］", "a b"), (None, None)])

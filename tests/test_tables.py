@@ -65,6 +65,13 @@ def test_static_with_rolling(spark):
         merge.join_keys(["a"], ["b"])
 
 
+def test_a_row_without_a_window_comes_last(spark):
+    rows = [(1, None, "True", 0, 9), (1, 20, "True", 0, 1), (2, None, "True", 0, 1), (2, None, "True", 5, 1)]
+    rw = spark.createDataFrame(rows, "female_id long, window_size_param int, include_current string, min_window_tokens int, n_pair_turns int")
+    got = {r.female_id: (r.window_size_param, r.min_window_tokens) for r in merge.representatives(rw, ["female_id"]).collect()}
+    assert got == {1: (20, 0), 2: (None, 5)}
+
+
 def write_conversations(folder):
     talk = "speaker,text,start,end\r\nFemale,\"I say it, and you know\",0.0,3.0\nmale,of course it is no news,2.5,6.0\nF,you and I are here [laugh],6.0,9.5\nman,\"is it \"\"here\"\" and now\nor of no use\",10,14\n"
     (folder / "01_1_1_A_F001_M001_concat.csv").write_text(talk)
