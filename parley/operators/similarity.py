@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.functions.dictionary import Dictionary
 from parley.functions.scoring import deviation, mean, present, similarity, window_index
-from parley.operators.features import count_name
+from parley.operators.features import category_counts, count_name, tokens
 
 
 def by_speaker(counts: DataFrame, keys: Sequence[str], speakers: tuple[str, str], categories: Sequence[str]) -> DataFrame:
@@ -73,3 +74,19 @@ def label_events(events: DataFrame, time: Column, label: str, speaker: Column, c
         *(v.alias(k) for k, v in keys.items()), time.alias("start"), speaker.alias("speaker"), F.lit(1).cast("long").alias("total"),
         *((F.col(label) == c).cast("long").alias(count_name(c)) for c in categories),
     )
+
+
+def text_pair_similarity(records: DataFrame, dictionary: Dictionary, categories: Sequence[str], texts: tuple[str, str] = ("female_text", "male_text")) -> DataFrame:
+    """records with both texts' word counts, lsm_scores (a map of the categories that have one, by name) and their mean.
+
+    A null text has no words; records without scores have an empty map and no mean.
+    """
+    out = records
+    for k, name in enumerate(texts, 1):
+        rows = out.withColumn("__tokens", tokens(F.coalesce(name, F.lit(""))))
+        rows = category_counts(rows.withColumn(f"__total_{k}", F.size("__tokens").cast("long")), "__tokens", dictionary.lowered(), categories)
+        out = rows.drop("__tokens").withColumnsRenamed({count_name(c): f"__{c}_{k}" for c in categories})
+    each = [(c, similarity(F.col(f"__{c}_1"), F.col("__total_1"), F.col(f"__{c}_2"), F.col("__total_2"))) for c in sorted(categories)]
+    scores_ = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(c).alias("key"), s.alias("value")) for c, s in each)), lambda x: x["value"].isNotNull()))
+    counts = [F.col(f"__total_{k}").alias(f"{name.removesuffix('_text')}_word_count") for k, name in enumerate(texts, 1)]
+    return out.select(*records.columns, *counts, scores_.alias("lsm_scores"), mean([s for _, s in each]).alias("lsm_mean"))

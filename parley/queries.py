@@ -8,14 +8,18 @@ places.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.functions import names, text
+from parley.functions import names, scoring, text
 from parley.functions.dictionary import SAMPLE
-from parley.operators import features, merge, responsiveness, rolling, similarity, unitize
+from parley.operators import features, merge, responsiveness, rolling, similarity, tokenise, unitize
+from parley.plans.runs import levels, run_lsm, run_rlsm
 from parley.schema import CATEGORIES, MICRO_CATEGORIES
+from parley.sources.scratch import file_system_of, shared_dir
+from parley.sources.transcripts import read_conversations
 
 SPEAKERS = ("user", "assistant")
 CATS = list(CATEGORIES)
@@ -122,6 +126,31 @@ def document_category_counts(spark, sf_dir):
     return features.turn_counts(docs, SAMPLE, CATS).drop("text")
 
 
+def _blank_tokeniser():
+    """A tokeniser of the user's own: words between blanks, without marks, as a model might give them."""
+    return lambda t: [{"text": w, "lemma": w.strip(".,!?").lower(), "pos": "PUNCT" if not w.strip(".,!?") else "X"} for w in t.split()]
+
+
+_OWN = ", ".join(f"len(list_filter(toks, lambda x: regexp_full_match(x, '{sql_pattern(c)}'))) AS n_{c}" for c in CATS)
+
+
+@query(f"SELECT conv_id, category, sum(n)::BIGINT AS n FROM (UNPIVOT (SELECT conv_id, {_OWN} FROM (SELECT conv_id, list_transform(list_filter(string_split_regex(trim(text), '\\s+'), lambda x: trim(x, '.,!?') <> ''), lambda x: lower(trim(x, '.,!?'))) AS toks FROM conversations)) ON COLUMNS('n_.*') INTO NAME category VALUE n) WHERE n > 0 GROUP BY ALL".replace("SELECT conv_id, category,", "SELECT conv_id, substr(category, 3) AS category,"))
+def own_tokeniser_counts(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    words = tokenise.words_of(tokenise.tokeniser(_blank_tokeniser)(F.col("text")))
+    return features.token_counts(rows.select("conv_id", words.alias("tokens")), ["conv_id"], SAMPLE, CATS, fold_case=False)
+
+
+@query(f"WITH {TURNS} SELECT conv_id, speaker, text, t0 AS start, t1 AS \"end\" FROM turns")
+def csv_conversations(spark, sf_dir):
+    """The turns, written as conversation files with headers and read again by the files' own columns."""
+    folder = f"{shared_dir(spark).rstrip('/')}/conversations-{uuid.uuid4().hex}"
+    files, at = file_system_of(spark, folder)
+    turns(spark, sf_dir).select("end", "speaker", "conv_id", "text", "start").write.csv(folder, header=True, escape='"', quoteAll=True)
+    files.deleteOnExit(at)
+    return read_conversations(spark, folder, "conv_id long, speaker string, text string, start double, end double").select("conv_id", "speaker", "text", "start", "end")
+
+
 # ---- static similarity --------------------------------------------------------------------------
 
 
@@ -137,6 +166,23 @@ def lsm_category(spark, sf_dir):
     return rounded(similarity.as_long(out, ["conv_id"], CATS, "lsm", "lsm").where("lsm is not null"))
 
 
+_WINDOW_TEXTS = f"""WITH {TURNS}, rec AS (SELECT conv_id, CAST(floor(t0 / 60.0) AS BIGINT) AS window_index, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (speaker = 'user'), '') AS a,
+ coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (speaker = 'assistant'), '') AS b FROM turns GROUP BY ALL),
+ tok AS (SELECT conv_id, window_index, regexp_extract_all(lower(a), '[\\p{{L}}\\p{{N}}]+') AS ta, regexp_extract_all(lower(b), '[\\p{{L}}\\p{{N}}]+') AS tb FROM rec)""".replace("\\\\", "\\")
+_WINDOW_EACH = " UNION ALL ".join(f"SELECT conv_id, window_index, '{c}' AS category, len(ta) AS t1, len(tb) AS t2, len(list_filter(ta, lambda x: regexp_full_match(x, '{sql_pattern(c)}'))) AS n1, len(list_filter(tb, lambda x: regexp_full_match(x, '{sql_pattern(c)}'))) AS n2 FROM tok" for c in CATS)
+
+
+@query(f"{_WINDOW_TEXTS}, e AS ({_WINDOW_EACH}), s AS (SELECT *, CASE WHEN t1 > 0 AND t2 > 0 AND n1 + n2 > 0 THEN 1 - abs(n1 / t1 - n2 / t2) / (n1 / t1 + n2 / t2) END AS lsm FROM e) SELECT conv_id, window_index, max(t1)::BIGINT AS user_word_count, max(t2)::BIGINT AS assistant_word_count, count(lsm) AS n_scores, round(avg(lsm), 6) AS lsm_mean, {sql_wide('lsm', 'lsm')} FROM s GROUP BY conv_id, window_index")
+def lsm_window_records(spark, sf_dir):
+    """Records of two texts for each minute of a conversation, scored as a map."""
+    rows = turns(spark, sf_dir).withColumn("window_index", scoring.window_index(F.col("start"), 60))
+    said = [F.coalesce(text.joined(F.when(F.col("speaker") == s, F.col("text")), F.col("turn"), skip_null=True), F.lit("")).alias(f"{s}_text") for s in SPEAKERS]
+    records = rows.groupBy("conv_id", "window_index").agg(*said)
+    out = similarity.text_pair_similarity(records, SAMPLE, CATS, ("user_text", "assistant_text"))
+    scores = [F.col("lsm_scores")[c].alias(f"lsm_{c}") for c in CATS]
+    return rounded(out.select("conv_id", "window_index", "user_word_count", "assistant_word_count", F.size("lsm_scores").cast("long").alias("n_scores"), "lsm_mean", *scores))
+
+
 _TEMPORAL = """placed AS (SELECT *, CAST(floor(t0 / {w}) AS BIGINT) AS window_index FROM counts),
  spine AS (SELECT conv_id, unnest(range(0, max(window_index) + 1)) AS window_index FROM placed GROUP BY conv_id),
  sums AS (SELECT conv_id, window_index, category, coalesce(sum(CASE WHEN speaker = 'user' THEN n END), 0) AS n1, coalesce(sum(CASE WHEN speaker = 'assistant' THEN n END), 0) AS n2,
@@ -263,6 +309,18 @@ def rlsm_micro(spark, sf_dir):
     return rounded(similarity.as_long(_dyads(spark, sf_dir, "bilateral_only", MICRO_CATEGORIES), ["conv_id"], MICRO_CATEGORIES, "dyad", "dyad"))
 
 
+@query(sql_counts(MICRO_CATEGORIES) + f", {sql_pairs()} SELECT conv_id, pair_index, leader, responder, category, round(rlsm, 6) AS rlsm FROM pairs")
+def rlsm_micro_pairs(spark, sf_dir):
+    return rounded(responsiveness.pairs_long(pairs_of(dealt(spark, sf_dir, MICRO_CATEGORIES), MICRO_CATEGORIES), MICRO_CATEGORIES))
+
+
+@query(sql_counts(MICRO_CATEGORIES) + f", {sql_pairs()} SELECT conv_id, speaker, category, round(rlsm, 6) AS rlsm FROM spine")
+def rlsm_micro_individual(spark, sf_dir):
+    c = dealt(spark, sf_dir, MICRO_CATEGORIES)
+    spine = responsiveness.individual_spine(c, responsiveness.individuals(pairs_of(c, MICRO_CATEGORIES), MICRO_CATEGORIES), MICRO_CATEGORIES)
+    return rounded(similarity.as_long(spine, ["conv_id", "speaker"], MICRO_CATEGORIES, "rlsm", "rlsm"))
+
+
 @query(rf"""WITH {TURNS} SELECT conv_id, CASE WHEN count(DISTINCT speaker) < 2 THEN 'speakers: ' || min(speaker) ELSE 'no words of one speaker' END AS error
  FROM (SELECT *, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS total FROM turns) GROUP BY conv_id
  HAVING count(DISTINCT speaker) < 2 OR coalesce(sum(total) FILTER (speaker = 'user'), 0) = 0 OR coalesce(sum(total) FILTER (speaker = 'assistant'), 0) = 0""")
@@ -311,9 +369,25 @@ def rw_pairs_min_tokens(spark, sf_dir):
     return rounded(similarity.as_long(pairs, keys, CATS, "rlsm", "rw_rlsm"))
 
 
+def _rw_levels(spark, sf_dir, name):
+    c = dealt(spark, sf_dir)
+    rates = rolling.rolling_rates(rolling.long_turns(c), CATS)
+    return rounded(levels(c, rolling.rolling_pairs(rates, CATS), CATS, "nanmean", "rw_")[name])
+
+
+@query(sql_counts() + f", {sql_rolling()} SELECT conv_id, speaker AS speaker_gender, category, round(rlsm, 6) AS rw_individual_rlsm FROM spine")
+def rw_individual(spark, sf_dir):
+    return _rw_levels(spark, sf_dir, "individual")
+
+
+@query(sql_counts() + f", {sql_rolling()} SELECT conv_id, category, round(either, 6) AS rw_dyad_rlsm, 'nanmean' AS na_policy FROM convs CROSS JOIN cats LEFT JOIN dyad USING (conv_id, category)")
+def rw_dyad(spark, sf_dir):
+    return _rw_levels(spark, sf_dir, "dyad")
+
+
 def _rw_final(spark, sf_dir, least=3):
     c = dealt(spark, sf_dir)
-    pairs = rolling.rolling_pairs(_rolling(spark, sf_dir, least=least), CATS)
+    pairs = rolling.rolling_pairs(rolling.rolling_rates(rolling.long_turns(c, least), CATS), CATS)
     out = responsiveness.dyads(c, responsiveness.individuals(pairs, CATS), CATS).select("conv_id", F.col("dyad_final").alias("rw_dyad_final_rlsm"))
     return rounded(out.join(rolling.scored_pairs(pairs, CATS), "conv_id", "left").withColumn("n_pair_turns", F.coalesce("n_pair_turns", F.lit(0).cast("long"))))
 
@@ -379,8 +453,7 @@ _BRACKETED = "CASE turn % 4 WHEN 0 THEN concat('[laugh] ', text) WHEN 1 THEN con
 _TAGS = "|".join(map(re.escape, text.DROP_WORDS))
 
 
-def _sql_brackets(drop_all: bool) -> str:
-    out = _BRACKETED
+def _sql_brackets(drop_all: bool, out: str = _BRACKETED) -> str:
     for left, right in text.BRACKETS:
         if drop_all:
             out = f"regexp_replace({out}, '{left}.*?{right}', '', 'g')"
@@ -496,6 +569,18 @@ def rw_dedup(spark, sf_dir):
     return merge.representatives(_rolling_results(spark, sf_dir), ["female_id", "male_id", "round_num"])
 
 
+_NO_WINDOW = "CASE WHEN female_id % 3 = 0 AND window_size_param = 4 OR female_id % 5 = 0 THEN NULL ELSE window_size_param END"
+
+
+@query(_sql_rolling_results() + f""" SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (PARTITION BY female_id, male_id, round_num ORDER BY include_current = 'true' DESC, abs(window_size_param - 8) NULLS LAST, min_window_tokens DESC, n_pair_turns DESC) AS nth
+ FROM (SELECT * REPLACE ({_NO_WINDOW} AS window_size_param, CASE window_size_param WHEN 4 THEN 1 ELSE min_window_tokens END AS min_window_tokens) FROM rw)) WHERE nth = 1""")
+def rw_dedup_without_windows(spark, sf_dir):
+    """Rows whose window is unknown come after all others."""
+    rows = _rolling_results(spark, sf_dir)
+    tokens = F.when(F.col("window_size_param") == 4, 1).otherwise(F.col("min_window_tokens"))
+    return merge.representatives(rows.withColumns({"window_size_param": F.expr(_NO_WINDOW), "min_window_tokens": tokens}), ["female_id", "male_id", "round_num"])
+
+
 @query(_sql_rolling_results() + f""", mode AS (SELECT window_size_param, include_current, min_window_tokens, na_policy, count(*) AS k FROM rw GROUP BY ALL ORDER BY k DESC, 1, 2, 3, 4 LIMIT 1),
  picked AS (SELECT rw.* FROM rw JOIN mode USING (window_size_param, include_current, min_window_tokens, na_policy)), {sql_pairs()}
  SELECT printf('F%03d_M%03d', c.conv_id, c.conv_id + 1) AS dyad_id, c.conv_id AS female_id, c.conv_id + 1 AS male_id, 1 AS round_num, round(f, 6) AS dyad_final_rlsm, picked.n_pair_turns AS rw_n_pair_turns, picked.window_size_param AS rw_window_size_param, picked.include_current AS rw_include_current, picked.min_window_tokens AS rw_min_window_tokens, picked.na_policy AS rw_na_policy
@@ -506,6 +591,46 @@ def rlsm_rw_merge(spark, sf_dir):
     return rounded(out.select("dyad_id", "female_id", "male_id", "round_num", "dyad_final_rlsm", *(f"rw_{c}" for c in ("n_pair_turns", *merge.PARAMETERS))))
 
 
+# ---- studies from files to result tables ---------------------------------------------------------
+
+
+def _study(spark, sf_dir) -> str:
+    """A shared folder with a conversation file for each conversation (data/*) and the dictionary (sample.dic)."""
+    folder = f"{shared_dir(spark).rstrip('/')}/study-{uuid.uuid4().hex}"
+    files, at = file_system_of(spark, folder)
+    files.deleteOnExit(at)
+    speaker = F.when(F.col("speaker") == "user", "Woman").otherwise("man").alias("speaker")
+    rows = turns(spark, sf_dir).select("conv_id", "turn", speaker, "text", "start", "end").repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    rows.drop("turn").write.partitionBy("conv_id").csv(f"{folder}/data", header=True, escape='"', quoteAll=True)
+    ids = {c: k for k, c in enumerate(SAMPLE.labels, 1)}
+    lines = ["%", *(f"{k} {c}" for c, k in ids.items()), "%", *(" ".join([p, *(str(ids[c]) for c in cs)]) for p, cs in SAMPLE.entries)]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{folder}/sample.dic")
+    return folder
+
+
+def _study_results(spark, folder: str, name: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/results/{name}_full")
+    return rows.withColumn("conv_id", F.regexp_extract("file_path", r"conv_id=(\d+)/", 1).cast("long"))
+
+
+@query(sql_counts() + f", {LSM} SELECT conv_id, max(t1)::BIGINT AS female_total_words, max(t2)::BIGINT AS male_total_words, round(avg(lsm), 6) AS lsm_mean, true AS has_timestamps FROM lsm GROUP BY conv_id HAVING max(t1) > 0 OR max(t2) > 0")
+def study_lsm(spark, sf_dir):
+    """A whole study of static similarity: files in, result tables out."""
+    folder = _study(spark, sf_dir)
+    run_lsm(spark, f"{folder}/data/*", f"{folder}/sample.dic", f"{folder}/results")
+    return rounded(_study_results(spark, folder, "lsm_results").select("conv_id", "female_total_words", "male_total_words", "lsm_mean", "has_timestamps"))
+
+
+@query(sql_counts() + f""", {sql_pairs()}, fin AS (SELECT conv_id, avg(bilateral) AS f FROM dyad GROUP BY conv_id),
+ said AS (SELECT conv_id, sum(total) FILTER (speaker = 'user') AS u, sum(total) FILTER (speaker = 'assistant') AS a FROM counts WHERE category = 'ppron' GROUP BY conv_id)
+ SELECT conv_id, u::BIGINT AS female_total_words, a::BIGINT AS male_total_words, round(f, 6) AS dyad_final_rlsm FROM said LEFT JOIN fin USING (conv_id) WHERE u > 0 AND a > 0""")
+def study_rlsm(spark, sf_dir):
+    """A whole study of directional similarity: conversations that fail validation have no row."""
+    folder = _study(spark, sf_dir)
+    run_rlsm(spark, f"{folder}/data/*", f"{folder}/sample.dic", f"{folder}/results")
+    return rounded(_study_results(spark, folder, "rlsm_conversations").select("conv_id", "female_total_words", "male_total_words", "dyad_final_rlsm"))
+
+
 # ---- unitize ------------------------------------------------------------------------------------
 
 _MERGED = """s0 AS (SELECT conv_id, turn, speaker, t0, t1, text FROM turns WHERE t1 > t0),
@@ -532,9 +657,26 @@ def unitize_overlap(spark, sf_dir):
     return out.select("conv_id", "turn", "speaker", "start", "end")
 
 
-def unitize_turns(spark, sf_dir):
-    """The whole repair, with texts shared out: no oracle, tests hold it against a plain fold."""
-    return unitize.unitized(turns(spark, sf_dir), merge_gap=10.0)
+_CLEAN = _sql_brackets(False, "text")
+_RUNS = """{p}1 AS (SELECT *, CASE WHEN lag(speaker) OVER w = speaker THEN 0 ELSE 1 END AS turned FROM {p}0 WINDOW w AS (PARTITION BY conv_id ORDER BY t0, t1, turn)),
+ {p}2 AS (SELECT *, sum(turned) OVER (PARTITION BY conv_id ORDER BY t0, t1, turn ROWS UNBOUNDED PRECEDING) AS run FROM {p}1),
+ {p}3 AS (SELECT *, CASE WHEN t0 - max(t1) OVER (PARTITION BY conv_id, run ORDER BY t0, t1, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 10 THEN 1 ELSE 0 END AS apart FROM {p}2),
+ {p}4 AS (SELECT *, sum(apart) OVER (PARTITION BY conv_id, run ORDER BY t0, t1, turn ROWS UNBOUNDED PRECEDING) AS part FROM {p}3),
+ {p}m AS (SELECT conv_id, min(turn) AS turn, min(speaker) AS speaker, min(t0) AS t0, max(t1) AS t1, coalesce(string_agg(text, ' ' ORDER BY t0, t1, turn) FILTER (text <> ''), '') AS text FROM {p}4 GROUP BY conv_id, run, part)"""
 
 
-QUERIES["unitize_turns"] = unitize_turns
+@query(f"""WITH RECURSIVE {TURNS}, a0 AS (SELECT conv_id, turn, speaker, t0, t1, coalesce(nullif({_CLEAN}, ''), text) AS text FROM turns WHERE t1 > t0), {_RUNS.format(p="a")},
+ pts AS (SELECT conv_id, t0 AS lo FROM am UNION SELECT conv_id, t1 FROM am),
+ el AS (SELECT conv_id, lo, lead(lo) OVER (PARTITION BY conv_id ORDER BY lo) AS hi FROM pts),
+ own AS (SELECT * FROM (SELECT el.conv_id, el.lo, el.hi, am.turn, row_number() OVER (PARTITION BY el.conv_id, el.lo ORDER BY am.t0 DESC, am.t1 DESC, am.turn DESC) AS nth FROM el JOIN am ON am.conv_id = el.conv_id AND am.t0 <= el.lo AND am.t1 >= el.hi WHERE el.hi IS NOT NULL) WHERE nth = 1),
+ fl AS (SELECT *, CASE WHEN lag(turn) OVER w = turn AND lag(hi) OVER w = lo THEN 0 ELSE 1 END AS fresh FROM own WINDOW w AS (PARTITION BY conv_id ORDER BY lo)),
+ gr AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY lo ROWS UNBOUNDED PRECEDING) AS piece FROM fl),
+ pc AS (SELECT conv_id, turn, min(lo) AS lo, max(hi) AS hi, row_number() OVER (PARTITION BY conv_id, turn ORDER BY min(lo)) AS k FROM gr GROUP BY conv_id, turn, piece),
+ fold AS (SELECT conv_id, turn, 0::BIGINT AS k, '' AS own, text AS rest, t1, speaker, 0.0::DOUBLE AS lo, 0.0::DOUBLE AS hi FROM am
+  UNION ALL SELECT f.conv_id, f.turn, p.k, trim(substr(f.rest, 1, round_even(length(f.rest) * (p.hi - p.lo) / (f.t1 - p.lo), 0)::INT)), trim(substr(f.rest, round_even(length(f.rest) * (p.hi - p.lo) / (f.t1 - p.lo), 0)::INT + 1)), f.t1, f.speaker, p.lo, p.hi
+  FROM fold f JOIN pc p ON p.conv_id = f.conv_id AND p.turn = f.turn AND p.k = f.k + 1),
+ b0 AS (SELECT conv_id, turn, speaker, lo AS t0, hi AS t1, own AS text FROM fold WHERE k > 0), {_RUNS.format(p="b")}
+ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY t0, t1, turn) - 1 AS turn, speaker, t0 AS start, t1 AS "end", text FROM bm""")
+def unitize_turns(spark, sf_dir):
+    """The whole repair, with texts shared out."""
+    return unitize.unitized(turns(spark, sf_dir), merge_gap=10.0)

@@ -5,18 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.sources.scratch import file_system_of
+
 
 def save(df: DataFrame, out_dir: str, name: str, digits: int = 6, order: tuple[str, ...] = ()) -> bool:
     """<name> as CSV with rounded numbers, <name>_full as Parquet; an empty table is not written.
 
-    Both keep one file per task; `order` sorts them for readers, nulls first.
+    The table is computed once, for the Parquet files, from which the CSV files come.  Both keep one file per
+    task; `order` sorts them for readers, nulls first.
     """
-    if df.isEmpty():
+    spark, full = df.sparkSession, f"{out_dir}/{name}_full"
+    ordered = lambda x: x.orderBy(*(F.col(c).asc_nulls_first() for c in order)) if order else x
+    fresh = f"{out_dir}/_{name}_new"
+    ordered(df).write.mode("overwrite").parquet(fresh)
+    files, at = file_system_of(spark, fresh)
+    if spark.read.schema(df.schema).parquet(fresh).isEmpty():
+        files.delete(at, True)
         return False
-    if order:
-        df = df.orderBy(*(F.col(c).asc_nulls_first() for c in order))
+    target = file_system_of(spark, full)[1]
+    files.delete(target, True)
+    if not files.rename(at, target):
+        raise OSError(f"can't rename {fresh} to {full}")
+    back = ordered(spark.read.schema(df.schema).parquet(full))
     text = [F.format_string(f"%.{digits}f", c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
     text = [F.when(F.col(c).isNotNull(), x).alias(c) if t == "double" else x for (c, t), x in zip(df.dtypes, text, strict=True)]
-    df.write.mode("overwrite").parquet(f"{out_dir}/{name}_full")
-    df.select(*text).write.mode("overwrite").csv(f"{out_dir}/{name}", header=True)
+    back.select(*text).write.mode("overwrite").csv(f"{out_dir}/{name}", header=True)
     return True

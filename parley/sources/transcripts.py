@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,28 +15,53 @@ from parley.schema import CSV_TURNS
 PREFERENCE_NAMES = {"女性ID": "female_id", "男性ID": "male_id", "女性の交換意欲": "want_female", "男性の交換意欲": "want_male"}
 
 
-MOST_COLUMNS = 64
+def header_columns(spark: SparkSession, data_dir: str) -> int:
+    """Columns of the widest header among the folder's files, or more: of any line with the names that a header must have."""
+    lines = spark.read.text(data_dir, pathGlobFilter="*.csv").where(F.lower("value").contains("text") & F.lower("value").contains("speaker"))
+    return lines.agg(F.max(F.regexp_count("value", F.lit(",")) + 1)).first()[0] or 1
+
+
+def _file_rows(spark: SparkSession, data_dir: str) -> DataFrame:
+    """file_path, turn, header, names (normalised) and cells v of each row below a file's header, and whether the file is corrupt.
+
+    A file is corrupt if a row has more cells than the header, or bytes that are no UTF-8.
+    """
+    width = header_columns(spark, data_dir) + 1  # one more shows rows that are longer than every header
+    cells = ", ".join(f"c{k} string" for k in range(width))
+    rows = spark.read.schema(cells).csv(data_dir, pathGlobFilter="*.csv", multiLine=True, lineSep="\n", escape='"', mode="PERMISSIVE", maxColumns=max(20480, width + 1))
+    rows = rows.select(F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("at"), F.array(*(F.rtrim(F.col(f"c{k}"), F.lit("\r")) for k in range(width))).alias("v"))
+    order, whole = Window.partitionBy("file_path").orderBy("at"), Window.partitionBy("file_path")
+    rows = rows.withColumns({"header": F.first("v").over(order), "turn": (F.row_number().over(order) - 2).cast("long")})
+    used = lambda v: F.coalesce(F.array_max(F.transform(v, lambda x, i: F.when(x.isNotNull(), i + 1))), F.lit(0))
+    wrong = (used(F.col("v")) > used(F.col("header"))) | F.exists("v", lambda x: x.contains("\ufffd"))
+    rows = rows.withColumn("corrupt", F.max(F.coalesce(wrong, F.lit(False))).over(whole)).where("turn >= 0")
+    return rows.withColumn("names", F.transform("header", lambda x: F.lower(F.regexp_replace(x, r"(?U)^[\s\uFEFF]+|\s+$", ""))))
+
+
+def corrupt_files(spark: SparkSession, data_dir: str) -> DataFrame:
+    """file_path of each file that read_conversations leaves out as corrupt."""
+    return _file_rows(spark, data_dir).where("corrupt").select("file_path").distinct()
+
+
+def warn_of_corrupt_files(spark: SparkSession, data_dir: str) -> None:
+    if some := [r[0] for r in corrupt_files(spark, data_dir).limit(20).collect()]:
+        warnings.warn(f"corrupt files are left out: {', '.join(some)}{' and more' if len(some) == 20 else ''}", stacklevel=2)
 
 
 def read_conversations(spark: SparkSession, data_dir: str, schema: str | StructType = CSV_TURNS) -> DataFrame:
     """All *.csv directly under a folder: file_path, file_basename, turn, ids, round and the file's columns.
 
-    Columns go by each file's own header; those that a file lacks are null, and so are values of another
-    type.  A file is read by one task, so its lines keep their order, and a turn's number is its row's
-    place.  Files without text or speaker give no rows.
+    Columns go by each file's own header, of any width; those that a file lacks are null, and so are values of
+    another type.  A file is read by one task, so its lines keep their order, and a turn's number is its row's
+    place.  Files without text or speaker give no rows, and neither do corrupt ones.
     """
     wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    cells = ", ".join(f"c{k} string" for k in range(MOST_COLUMNS))
-    rows = spark.read.schema(cells).csv(data_dir, pathGlobFilter="*.csv", multiLine=True, lineSep="\n", escape='"', mode="PERMISSIVE")
-    rows = rows.select(F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("at"), F.array(*(F.rtrim(F.col(f"c{k}"), F.lit("\r")) for k in range(MOST_COLUMNS))).alias("v"))
-    order = Window.partitionBy("file_path").orderBy("at")
-    rows = rows.withColumns({"header": F.first("v").over(order), "turn": (F.row_number().over(order) - 2).cast("long")}).where("turn >= 0")
-    names_ = F.transform("header", lambda x: F.lower(F.regexp_replace(x, r"(?U)^[\s\uFEFF]+|\s+$", "")))
-    rows = rows.withColumn("names", names_).where(F.array_contains("names", "text") & F.array_contains("names", "speaker"))
+    rows = _file_rows(spark, data_dir).where("not corrupt").where(F.array_contains("names", "text") & F.array_contains("names", "speaker"))
     picked = [F.get("v", F.nullif(F.array_position("names", f.name), F.lit(0)).cast("int") - 1).try_cast(f.dataType).alias(f.name) for f in wanted]
     base = F.element_at(F.split("file_path", "/"), -1)
     f, m, k = id_in_name(base, "F"), id_in_name(base, "M"), round_number(base)
-    return rows.select("file_path", base.alias("file_basename"), "turn", f.alias("female_id"), m.alias("male_id"), dyad_id(f, m).alias("dyad_id"), k.alias("round_num"), round_label(k).alias("round_label"), *picked)
+    ids = [f.alias("female_id"), m.alias("male_id"), dyad_id(f, m).alias("dyad_id"), k.alias("round_num"), round_label(k).alias("round_label")]
+    return rows.select("file_path", base.alias("file_basename"), "turn", *ids, *picked)
 
 
 def of_round(conversations: DataFrame, round_number: int | None = None) -> DataFrame:

@@ -92,6 +92,30 @@ def test_reading_conversations(spark, tmp_path):
         transcripts.of_round(got, 3)
 
 
+def test_wide_and_corrupt_files(spark, tmp_path):
+    write_conversations(tmp_path)
+    wide = [f"x{k}" for k in range(90)]
+    (tmp_path / "03_1_1_A_F003_M003_concat.csv").write_text(",".join([*wide, "text", "speaker"]) + "\n" + ",".join([*map(str, range(90)), "far right", "female"]) + "\n")
+    (tmp_path / "04_1_1_A_F004_M004_concat.csv").write_text("speaker,text\nfemale,fine\nmale,one,cell,too,many\n")
+    (tmp_path / "05_1_1_A_F005_M005_concat.csv").write_bytes(b"speaker,text\nfemale,caf\xe9\n")
+    (tmp_path / "06_1_1_A_F006_M006_concat.csv").write_text("")
+    rows = transcripts.read_conversations(spark, str(tmp_path)).collect()
+    assert len(rows) == 10 and [(r.text, r.speaker) for r in rows if r.female_id == 3] == [("far right", "female")]
+    assert sorted(r[0][-29:-27] for r in transcripts.corrupt_files(spark, str(tmp_path)).collect()) == ["04", "05"]
+    with pytest.warns(UserWarning, match="04_1_1"):
+        transcripts.warn_of_corrupt_files(spark, str(tmp_path))
+
+
+def test_an_empty_table_is_not_written(spark, tmp_path):
+    from parley.sources.sinks import save
+
+    df = spark.createDataFrame([(2, 1.5), (None, 0.25), (1, None)], "k long, v double")
+    assert save(df, str(tmp_path), "t", order=("k",)) and not save(df.where("false"), str(tmp_path), "t")
+    assert {p.name for p in tmp_path.iterdir()} == {"t", "t_full"} and spark.read.parquet(f"{tmp_path}/t_full").count() == 3
+    assert [tuple(r) for r in spark.read.csv(f"{tmp_path}/t", header=True).orderBy("k").collect()] == [(None, "0.250000"), ("1", None), ("2", "1.500000")]
+    assert save(df.where("k = 1"), str(tmp_path), "t") and spark.read.parquet(f"{tmp_path}/t_full").count() == 1
+
+
 def test_preferences(spark, tmp_path):
     (tmp_path / "p.csv").write_text("女性ID,男性ID,女性の交換意欲,男性の交換意欲\nF001,M02,Yes,0\nx,3,maybe,T\n")
     got = transcripts.read_preferences(spark, str(tmp_path / "p.csv")).collect()
