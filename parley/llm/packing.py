@@ -6,8 +6,8 @@ longest length left).  What matters about pieces is only how many there are of e
 `capacity` numbers, so the driver packs lengths, and a combination is taken as often as the counts
 allow; pieces then get their places in parallel, by their rank within their length.
 
-Defined cases: null text counts as empty (only the closing id); rows that repeat an id and text are
-packed each; extra columns are not read; an empty table gives no rows; only texts of over `capacity`
+Defined cases: null text counts as empty (only the closing id); rows that repeat an id, with the same or other
+texts, are packed each; rows without an id are packed too; extra columns, whatever their names, are not read; an empty table gives no rows; only texts of over `capacity`
 ids are cut.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.bpe import Encoder, runs_of_texts, vocabulary, vocabulary_path
-from parley.llm.common import saved, scratch, table
+from parley.llm.common import saved, table
 
 CAPACITY = 4096
 CLOSING_ID = 1

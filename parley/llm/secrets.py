@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import file_system_of, saved, strings, table
+from parley.llm.common import saved, strings, table
+from parley.sources.scratch import file_system_of
 
 # The base kinds in the order in which equal starts are listed, then what this module adds.
 BASE_KINDS = ("assign", "access", "hex")
