@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from parley.functions.names import speaker as normal_speaker
 from parley.functions.text import bracket_counts, clean_or_raw, without_brackets
 
-#: Seconds of a bucket in which segments and instants meet.
+#: Seconds of a bucket in which segments and instants meet, at least; and buckets for each segment of a conversation, at most.
 BUCKET = 30.0
+BUCKETS_A_SEGMENT = 4
 
 
 def cleaned(rows: DataFrame, bracket_mode: str = "unwrap", strip_tags: bool = True, drop_blank: bool = False) -> DataFrame:
@@ -42,11 +43,15 @@ def merged_neighbours(segments: DataFrame, gap: float = 0.0) -> DataFrame:
 
 def owned_intervals(segments: DataFrame) -> DataFrame:
     """conv_id, turn, speaker, start, end, text, lo, hi: the stretches in which each segment owns the floor."""
-    bucket = lambda c: F.floor(c / BUCKET)
-    points = segments.select("conv_id", F.explode(F.array("start", "end")).alias("lo")).distinct()
+    bucket = lambda c: F.floor(c / F.col("width"))
+    whole = Window.partitionBy("conv_id")
+    # A time far off makes buckets wider, not more.
+    span = (F.max("end").over(whole) - F.min("start").over(whole)) / (BUCKETS_A_SEGMENT * F.count("*").over(whole))
+    placed = segments.withColumn("width", F.greatest(F.lit(BUCKET), span))
+    points = placed.select("conv_id", "width", F.explode(F.array("start", "end")).alias("lo")).distinct()
     steps = points.withColumn("hi", F.lead("lo").over(Window.partitionBy("conv_id").orderBy("lo"))).where("hi is not null")
-    steps = steps.withColumn("bucket", bucket(F.col("lo")))
-    spread = segments.withColumn("bucket", F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("end")))))
+    steps = steps.withColumn("bucket", bucket(F.col("lo"))).drop("width")
+    spread = placed.withColumn("bucket", F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("end")))))
     met = spread.join(steps, ["conv_id", "bucket"]).where((F.col("start") <= F.col("lo")) & (F.col("end") >= F.col("hi")))
     best = Window.partitionBy("conv_id", "lo").orderBy(F.desc("start"), F.desc("end"), F.desc("turn"))
     owners = met.withColumn("nth", F.row_number().over(best)).where("nth = 1")

@@ -212,6 +212,12 @@ def test_unitize(spark):
     assert owners(spark, [("f", 3.0, 3.0), ("m", None, 2.0)]) == []
 
 
+def test_a_time_far_off_makes_no_more_rows(spark):
+    far = 3e11  # ten thousand years: as many buckets of the least width would be ten thousand million rows
+    got = owners(spark, [("f", 0.0, 10.0), ("m", 5.0, 15.0), ("f", 12.0, far), ("m", 100.0, 130.0)])
+    assert got == [("female", 0, 5), ("male", 5, 12), ("female", 12, 100), ("male", 100, 130), ("female", 130, far)]
+
+
 def test_overlap_shares_text_by_time(spark):
     df = segments(spark, [("f", 0.0, 10.0, "abcdefghij"), ("m", 4.0, 6.0, "XY")])
     got = [(r.speaker, r.text) for r in unitize.unitized(df).orderBy("start").collect()]
