@@ -146,6 +146,22 @@ def test_jaccard_of_near_copies_and_a_common_passage(spark, template_rows, monke
     assert got == want and len(set(want.values())) < len(want) - 20
 
 
+@pytest.mark.parametrize(("group", "width", "percent"), [(1024, 3, 90), (4, 5, 80)])
+def test_all_links_are_found(spark, template_rows, monkeypatch, group, width, percent):
+    """Every link between different texts, and how many ids each row is linked with, against all pairs."""
+    monkeypatch.setattr(ngramjoin, "GROUP", group)
+    rows = [*template_rows, *((1000 + k, template_rows[7][1]) for k in range(5)), (2000, ""), (2001, None), (None, template_rows[7][1])]
+    links, documents = ngramjoin.links_of(spark.createDataFrame(rows, "doc_id long, text string"), width, percent)
+    texts = {k: shingle_set(t, width) for k, t in rows if k is not None}
+    want = {(a, b) for a in texts for b in texts if a < b and linked(texts[a], texts[b], percent)}
+    least = {k: min(j for j, t in texts.items() if t == s) if s else None for k, s in texts.items()}
+    assert {tuple(x) for x in links.collect()} == {(a, b) for a, b in want if least[a] == a and least[b] == b and texts[a] != texts[b]}
+    count = collections.Counter(x for pair in want for x in pair)
+    got = documents.collect()
+    assert sorted((x.doc_id, x.class_id, x.n_links) for x in got if x.doc_id is not None) == sorted(((k, least[k], count[k]) for k in texts), key=lambda x: x[0])
+    assert [(x.class_id, x.n_links) for x in got if x.doc_id is None] == [(None, 0)] and len(want) > 50
+
+
 def test_jaccard_of_ids_that_repeat_with_other_texts(spark):
     r = random.Random(1)
     a, b, c = (" ".join(f"w{r.randrange(999)}" for _ in range(40)) for _ in range(3))
