@@ -102,7 +102,10 @@ class Dictionary:
             parts = pattern.split("*")
             star = len(parts) > 1
             for category in categories:
-                one = (category, f"{parts[0]}*{parts[-1]}" if star else pattern, len(parts[0]) if star else None, len(parts[-1]) if star else None, regex_of(pattern) if len(parts) > 2 else None)
+                one = (
+                    category, f"{parts[0]}*{parts[-1]}" if star else pattern, len(parts[0]) if star else None,
+                    len(parts[-1]) if star else None, regex_of(pattern) if len(parts) > 2 else None
+                )
                 for k, v in zip(rows, one, strict=True):
                     rows[k].append(v)
         kinds = dict.fromkeys(rows, pa.string()) | {"a": pa.int32(), "b": pa.int32()}
@@ -131,7 +134,10 @@ SAMPLE = Dictionary.of(
     {
         "ppron": ["i", "we", "you", "he", "she", "they", "je", "nous", "vous", "ich", "wir", "sie", "yo", "el", "no*otros"],
         "ipron": ["it", "this", "that", "which", "ce*", "qui", "das", "esto", "que", "was", "*thing"],
-        "casepart": ["of", "to", "in", "for", "on", "with", "by", "from", "de", "des", "du", "dans", "par", "sur", "von", "mit", "zu", "auf", "para", "con"],
+        "casepart": [
+            "of", "to", "in", "for", "on", "with", "by", "from", "de", "des", "du", "dans", "par", "sur", "von", "mit", "zu",
+            "auf", "para", "con"
+        ],
         "auxverb": ["is", "are", "was", "be", "have", "est", "sont", "ist", "sind", "es", "ha*en"],
         "adverb": ["not", "very", "here", "there", "pas", "plus", "nicht", "auch", "muy", "th*re"],
         "conj": ["and", "or", "but", "as", "et", "ou", "mais", "und", "oder", "als", "y", "pero"],

@@ -56,5 +56,11 @@ def clean_or_raw(clean: Column, raw: Column) -> Column:
 
 def joined(texts: Column, order: Column, skip_null: bool = False) -> Column:
     """An aggregate: the group's texts in order, with single spaces between."""
-    rows = F.array_sort(F.collect_list(F.when(texts.isNotNull(), F.struct(order.alias("at"), texts.alias("text"))) if skip_null else F.struct(order.alias("at"), texts.alias("text"))))
+    rows = F.array_sort(
+        F.collect_list(
+            F.when(
+                texts.isNotNull(), F.struct(order.alias("at"), texts.alias("text"))
+            ) if skip_null else F.struct(order.alias("at"), texts.alias("text"))
+        )
+    )
     return F.array_join(F.transform(rows, lambda x: x["text"]), " ")

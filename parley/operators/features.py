@@ -68,7 +68,10 @@ def match_tokens(words: DataFrame, dictionary: Dictionary, categories: Iterable[
     return exact.unionByName(found.select("word", "category")).distinct()
 
 
-def token_counts(tokenised: DataFrame, keys: list[str], dictionary: Dictionary, categories: Iterable[str], column: str = "tokens", fold_case: bool = True) -> DataFrame:
+def token_counts(
+    tokenised: DataFrame, keys: list[str], dictionary: Dictionary, categories: Iterable[str], column: str = "tokens",
+    fold_case: bool = True
+) -> DataFrame:
     """Counts of any tokeniser's tokens: rows with an array column -> keys, category, n (zeros left out)."""
     own = dictionary.only(categories)
     own = own.lowered() if fold_case else own

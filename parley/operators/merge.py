@@ -14,7 +14,10 @@ from parley.functions.scoring import talk_ratio
 # Keys and parameters of result tables.
 KEYS = ("dyad_id", "female_id", "male_id", "round_num")
 PARAMETERS = ("window_size_param", "include_current", "min_window_tokens", "na_policy")
-RENAMED = ("categories_order", "dic_filename", "female_total_words", "male_total_words", "total_words", "file_path", "file_basename", "has_timestamps", "spacy_model", "f_talk_ratio")
+RENAMED = (
+    "categories_order", "dic_filename", "female_total_words", "male_total_words", "total_words", "file_path", "file_basename",
+    "has_timestamps", "spacy_model", "f_talk_ratio"
+)
 PREFERRED_WINDOW = 8
 
 
@@ -69,7 +72,10 @@ def frequent_parameters(rw: DataFrame) -> DataFrame:
     return rw.groupBy(*PARAMETERS).count().orderBy(F.desc("count"), *PARAMETERS).limit(1)
 
 
-def with_parameters(rw: DataFrame, window: int | None = None, include_current: bool | None = None, min_tokens: int | None = None, policy: str | None = None) -> DataFrame:
+def with_parameters(
+    rw: DataFrame, window: int | None = None, include_current: bool | None = None, min_tokens: int | None = None,
+    policy: str | None = None
+) -> DataFrame:
     wanted = {"window_size_param": window, "include_current": include_current, "min_window_tokens": min_tokens, "na_policy": policy}
     for name, value in wanted.items():
         if value is not None and name in rw.columns:
@@ -84,7 +90,9 @@ def representatives(rw: DataFrame, keys: Sequence[str], prefer: int | None = Non
     current = F.coalesce(flag(F.col("include_current")), F.lit(False)) if "include_current" in have else F.lit(False)
     least = F.coalesce(F.col("min_window_tokens"), F.lit(-1)) if "min_window_tokens" in have else F.lit(-1)
     pairs = F.coalesce(F.col("n_pair_turns"), F.lit(-1)) if "n_pair_turns" in have else F.lit(-1)
-    best = Window.partitionBy(*keys).orderBy(current.desc(), nearest.asc_nulls_last(), least.desc(), pairs.desc(), *(F.col(c) for c in order if c in have))
+    best = Window.partitionBy(*keys).orderBy(
+        current.desc(), nearest.asc_nulls_last(), least.desc(), pairs.desc(), *(F.col(c) for c in order if c in have)
+    )
     return rw.withColumn("__nth", F.row_number().over(best)).where("__nth = 1").drop("__nth")
 
 

@@ -41,7 +41,10 @@ def exchanges(rates: DataFrame, categories: Sequence[str], eps: float = EPS, zer
     value = [responsiveness(F.col(f"before.rate_{c}"), F.col(f"rate_{c}"), eps, zero_tol).alias(f"rlsm_{c}") for c in categories]
     both = [x for c in categories for x in (F.col(f"before.rate_{c}").alias(f"lead_{c}"), F.col(f"rate_{c}").alias(f"resp_{c}"))]
     more = [x for k in keep for x in (F.col(f"before.{k}").alias(f"lead_{k}"), F.col(k).alias(f"resp_{k}"))]
-    return rows.select("conv_id", (F.col("place") - 2).cast("long").alias("pair_index"), "pair_number", F.col("before.speaker").alias("leader"), F.col("speaker").alias("responder"), *value, *both, *more)
+    return rows.select(
+        "conv_id", (F.col("place") - 2).cast("long").alias("pair_index"), "pair_number", F.col("before.speaker").alias("leader"),
+        F.col("speaker").alias("responder"), *value, *both, *more
+    )
 
 
 def individuals(pairs: DataFrame, categories: Sequence[str]) -> DataFrame:
@@ -101,22 +104,33 @@ def validation_errors(counts: DataFrame, speakers: tuple[str, str]) -> DataFrame
     totals = [F.coalesce(F.sum(F.when(F.col("speaker") == s, F.col("total"))), F.lit(0)) for s in speakers]
     rows = counts.groupBy("conv_id").agg(names.alias("speakers"), *(t.alias(f"t{k}") for k, t in enumerate(totals)))
     wrong = F.col("speakers") != F.array(*map(F.lit, sorted(speakers)))
-    error = F.when(wrong, F.concat(F.lit("speakers: "), F.array_join("speakers", ","))).when((F.col("t0") == 0) | (F.col("t1") == 0), F.lit("no words of one speaker"))
+    error = F.when(wrong, F.concat(F.lit("speakers: "), F.array_join("speakers", ","))).when(
+        (F.col("t0") == 0) | (F.col("t1") == 0), F.lit("no words of one speaker")
+    )
     return rows.select("conv_id", error.alias("error")).where("error is not null")
 
 
 def summary(turns: DataFrame, pairs: DataFrame, speakers: tuple[str, str], categories: Sequence[str], policy: str = "bilateral_only") -> DataFrame:
     """One wide record for each conversation: totals, finals, individual, dyad and coverage columns, and imputed values with flags."""
     own = individuals(pairs, categories)
-    totals = turns.groupBy("conv_id").agg(*(F.coalesce(F.sum(F.when(F.col("speaker") == s, F.col("total"))), F.lit(0)).alias(f"{s}_total_words") for s in speakers))
-    pivoted = own.groupBy("conv_id").agg(*(F.max(F.when(F.col("speaker") == s, F.col(f"rlsm_{c}"))).alias(f"{s}_rlsm_{c}") for s in speakers for c in categories))
-    dyad = dyads(turns, own, categories, policy).withColumnsRenamed({f"dyad_{c}": f"dyad_rlsm_{c}" for c in categories} | {"dyad_final": "dyad_final_rlsm"})
+    totals = turns.groupBy("conv_id").agg(
+        *(F.coalesce(F.sum(F.when(F.col("speaker") == s, F.col("total"))), F.lit(0)).alias(f"{s}_total_words") for s in speakers)
+    )
+    pivoted = own.groupBy("conv_id").agg(
+        *(F.max(F.when(F.col("speaker") == s, F.col(f"rlsm_{c}"))).alias(f"{s}_rlsm_{c}") for s in speakers for c in categories)
+    )
+    dyad = dyads(turns, own, categories, policy).withColumnsRenamed(
+        {f"dyad_{c}": f"dyad_rlsm_{c}" for c in categories} | {"dyad_final": "dyad_final_rlsm"}
+    )
     cases = pair_cases(pairs, categories).groupBy("conv_id").agg(
         F.max("pairs_total").alias("n_pair_turns"),
         *(F.max(F.when(F.col("category") == c, F.col(x))).alias(f"rlsm_{c}_{x}") for c in categories for x in ("pairs_total", "pairs_valid", "pairs_both_zero", "pairs_leader_zero", "pairs_responder_zero", "coverage_ratio")),
     )
     wide = totals.join(dyad, "conv_id").join(pivoted, "conv_id", "left").join(cases, "conv_id", "left")
-    counts = ["n_pair_turns", *(f"rlsm_{c}_{x}" for c in categories for x in ("pairs_total", "pairs_valid", "pairs_both_zero", "pairs_leader_zero", "pairs_responder_zero"))]
+    counts = [
+        "n_pair_turns",
+        *(f"rlsm_{c}_{x}" for c in categories for x in ("pairs_total", "pairs_valid", "pairs_both_zero", "pairs_leader_zero", "pairs_responder_zero"))
+    ]
     wide = wide.withColumns({x: F.coalesce(x, F.lit(0).cast("long")) for x in counts} | {"na_policy": F.lit(policy)})
     wide = wide.withColumns({f"{s}_overall_rlsm": mean([F.col(f"{s}_rlsm_{c}") for c in categories]) for s in speakers})
     more: dict[str, Column] = {}

@@ -23,10 +23,18 @@ def rolling_rates(counts: DataFrame, categories: Sequence[str], window: int = RO
 
     Rates are ratios of sums, in percent; an empty window has rate 0.
     """
-    last = Window.partitionBy("conv_id", "speaker").orderBy("turn").rowsBetween(1 - window if include_current else -window, 0 if include_current else -1)
+    last = Window.partitionBy("conv_id", "speaker").orderBy("turn").rowsBetween(
+        1 - window if include_current else -window, 0 if include_current else -1
+    )
     over = lambda c: F.coalesce(F.sum(c).over(last), F.lit(0).cast("long"))
-    sums = counts.select("conv_id", "turn", "speaker", F.count("*").over(last).alias("win_size"), over("total").alias("win_total"), *(over(count_name(c)).alias(count_name(c)) for c in categories))
-    return sums.select("conv_id", "turn", "speaker", "win_size", "win_total", *(rate(F.col(count_name(c)), F.col("win_total")).alias(f"rate_{c}") for c in categories))
+    sums = counts.select(
+        "conv_id", "turn", "speaker", F.count("*").over(last).alias("win_size"), over("total").alias("win_total"),
+        *(over(count_name(c)).alias(count_name(c)) for c in categories)
+    )
+    return sums.select(
+        "conv_id", "turn", "speaker", "win_size", "win_total",
+        *(rate(F.col(count_name(c)), F.col("win_total")).alias(f"rate_{c}") for c in categories)
+    )
 
 
 def rolling_pairs(rates: DataFrame, categories: Sequence[str], min_tokens: int = 0, eps: float = EPS, zero_tol: float = ZERO_TOL) -> DataFrame:

@@ -27,10 +27,16 @@ def scores(sums: DataFrame, keys: Sequence[str], categories: Sequence[str], roun
     each = {f"lsm_{c}": similarity(F.col(f"{c}_1"), F.col("total_1"), F.col(f"{c}_2"), F.col("total_2"), rounding) for c in categories}
     out = sums.select(*keys, "total_1", "total_2", *(v.alias(k) for k, v in each.items()))
     columns = list(map(F.col, each))
-    return out.select(*keys, "total_1", "total_2", mean(columns).alias("lsm_mean"), deviation(columns).alias("lsm_std"), present(columns).alias("lsm_n_active_cats"), *each)
+    return out.select(
+        *keys, "total_1", "total_2", mean(columns).alias("lsm_mean"), deviation(columns).alias("lsm_std"),
+        present(columns).alias("lsm_n_active_cats"), *each
+    )
 
 
-def conversation_similarity(counts: DataFrame, speakers: tuple[str, str], categories: Sequence[str], keys: Sequence[str] = ("conv_id",), rounding: int | None = None) -> DataFrame:
+def conversation_similarity(
+    counts: DataFrame, speakers: tuple[str, str], categories: Sequence[str], keys: Sequence[str] = ("conv_id",),
+    rounding: int | None = None
+) -> DataFrame:
     return scores(by_speaker(counts, keys, speakers, categories), keys, categories, rounding)
 
 
@@ -44,13 +50,21 @@ def sparse_windows(turns: DataFrame, minutes: float, keys: Sequence[str] = ("con
     """Half-open time windows that have rows: keys, window_index, start_sec, end_sec, n_turns; none for no width."""
     seconds = round(minutes * 60)
     if seconds <= 0 or "start" not in turns.columns:
-        return turns.sparkSession.createDataFrame([], turns.select(*keys).schema.add("window_index", "long").add("start_sec", "double").add("end_sec", "double").add("n_turns", "long"))
+        return turns.sparkSession.createDataFrame(
+            [],
+            turns.select(*keys).schema.add("window_index", "long").add("start_sec", "double").add("end_sec", "double").add("n_turns", "long")
+        )
     index = window_index(F.col("start"), seconds)
     rows = turns.where("start is not null").groupBy(*keys, index.alias("window_index")).agg(F.count("*").alias("n_turns"))
-    return rows.select(*keys, "window_index", (F.col("window_index") * float(seconds)).alias("start_sec"), ((F.col("window_index") + 1) * float(seconds)).alias("end_sec"), "n_turns")
+    return rows.select(
+        *keys, "window_index", (F.col("window_index") * float(seconds)).alias("start_sec"),
+        ((F.col("window_index") + 1) * float(seconds)).alias("end_sec"), "n_turns"
+    )
 
 
-def temporal_similarity(counts: DataFrame, speakers: tuple[str, str], categories: Sequence[str], minutes: float, keys: Sequence[str] = ("conv_id",)) -> DataFrame:
+def temporal_similarity(
+    counts: DataFrame, speakers: tuple[str, str], categories: Sequence[str], minutes: float, keys: Sequence[str] = ("conv_id",)
+) -> DataFrame:
     """Scores of every window from 0 to the conversation's last; windows without words have no scores.
 
     Rows before time 0 are in no window; rows without a time are in the first.
@@ -63,7 +77,10 @@ def temporal_similarity(counts: DataFrame, speakers: tuple[str, str], categories
     before = F.coalesce(F.lag("window_index").over(Window.partitionBy(*keys).orderBy("window_index")) + 1, F.lit(0).cast("long"))
     values = [c for c in sums.columns if c not in full]
     filled = sums.withColumn("before", before).withColumn("at", F.explode(F.sequence("before", "window_index")))
-    sums = filled.select(*keys, F.col("at").alias("window_index"), *(F.when(F.col("at") == F.col("window_index"), F.col(c)).otherwise(F.lit(0)).alias(c) for c in values))
+    sums = filled.select(
+        *keys, F.col("at").alias("window_index"),
+        *(F.when(F.col("at") == F.col("window_index"), F.col(c)).otherwise(F.lit(0)).alias(c) for c in values)
+    )
     out = scores(sums, full, categories)
     return out.withColumns({"start_sec": F.col("window_index") * float(seconds), "end_sec": (F.col("window_index") + 1) * float(seconds)})
 
@@ -76,7 +93,9 @@ def label_events(events: DataFrame, time: Column, label: str, speaker: Column, c
     )
 
 
-def text_pair_similarity(records: DataFrame, dictionary: Dictionary, categories: Sequence[str], texts: tuple[str, str] = ("female_text", "male_text")) -> DataFrame:
+def text_pair_similarity(
+    records: DataFrame, dictionary: Dictionary, categories: Sequence[str], texts: tuple[str, str] = ("female_text", "male_text")
+) -> DataFrame:
     """records with both texts' word counts, lsm_scores (a map of the categories that have one, by name) and their mean.
 
     A null text has no words; records without scores have an empty map and no mean.
@@ -87,6 +106,8 @@ def text_pair_similarity(records: DataFrame, dictionary: Dictionary, categories:
         rows = category_counts(rows.withColumn(f"__total_{k}", F.size("__tokens").cast("long")), "__tokens", dictionary.lowered(), categories)
         out = rows.drop("__tokens").withColumnsRenamed({count_name(c): f"__{c}_{k}" for c in categories})
     each = [(c, similarity(F.col(f"__{c}_1"), F.col("__total_1"), F.col(f"__{c}_2"), F.col("__total_2"))) for c in sorted(categories)]
-    scores_ = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(c).alias("key"), s.alias("value")) for c, s in each)), lambda x: x["value"].isNotNull()))
+    scores_ = F.map_from_entries(
+        F.filter(F.array(*(F.struct(F.lit(c).alias("key"), s.alias("value")) for c, s in each)), lambda x: x["value"].isNotNull())
+    )
     counts = [F.col(f"__total_{k}").alias(f"{name.removesuffix('_text')}_word_count") for k, name in enumerate(texts, 1)]
     return out.select(*records.columns, *counts, scores_.alias("lsm_scores"), mean([s for _, s in each]).alias("lsm_mean"))

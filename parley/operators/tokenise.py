@@ -24,12 +24,17 @@ def tokeniser(factory: Callable[[], Callable[[str], Iterable[dict]]]) -> Callabl
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokens = factory()
         for texts in batches:
-            yield texts.map(lambda t: [{"text": None, "lemma": None, "pos": None, "is_space": False, "is_punct": False} | x for x in tokens(t)] if t else [])
+            yield texts.map(
+                lambda t: [{"text": None, "lemma": None, "pos": None, "is_space": False, "is_punct": False} | x for x in tokens(t)] if t else []
+            )
 
     return run
 
 
 def words_of(tokens: Column) -> Column:
     """The lemmas (a missing one is the token's text) of tokens that are neither space nor punctuation nor symbols."""
-    real = F.filter(tokens, lambda t: ~F.coalesce(t["is_space"], F.lit(False)) & ~F.coalesce(t["is_punct"], F.lit(False)) & ~F.coalesce(t["pos"], F.lit("")).isin(*NO_WORDS))
+    real = F.filter(
+        tokens,
+        lambda t: ~F.coalesce(t["is_space"], F.lit(False)) & ~F.coalesce(t["is_punct"], F.lit(False)) & ~F.coalesce(t["pos"], F.lit("")).isin(*NO_WORDS)
+    )
     return F.transform(real, lambda t: F.coalesce(F.nullif(t["lemma"], F.lit("")), t["text"]))

@@ -22,7 +22,9 @@ def cleaned(rows: DataFrame, bracket_mode: str = "unwrap", strip_tags: bool = Tr
     """Normal speakers, and text_clean without brackets; a blank one falls back to the text unless dropped."""
     raw = F.coalesce("text", F.lit(""))
     clean = without_brackets(raw, bracket_mode) if strip_tags else raw
-    return rows.withColumns({"speaker": normal_speaker(F.col("speaker"), wide=False), "text_clean": clean if drop_blank else clean_or_raw(clean, raw)})
+    return rows.withColumns(
+        {"speaker": normal_speaker(F.col("speaker"), wide=False), "text_clean": clean if drop_blank else clean_or_raw(clean, raw)}
+    )
 
 
 def merged_neighbours(segments: DataFrame, gap: float = 0.0) -> DataFrame:
@@ -36,7 +38,10 @@ def merged_neighbours(segments: DataFrame, gap: float = 0.0) -> DataFrame:
     rows = rows.withColumn("apart", F.coalesce((F.col("start") - reach > gap).cast("long"), F.lit(0)))
     rows = rows.withColumn("part", F.sum("apart").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     texts = F.array_sort(F.collect_list(F.struct("start", "end", "turn", F.col("text"))))
-    out = rows.groupBy("conv_id", "run", "part").agg(F.min("turn").alias("turn"), F.first("speaker").alias("speaker"), F.min("start").alias("start"), F.max("end").alias("end"), texts.alias("texts"))
+    out = rows.groupBy("conv_id", "run", "part").agg(
+        F.min("turn").alias("turn"), F.first("speaker").alias("speaker"), F.min("start").alias("start"),
+        F.max("end").alias("end"), texts.alias("texts")
+    )
     whole = F.array_join(F.filter(F.transform("texts", lambda x: x["text"]), lambda t: t != ""), " ")
     return out.select("conv_id", "turn", "speaker", "start", "end", whole.alias("text"))
 
@@ -101,7 +106,10 @@ def unitized(rows: DataFrame, mode: str = "approx", merge_gap: float = 0.0, brac
     clean = cleaned(rows, bracket_mode, strip_tags)
     if mode == "off" or not {"start", "end"} <= set(rows.columns):
         return clean
-    parts = clean.select("conv_id", "turn", "speaker", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.col("text_clean").alias("text"))
+    parts = clean.select(
+        "conv_id", "turn", "speaker", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"),
+        F.col("text_clean").alias("text")
+    )
     parts = parts.withColumn("timed", F.count(F.col("start") + F.col("end")).over(Window.partitionBy("conv_id")) > 0)
     whole = merged_neighbours(without_overlaps(merged_neighbours(parts.where("timed"), merge_gap)), merge_gap)
     order = Window.partitionBy("conv_id").orderBy("start", "end", "turn")  # a segment's pieces have its number: count anew
@@ -112,5 +120,10 @@ def unitized(rows: DataFrame, mode: str = "approx", merge_gap: float = 0.0, brac
 def report(rows: DataFrame, done: DataFrame) -> DataFrame:
     """conv_id, rows before and after, brackets kept and deleted, rows without a length."""
     kept, deleted = bracket_counts(F.coalesce("text", F.lit("")))
-    one = rows.groupBy("conv_id").agg(F.count("*").alias("rows_in"), F.sum(kept).alias("brackets_kept"), F.sum(deleted).alias("brackets_deleted"), F.count_if(~F.coalesce(F.col("end") > F.col("start"), F.lit(False))).alias("rows_without_length"))
-    return one.join(done.groupBy("conv_id").agg(F.count("*").alias("rows_out")), "conv_id", "left").withColumn("rows_out", F.coalesce("rows_out", F.lit(0)))
+    one = rows.groupBy("conv_id").agg(
+        F.count("*").alias("rows_in"), F.sum(kept).alias("brackets_kept"), F.sum(deleted).alias("brackets_deleted"),
+        F.count_if(~F.coalesce(F.col("end") > F.col("start"), F.lit(False))).alias("rows_without_length")
+    )
+    return one.join(
+        done.groupBy("conv_id").agg(F.count("*").alias("rows_out")), "conv_id", "left"
+    ).withColumn("rows_out", F.coalesce("rows_out", F.lit(0)))

@@ -63,12 +63,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     if a.command == "lsm":
         return run_lsm(spark, a.data, a.dic, a.results, a.round, a.temporal, a.window)
     if a.command == "rlsm":
-        options = Options(a.na_policy, a.eps, a.zero_tol, a.unitize != "off", a.merge_gap, a.strip_tags, a.bracket_mode, a.enable_micro_ppron, a.rw, a.rw_window_size, a.rw_include_current, a.rw_min_window_tokens)
+        options = Options(
+            a.na_policy, a.eps, a.zero_tol, a.unitize != "off", a.merge_gap, a.strip_tags, a.bracket_mode, a.enable_micro_ppron,
+            a.rw, a.rw_window_size, a.rw_include_current, a.rw_min_window_tokens
+        )
         return run_rlsm(spark, a.data, a.dic, a.results, options)
     if a.command == "merge-lsm":
         out, name = rounds_long(read_table(spark, a.lsm_1st), read_table(spark, a.lsm_2nd), CATEGORIES), "lsm_long"
     else:
-        out, name = static_with_rolling(read_table(spark, a.rlsm), read_table(spark, a.rw), a.param_window, window=a.param_window, include_current=a.include_current, min_tokens=a.min_window_tokens, policy=a.na_policy), "rlsm_merged"
+        out, name = static_with_rolling(
+            read_table(spark, a.rlsm), read_table(spark, a.rw), a.param_window, window=a.param_window,
+            include_current=a.include_current, min_tokens=a.min_window_tokens, policy=a.na_policy
+        ), "rlsm_merged"
     return [name] if save(out, a.out, name) else []
 
 

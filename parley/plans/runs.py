@@ -50,7 +50,10 @@ def meta_of(conversations: DataFrame) -> DataFrame:
     return conversations.select(F.col("file_path").alias("conv_id"), *META).distinct()
 
 
-def lsm_tables(conversations: DataFrame, dictionary: Dictionary, categories: Sequence[str] = CATEGORIES, minutes: float | None = None, dictionary_name: str | None = None) -> dict[str, DataFrame]:
+def lsm_tables(
+    conversations: DataFrame, dictionary: Dictionary, categories: Sequence[str] = CATEGORIES, minutes: float | None = None,
+    dictionary_name: str | None = None
+) -> dict[str, DataFrame]:
     """lsm_results and, with a width, lsm_temporal: a wide record for each conversation (and window)."""
     own = dictionary.only(categories)
     counts = features.turn_counts(as_turns(conversations), own, own.labels).drop("text")
@@ -62,7 +65,9 @@ def lsm_tables(conversations: DataFrame, dictionary: Dictionary, categories: Seq
     out = {"lsm_results": static.join(meta, "conv_id", "left").join(timed, "conv_id", "left").withColumns(constant).withColumnsRenamed(named)}
     if minutes is not None and minutes > 0:
         temporal = similarity.temporal_similarity(counts, GENDERS, own.labels, minutes)
-        out["lsm_temporal"] = temporal.join(meta, "conv_id", "left").withColumns(constant | {"window_size_sec": F.lit(round(minutes * 60))}).withColumnsRenamed(named)
+        out["lsm_temporal"] = temporal.join(meta, "conv_id", "left").withColumns(
+            constant | {"window_size_sec": F.lit(round(minutes * 60))}
+        ).withColumnsRenamed(named)
     return out
 
 
@@ -72,7 +77,9 @@ def levels(counts: DataFrame, pairs: DataFrame, categories: Sequence[str], polic
     spine = responsiveness.individual_spine(counts, own, categories)
     dyad = responsiveness.dyads(counts, own, categories, policy)
     return {
-        "individual": similarity.as_long(spine, ["conv_id", F.col("speaker").alias("speaker_gender")], categories, "rlsm", f"{prefix}individual_rlsm"),
+        "individual": similarity.as_long(
+            spine, ["conv_id", F.col("speaker").alias("speaker_gender")], categories, "rlsm", f"{prefix}individual_rlsm"
+        ),
         "dyad": similarity.as_long(dyad, ["conv_id"], categories, "dyad", f"{prefix}dyad_rlsm").withColumn("na_policy", F.lit(policy)),
         "final": dyad.select("conv_id", F.col("dyad_final").alias(f"{prefix}dyad_final_rlsm")),
     }
@@ -89,7 +96,12 @@ def rolling_tables(counts: DataFrame, categories: Sequence[str], o: Options) ->
     both = whole.groupBy("conv_id").agg(*(F.max(F.when(F.col("speaker") == s, F.col("overall"))).alias(f"rw_{s}_overall_rlsm") for s in GENDERS))
     one = level["final"].join(both, "conv_id", "left").join(rolling.scored_pairs(shown, categories), "conv_id", "left")
     one = one.withColumns({"n_pair_turns": F.coalesce("n_pair_turns", F.lit(0).cast("long")), "na_policy": F.lit(o.policy)} | parameters)
-    keys = ["conv_id", F.col("pair_number").alias("pair_index"), "leader", "responder", F.col("lead_win_size").alias("leader_window_size"), F.col("resp_win_size").alias("responder_window_size"), F.col("lead_win_total").alias("leader_window_total_words"), F.col("resp_win_total").alias("responder_window_total_words"), "leader_window_ok", "responder_window_ok"]
+    keys = [
+        "conv_id", F.col("pair_number").alias("pair_index"), "leader", "responder",
+        F.col("lead_win_size").alias("leader_window_size"), F.col("resp_win_size").alias("responder_window_size"),
+        F.col("lead_win_total").alias("leader_window_total_words"), F.col("resp_win_total").alias("responder_window_total_words"),
+        "leader_window_ok", "responder_window_ok"
+    ]
     rows = similarity.as_long(shown, keys, categories, "rlsm", "rw_rlsm")
     return {
         "rw_rlsm_conversations": one,
@@ -99,7 +111,9 @@ def rolling_tables(counts: DataFrame, categories: Sequence[str], o: Options) ->
     }
 
 
-def rlsm_tables(conversations: DataFrame, dictionary: Dictionary, o: Options = Options(), categories: Sequence[str] = CATEGORIES) -> dict[str, DataFrame]:
+def rlsm_tables(
+    conversations: DataFrame, dictionary: Dictionary, o: Options = Options(), categories: Sequence[str] = CATEGORIES
+) -> dict[str, DataFrame]:
     """All tables of the directional measure, by file name without its ending.
 
     The counted turns have several readers and are kept in memory and on disk; call unpersist() on the
@@ -128,11 +142,17 @@ def rlsm_tables(conversations: DataFrame, dictionary: Dictionary, o: Options = O
     if micro:
         small = responsiveness.exchanges(responsiveness.with_rates(good, micro), micro, o.eps, o.zero_tol)
         level = levels(good, small, micro, o.policy)
-        out |= {"pairs_micro_rlsm": responsiveness.pairs_long(small, micro), "individual_micro_rlsm": level["individual"], "dyad_micro_rlsm": level["dyad"]}
+        out |= {
+            "pairs_micro_rlsm": responsiveness.pairs_long(small, micro), "individual_micro_rlsm": level["individual"],
+            "dyad_micro_rlsm": level["dyad"]
+        }
     if o.rolling:
         out |= rolling_tables(good, main, o)
         if micro:
-            out |= {k.replace("category", "micro") if "category" in k else k.replace("rlsm", "micro_rlsm"): v for k, v in rolling_tables(good, micro, o).items()}
+            out |= {
+                k.replace("category", "micro") if "category" in k else k.replace("rlsm", "micro_rlsm"): v for k,
+                v in rolling_tables(good, micro, o).items()
+            }
     out = {k: v.join(meta, "conv_id", "left").withColumnRenamed("conv_id", "file_path") for k, v in out.items()}
     out["rlsm_errors"] = errors.withColumnRenamed("conv_id", "file_path")
     if reports is not None:
@@ -140,16 +160,25 @@ def rlsm_tables(conversations: DataFrame, dictionary: Dictionary, o: Options = O
     return out | {"_turns": counts}
 
 
-def run_lsm(spark: SparkSession, data_dir: str, dictionary_path: str, results_dir: str, round_number: int | None = None, temporal: bool = False, minutes: float = WINDOW_MINUTES, categories: Sequence[str] = CATEGORIES) -> list[str]:
+def run_lsm(
+    spark: SparkSession, data_dir: str, dictionary_path: str, results_dir: str, round_number: int | None = None,
+    temporal: bool = False, minutes: float = WINDOW_MINUTES, categories: Sequence[str] = CATEGORIES
+) -> list[str]:
     """Reads, scores and writes static (and temporal) similarity; returns the names written."""
     warn_of_corrupt_files(spark, data_dir)
     conversations = of_round(read_conversations(spark, data_dir), round_number)
-    tables = lsm_tables(conversations, Dictionary.read(spark, dictionary_path), categories, minutes if temporal else None, dictionary_path.rsplit("/", 1)[-1])
+    tables = lsm_tables(
+        conversations, Dictionary.read(spark, dictionary_path), categories, minutes if temporal else None,
+        dictionary_path.rsplit("/", 1)[-1]
+    )
     ending = {1: "_1st", 2: "_2nd", None: ""}[round_number]
     return [k for k, v in tables.items() if save(v, results_dir, k + ending, order=("female_id", "male_id", "file_path"))]
 
 
-def run_rlsm(spark: SparkSession, data_dir: str, dictionary_path: str, results_dir: str, options: Options = Options(), categories: Sequence[str] = CATEGORIES) -> list[str]:
+def run_rlsm(
+    spark: SparkSession, data_dir: str, dictionary_path: str, results_dir: str, options: Options = Options(),
+    categories: Sequence[str] = CATEGORIES
+) -> list[str]:
     """Reads, scores and writes all tables of the directional measure; returns the names written."""
     warn_of_corrupt_files(spark, data_dir)
     tables = rlsm_tables(read_conversations(spark, data_dir), Dictionary.read(spark, dictionary_path), options, categories)

@@ -79,7 +79,9 @@ TURNS = """turns AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'as
 
 def sql_counts(categories=CATS) -> str:
     """turns, and counts(conv_id, turn, speaker, t0, category, total, n)."""
-    each = " UNION ALL ".join(f"SELECT conv_id, turn, speaker, t0, '{c}' AS category, len(toks) AS total, len(list_filter(toks, lambda x: regexp_full_match(x, '{sql_pattern(c)}'))) AS n FROM toks" for c in categories)
+    each = " UNION ALL ".join(
+        f"SELECT conv_id, turn, speaker, t0, '{c}' AS category, len(toks) AS total, len(list_filter(toks, lambda x: regexp_full_match(x, '{sql_pattern(c)}'))) AS n FROM toks" for c in categories
+    )
     return rf"""WITH {TURNS}, toks AS (SELECT *, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS toks FROM turns), counts AS ({each}),
   cats AS (SELECT unnest({list(categories)!r}) AS category)"""
 
@@ -96,7 +98,9 @@ def sql_wide(value: str, prefix: str, categories=CATS) -> str:
 # ---- tokens and rates ---------------------------------------------------------------------------
 
 
-@query(sql_counts() + " SELECT conv_id, turn, speaker, category, n, total, round(CASE WHEN total > 0 THEN n / total * 100 ELSE 0 END, 6) AS rate FROM counts")
+@query(
+    sql_counts() + " SELECT conv_id, turn, speaker, category, n, total, round(CASE WHEN total > 0 THEN n / total * 100 ELSE 0 END, 6) AS rate FROM counts"
+)
 def turn_rates(spark, sf_dir):
     return rounded(features.long_counts(counts(spark, sf_dir), ["conv_id", "turn", "speaker"], CATS))
 
@@ -105,7 +109,9 @@ _DOC_TOKENS = r"SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{
 _MATCHES = " UNION ALL ".join(f"SELECT word, '{c}' AS category FROM words WHERE regexp_full_match(word, '{sql_pattern(c)}')" for c in CATS)
 
 
-@query(f"WITH tok AS ({_DOC_TOKENS}), words AS (SELECT DISTINCT word FROM tok), m AS ({_MATCHES}) SELECT doc_id, category, count(*) AS n FROM tok JOIN m USING (word) GROUP BY ALL")
+@query(
+    f"WITH tok AS ({_DOC_TOKENS}), words AS (SELECT DISTINCT word FROM tok), m AS ({_MATCHES}) SELECT doc_id, category, count(*) AS n FROM tok JOIN m USING (word) GROUP BY ALL"
+)
 def token_category_counts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", features.tokens(F.col("text")).alias("tokens"))
     return features.token_counts(docs, ["doc_id"], SAMPLE, CATS)
@@ -120,7 +126,9 @@ def lemma_category_match(spark, sf_dir):
 _DOC_COUNTS = ", ".join(f"len(list_filter(toks, lambda x: regexp_full_match(x, '{sql_pattern(c)}'))) AS n_{c}" for c in CATS)
 
 
-@query(rf"SELECT doc_id, len(toks) AS total, {_DOC_COUNTS} FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS toks FROM documents)")
+@query(
+    rf"SELECT doc_id, len(toks) AS total, {_DOC_COUNTS} FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS toks FROM documents)"
+)
 def document_category_counts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return features.turn_counts(docs, SAMPLE, CATS).drop("text")
@@ -134,7 +142,11 @@ def _blank_tokeniser():
 _OWN = ", ".join(f"len(list_filter(toks, lambda x: regexp_full_match(x, '{sql_pattern(c)}'))) AS n_{c}" for c in CATS)
 
 
-@query(f"SELECT conv_id, category, sum(n)::BIGINT AS n FROM (UNPIVOT (SELECT conv_id, {_OWN} FROM (SELECT conv_id, list_transform(list_filter(string_split_regex(trim(text), '\\s+'), lambda x: trim(x, '.,!?') <> ''), lambda x: lower(trim(x, '.,!?'))) AS toks FROM conversations)) ON COLUMNS('n_.*') INTO NAME category VALUE n) WHERE n > 0 GROUP BY ALL".replace("SELECT conv_id, category,", "SELECT conv_id, substr(category, 3) AS category,"))
+@query(
+    f"SELECT conv_id, category, sum(n)::BIGINT AS n FROM (UNPIVOT (SELECT conv_id, {_OWN} FROM (SELECT conv_id, list_transform(list_filter(string_split_regex(trim(text), '\\s+'), lambda x: trim(x, '.,!?') <> ''), lambda x: lower(trim(x, '.,!?'))) AS toks FROM conversations)) ON COLUMNS('n_.*') INTO NAME category VALUE n) WHERE n > 0 GROUP BY ALL".replace(
+        "SELECT conv_id, category,", "SELECT conv_id, substr(category, 3) AS category,"
+    )
+)
 def own_tokeniser_counts(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     words = tokenise.words_of(tokenise.tokeniser(_blank_tokeniser)(F.col("text")))
@@ -148,13 +160,17 @@ def csv_conversations(spark, sf_dir):
     files, at = file_system_of(spark, folder)
     turns(spark, sf_dir).select("end", "speaker", "conv_id", "text", "start").write.csv(folder, header=True, escape='"', quoteAll=True)
     files.deleteOnExit(at)
-    return read_conversations(spark, folder, "conv_id long, speaker string, text string, start double, end double").select("conv_id", "speaker", "text", "start", "end")
+    return read_conversations(
+        spark, folder, "conv_id long, speaker string, text string, start double, end double"
+    ).select("conv_id", "speaker", "text", "start", "end")
 
 
 # ---- static similarity --------------------------------------------------------------------------
 
 
-@query(sql_counts() + f", {LSM} SELECT conv_id, max(t1)::BIGINT AS user_total_words, max(t2)::BIGINT AS assistant_total_words, round(avg(lsm), 6) AS lsm_mean, round(stddev_pop(lsm), 6) AS lsm_std, count(lsm) AS lsm_n_active_cats, {sql_wide('lsm', 'lsm')} FROM lsm GROUP BY conv_id")
+@query(
+    sql_counts() + f", {LSM} SELECT conv_id, max(t1)::BIGINT AS user_total_words, max(t2)::BIGINT AS assistant_total_words, round(avg(lsm), 6) AS lsm_mean, round(stddev_pop(lsm), 6) AS lsm_std, count(lsm) AS lsm_n_active_cats, {sql_wide('lsm', 'lsm')} FROM lsm GROUP BY conv_id"
+)
 def lsm_conversation(spark, sf_dir):
     out = similarity.conversation_similarity(counts(spark, sf_dir), SPEAKERS, CATS)
     return rounded(out.withColumnsRenamed({"total_1": "user_total_words", "total_2": "assistant_total_words"}))
@@ -169,18 +185,31 @@ def lsm_category(spark, sf_dir):
 _WINDOW_TEXTS = f"""WITH {TURNS}, rec AS (SELECT conv_id, CAST(floor(t0 / 60.0) AS BIGINT) AS window_index, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (speaker = 'user'), '') AS a,
  coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (speaker = 'assistant'), '') AS b FROM turns GROUP BY ALL),
  tok AS (SELECT conv_id, window_index, regexp_extract_all(lower(a), '[\\p{{L}}\\p{{N}}]+') AS ta, regexp_extract_all(lower(b), '[\\p{{L}}\\p{{N}}]+') AS tb FROM rec)""".replace("\\\\", "\\")
-_WINDOW_EACH = " UNION ALL ".join(f"SELECT conv_id, window_index, '{c}' AS category, len(ta) AS t1, len(tb) AS t2, len(list_filter(ta, lambda x: regexp_full_match(x, '{sql_pattern(c)}'))) AS n1, len(list_filter(tb, lambda x: regexp_full_match(x, '{sql_pattern(c)}'))) AS n2 FROM tok" for c in CATS)
+_WINDOW_EACH = " UNION ALL ".join(
+    f"SELECT conv_id, window_index, '{c}' AS category, len(ta) AS t1, len(tb) AS t2, len(list_filter(ta, lambda x: regexp_full_match(x, '{sql_pattern(c)}'))) AS n1, len(list_filter(tb, lambda x: regexp_full_match(x, '{sql_pattern(c)}'))) AS n2 FROM tok" for c in CATS
+)
 
 
-@query(f"{_WINDOW_TEXTS}, e AS ({_WINDOW_EACH}), s AS (SELECT *, CASE WHEN t1 > 0 AND t2 > 0 AND n1 + n2 > 0 THEN 1 - abs(n1 / t1 - n2 / t2) / (n1 / t1 + n2 / t2) END AS lsm FROM e) SELECT conv_id, window_index, max(t1)::BIGINT AS user_word_count, max(t2)::BIGINT AS assistant_word_count, count(lsm) AS n_scores, round(avg(lsm), 6) AS lsm_mean, {sql_wide('lsm', 'lsm')} FROM s GROUP BY conv_id, window_index")
+@query(
+    f"{_WINDOW_TEXTS}, e AS ({_WINDOW_EACH}), s AS (SELECT *, CASE WHEN t1 > 0 AND t2 > 0 AND n1 + n2 > 0 THEN 1 - abs(n1 / t1 - n2 / t2) / (n1 / t1 + n2 / t2) END AS lsm FROM e) SELECT conv_id, window_index, max(t1)::BIGINT AS user_word_count, max(t2)::BIGINT AS assistant_word_count, count(lsm) AS n_scores, round(avg(lsm), 6) AS lsm_mean, {sql_wide('lsm', 'lsm')} FROM s GROUP BY conv_id, window_index"
+)
 def lsm_window_records(spark, sf_dir):
     """Records of two texts for each minute of a conversation, scored as a map."""
     rows = turns(spark, sf_dir).withColumn("window_index", scoring.window_index(F.col("start"), 60))
-    said = [F.coalesce(text.joined(F.when(F.col("speaker") == s, F.col("text")), F.col("turn"), skip_null=True), F.lit("")).alias(f"{s}_text") for s in SPEAKERS]
+    said = [
+        F.coalesce(
+            text.joined(F.when(F.col("speaker") == s, F.col("text")), F.col("turn"), skip_null=True), F.lit("")
+        ).alias(f"{s}_text") for s in SPEAKERS
+    ]
     records = rows.groupBy("conv_id", "window_index").agg(*said)
     out = similarity.text_pair_similarity(records, SAMPLE, CATS, ("user_text", "assistant_text"))
     scores = [F.col("lsm_scores")[c].alias(f"lsm_{c}") for c in CATS]
-    return rounded(out.select("conv_id", "window_index", "user_word_count", "assistant_word_count", F.size("lsm_scores").cast("long").alias("n_scores"), "lsm_mean", *scores))
+    return rounded(
+        out.select(
+            "conv_id", "window_index", "user_word_count", "assistant_word_count",
+            F.size("lsm_scores").cast("long").alias("n_scores"), "lsm_mean", *scores
+        )
+    )
 
 
 _TEMPORAL = """placed AS (SELECT *, CAST(floor(t0 / {w}) AS BIGINT) AS window_index FROM counts),
@@ -191,13 +220,17 @@ _TEMPORAL = """placed AS (SELECT *, CAST(floor(t0 / {w}) AS BIGINT) AS window_in
  lsm AS (SELECT *, CASE WHEN t1 > 0 AND t2 > 0 AND n1 + n2 > 0 THEN 1 - abs(n1 / t1 - n2 / t2) / (n1 / t1 + n2 / t2) END AS lsm FROM sums)"""
 
 
-@query(sql_counts() + ", " + _TEMPORAL.format(w=60.0) + " SELECT conv_id, window_index, max(t1)::BIGINT AS total_1, max(t2)::BIGINT AS total_2, round(avg(lsm), 6) AS lsm_mean, round(window_index * 60.0::DOUBLE, 6) AS start_sec, round((window_index + 1) * 60.0::DOUBLE, 6) AS end_sec FROM lsm GROUP BY conv_id, window_index")
+@query(
+    sql_counts() + ", " + _TEMPORAL.format(w=60.0) + " SELECT conv_id, window_index, max(t1)::BIGINT AS total_1, max(t2)::BIGINT AS total_2, round(avg(lsm), 6) AS lsm_mean, round(window_index * 60.0::DOUBLE, 6) AS start_sec, round((window_index + 1) * 60.0::DOUBLE, 6) AS end_sec FROM lsm GROUP BY conv_id, window_index"
+)
 def lsm_temporal_dense(spark, sf_dir):
     out = similarity.temporal_similarity(counts(spark, sf_dir), SPEAKERS, CATS, WINDOW_MINUTES)
     return rounded(out.select("conv_id", "window_index", "total_1", "total_2", "lsm_mean", "start_sec", "end_sec"))
 
 
-@query(f"WITH {TURNS} SELECT conv_id, CAST(floor(t0 / 60.0) AS BIGINT) AS window_index, CAST(floor(t0 / 60.0) * 60.0 AS DOUBLE) AS start_sec, CAST((floor(t0 / 60.0) + 1) * 60.0 AS DOUBLE) AS end_sec, count(*) AS n_turns FROM turns GROUP BY ALL")
+@query(
+    f"WITH {TURNS} SELECT conv_id, CAST(floor(t0 / 60.0) AS BIGINT) AS window_index, CAST(floor(t0 / 60.0) * 60.0 AS DOUBLE) AS start_sec, CAST((floor(t0 / 60.0) + 1) * 60.0 AS DOUBLE) AS end_sec, count(*) AS n_turns FROM turns GROUP BY ALL"
+)
 def lsm_temporal_sparse(spark, sf_dir):
     return similarity.sparse_windows(turns(spark, sf_dir), WINDOW_MINUTES)
 
@@ -206,11 +239,16 @@ _EVENTS = f"""WITH counts AS (SELECT user_id // 2 AS conv_id, (epoch_us(ts) - 17
   c.category, 1 AS total, CASE WHEN event_type = c.category THEN 1 ELSE 0 END AS n FROM events CROSS JOIN (SELECT unnest({list(EVENT_TYPES)!r}) AS category) c), cats AS (SELECT unnest({list(EVENT_TYPES)!r}) AS category)"""
 
 
-@query(_EVENTS + ", " + _TEMPORAL.format(w=EVENT_MINUTES * 60) + f" SELECT conv_id, window_index, max(t1)::BIGINT AS total_1, max(t2)::BIGINT AS total_2, round(avg(lsm), 6) AS lsm_mean, round(stddev_pop(lsm), 6) AS lsm_std, count(lsm) AS lsm_n_active_cats, {sql_wide('lsm', 'lsm', EVENT_TYPES)} FROM lsm GROUP BY conv_id, window_index")
+@query(
+    _EVENTS + ", " + _TEMPORAL.format(w=EVENT_MINUTES * 60) + f" SELECT conv_id, window_index, max(t1)::BIGINT AS total_1, max(t2)::BIGINT AS total_2, round(avg(lsm), 6) AS lsm_mean, round(stddev_pop(lsm), 6) AS lsm_std, count(lsm) AS lsm_n_active_cats, {sql_wide('lsm', 'lsm', EVENT_TYPES)} FROM lsm GROUP BY conv_id, window_index"
+)
 def lsm_events_window(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     time = (F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 1000000.0
-    rows = similarity.label_events(events, time, "event_type", F.when(F.col("user_id") % 2 == 0, "user").otherwise("assistant"), EVENT_TYPES, {"conv_id": F.expr("user_id div 2")})
+    rows = similarity.label_events(
+        events, time, "event_type", F.when(F.col("user_id") % 2 == 0, "user").otherwise("assistant"), EVENT_TYPES,
+        {"conv_id": F.expr("user_id div 2")}
+    )
     return rounded(similarity.temporal_similarity(rows, SPEAKERS, EVENT_TYPES, EVENT_MINUTES).drop("start_sec", "end_sec"))
 
 
@@ -255,12 +293,16 @@ def _dyads(spark, sf_dir, policy, categories=CATS):
     return responsiveness.dyads(c, responsiveness.individuals(pairs_of(c, categories), categories), categories, policy)
 
 
-@query(sql_counts() + f", {sql_pairs()} SELECT conv_id, category, round(bilateral, 6) AS dyad FROM convs CROSS JOIN cats LEFT JOIN dyad USING (conv_id, category)")
+@query(
+    sql_counts() + f", {sql_pairs()} SELECT conv_id, category, round(bilateral, 6) AS dyad FROM convs CROSS JOIN cats LEFT JOIN dyad USING (conv_id, category)"
+)
 def rlsm_dyad_bilateral(spark, sf_dir):
     return rounded(similarity.as_long(_dyads(spark, sf_dir, "bilateral_only"), ["conv_id"], CATS, "dyad", "dyad"))
 
 
-@query(sql_counts() + f", {sql_pairs()} SELECT conv_id, category, round(either, 6) AS dyad FROM convs CROSS JOIN cats LEFT JOIN dyad USING (conv_id, category)")
+@query(
+    sql_counts() + f", {sql_pairs()} SELECT conv_id, category, round(either, 6) AS dyad FROM convs CROSS JOIN cats LEFT JOIN dyad USING (conv_id, category)"
+)
 def rlsm_dyad_nanmean(spark, sf_dir):
     return rounded(similarity.as_long(_dyads(spark, sf_dir, "nanmean"), ["conv_id"], CATS, "dyad", "dyad"))
 
@@ -282,11 +324,17 @@ def _sql_summary() -> str:
     agg, src = [], []
     for c in CATS:
         src += [f"max(CASE WHEN category = '{c}' THEN {x} END) AS {x}_{c}" for x in counts_]
-        out += [f"coalesce({x}_{c}, 0) AS rlsm_{c}_{x}" for x in counts_] + [f"round(pairs_valid_{c} / pairs_total_{c}, 6) AS rlsm_{c}_coverage_ratio"]
+        out += [f"coalesce({x}_{c}, 0) AS rlsm_{c}_{x}" for x in counts_] + [
+            f"round(pairs_valid_{c} / pairs_total_{c}, 6) AS rlsm_{c}_coverage_ratio"
+        ]
         for who in ("user", "assistant", "dyad"):
             agg.append(f"max(CASE WHEN category = '{c}' THEN {who[0]} END) AS {who}_{c}")
             need = f"coalesce(pairs_valid_{c}, 0) = 0 OR {who}_{c} IS NULL"
-            out += [f"round({who}_{c}, 6) AS {who}_rlsm_{c}", f"round(CASE WHEN {need} THEN 0.5 ELSE {who}_{c} END, 6)::DOUBLE AS {who}_rlsm_{c}_imputed", f"({need})::INT AS {who}_rlsm_{c}_was_imputed"]
+            out += [
+                f"round({who}_{c}, 6) AS {who}_rlsm_{c}",
+                f"round(CASE WHEN {need} THEN 0.5 ELSE {who}_{c} END, 6)::DOUBLE AS {who}_rlsm_{c}_imputed",
+                f"({need})::INT AS {who}_rlsm_{c}_was_imputed"
+            ]
     for name, of in (("user_overall_rlsm", "uo"), ("assistant_overall_rlsm", "ao"), ("dyad_final_rlsm", "do_")):
         out += [f"round({of}, 6) AS {name}", f"round(coalesce({of}, 0.5), 6)::DOUBLE AS {name}_imputed", f"({of} IS NULL)::INT AS {name}_was_imputed"]
     return f""", {sql_pairs()},
@@ -304,7 +352,9 @@ def rlsm_summary_imputed(spark, sf_dir):
     return rounded(responsiveness.summary(c, pairs_of(c), SPEAKERS, CATS))
 
 
-@query(sql_counts(MICRO_CATEGORIES) + f", {sql_pairs()} SELECT conv_id, category, round(bilateral, 6) AS dyad FROM convs CROSS JOIN cats LEFT JOIN dyad USING (conv_id, category)")
+@query(
+    sql_counts(MICRO_CATEGORIES) + f", {sql_pairs()} SELECT conv_id, category, round(bilateral, 6) AS dyad FROM convs CROSS JOIN cats LEFT JOIN dyad USING (conv_id, category)"
+)
 def rlsm_micro(spark, sf_dir):
     return rounded(similarity.as_long(_dyads(spark, sf_dir, "bilateral_only", MICRO_CATEGORIES), ["conv_id"], MICRO_CATEGORIES, "dyad", "dyad"))
 
@@ -351,21 +401,35 @@ def _rates_long(rates: DataFrame) -> DataFrame:
     return rounded(similarity.as_long(rates, ["conv_id", "turn", "speaker", "win_size", "win_total"], CATS, "rate", "rate"))
 
 
-@query(sql_counts() + f", {sql_rolling()} SELECT conv_id, turn, speaker, size AS win_size, total AS win_total, category, round(rate, 6) AS rate FROM rates")
+@query(
+    sql_counts() + f", {sql_rolling()} SELECT conv_id, turn, speaker, size AS win_size, total AS win_total, category, round(rate, 6) AS rate FROM rates"
+)
 def rw_turns_include(spark, sf_dir):
     return _rates_long(_rolling(spark, sf_dir))
 
 
-@query(sql_counts() + f", {sql_rolling(False)} SELECT conv_id, turn, speaker, size AS win_size, total AS win_total, category, round(rate, 6) AS rate FROM rates")
+@query(
+    sql_counts() + f", {sql_rolling(False)} SELECT conv_id, turn, speaker, size AS win_size, total AS win_total, category, round(rate, 6) AS rate FROM rates"
+)
 def rw_turns_exclude(spark, sf_dir):
     return _rates_long(_rolling(spark, sf_dir, False))
 
 
-@query(sql_counts() + f", {sql_rolling(min_tokens=60)} SELECT conv_id, pair_index, leader, responder, category, psz AS leader_window_size, size AS responder_window_size, pt AS leader_window_total_words, total AS responder_window_total_words, round(rlsm, 6) AS rw_rlsm FROM pairs")
+@query(
+    sql_counts() + f", {sql_rolling(min_tokens=60)} SELECT conv_id, pair_index, leader, responder, category, psz AS leader_window_size, size AS responder_window_size, pt AS leader_window_total_words, total AS responder_window_total_words, round(rlsm, 6) AS rw_rlsm FROM pairs"
+)
 def rw_pairs_min_tokens(spark, sf_dir):
     pairs = rolling.rolling_pairs(_rolling(spark, sf_dir), CATS, min_tokens=60)
-    pairs = pairs.withColumnsRenamed({"lead_win_size": "leader_window_size", "resp_win_size": "responder_window_size", "lead_win_total": "leader_window_total_words", "resp_win_total": "responder_window_total_words"})
-    keys = ["conv_id", F.col("pair_number").alias("pair_index"), "leader", "responder", "leader_window_size", "responder_window_size", "leader_window_total_words", "responder_window_total_words"]
+    pairs = pairs.withColumnsRenamed(
+        {
+            "lead_win_size": "leader_window_size", "resp_win_size": "responder_window_size",
+            "lead_win_total": "leader_window_total_words", "resp_win_total": "responder_window_total_words"
+        }
+    )
+    keys = [
+        "conv_id", F.col("pair_number").alias("pair_index"), "leader", "responder", "leader_window_size", "responder_window_size",
+        "leader_window_total_words", "responder_window_total_words"
+    ]
     return rounded(similarity.as_long(pairs, keys, CATS, "rlsm", "rw_rlsm"))
 
 
@@ -380,7 +444,9 @@ def rw_individual(spark, sf_dir):
     return _rw_levels(spark, sf_dir, "individual")
 
 
-@query(sql_counts() + f", {sql_rolling()} SELECT conv_id, category, round(either, 6) AS rw_dyad_rlsm, 'nanmean' AS na_policy FROM convs CROSS JOIN cats LEFT JOIN dyad USING (conv_id, category)")
+@query(
+    sql_counts() + f", {sql_rolling()} SELECT conv_id, category, round(either, 6) AS rw_dyad_rlsm, 'nanmean' AS na_policy FROM convs CROSS JOIN cats LEFT JOIN dyad USING (conv_id, category)"
+)
 def rw_dyad(spark, sf_dir):
     return _rw_levels(spark, sf_dir, "dyad")
 
@@ -389,7 +455,9 @@ def _rw_final(spark, sf_dir, least=3):
     c = dealt(spark, sf_dir)
     pairs = rolling.rolling_pairs(rolling.rolling_rates(rolling.long_turns(c, least), CATS), CATS)
     out = responsiveness.dyads(c, responsiveness.individuals(pairs, CATS), CATS).select("conv_id", F.col("dyad_final").alias("rw_dyad_final_rlsm"))
-    return rounded(out.join(rolling.scored_pairs(pairs, CATS), "conv_id", "left").withColumn("n_pair_turns", F.coalesce("n_pair_turns", F.lit(0).cast("long"))))
+    return rounded(
+        out.join(rolling.scored_pairs(pairs, CATS), "conv_id", "left").withColumn("n_pair_turns", F.coalesce("n_pair_turns", F.lit(0).cast("long")))
+    )
 
 
 _RW_FINAL = """ SELECT conv_id, round(f, 6) AS rw_dyad_final_rlsm, coalesce(k, 0) AS n_pair_turns FROM convs LEFT JOIN (SELECT conv_id, avg(bilateral) AS f FROM dyad GROUP BY conv_id) USING (conv_id)
@@ -417,7 +485,10 @@ _SPELT = "CASE conv_id % 7 WHEN 0 THEN 'F' WHEN 1 THEN ' female ' WHEN 2 THEN 'W
 def speaker_normalise(spark, sf_dir):
     raw = F.expr(_SPELT)
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return rows.select("conv_id", "turn", names.speaker(raw).alias("speaker"), names.speaker(raw, wide=False).alias("plain"), names.speaker_strict(raw).alias("strict"))
+    return rows.select(
+        "conv_id", "turn", names.speaker(raw).alias("speaker"), names.speaker(raw, wide=False).alias("plain"),
+        names.speaker_strict(raw).alias("strict")
+    )
 
 
 _NAME = "printf({}, conv_id % 90, conv_id % 3 + 1, conv_id % 400, conv_id % 301)"
@@ -504,7 +575,12 @@ def preferences_normalise(spark, sf_dir):
     from parley.sources.transcripts import normal_preferences
 
     rows = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return normal_preferences(rows.select(F.concat(F.lit("F"), "doc_id").alias("女性ID"), (F.col("doc_id") + 1).cast("string").alias("男性ID"), F.expr(_WANT_F).alias("女性の交換意欲"), F.expr(_WANT_M).alias("男性の交換意欲")))
+    return normal_preferences(
+        rows.select(
+            F.concat(F.lit("F"), "doc_id").alias("女性ID"), (F.col("doc_id") + 1).cast("string").alias("男性ID"),
+            F.expr(_WANT_F).alias("女性の交換意欲"), F.expr(_WANT_M).alias("男性の交換意欲")
+        )
+    )
 
 
 # ---- study tables -------------------------------------------------------------------------------
@@ -512,7 +588,11 @@ def preferences_normalise(spark, sf_dir):
 
 def _round_results(spark, sf_dir):
     out = similarity.conversation_similarity(counts(spark, sf_dir), SPEAKERS, CATS)
-    return out.select(F.col("conv_id").alias("female_id"), (F.col("conv_id") + 1).alias("male_id"), F.col("total_1").alias("female_total_words"), F.col("total_2").alias("male_total_words"), "lsm_mean", *(f"lsm_{c}" for c in CATS))
+    return out.select(
+        F.col("conv_id").alias("female_id"), (F.col("conv_id") + 1).alias("male_id"),
+        F.col("total_1").alias("female_total_words"), F.col("total_2").alias("male_total_words"), "lsm_mean",
+        *(f"lsm_{c}" for c in CATS)
+    )
 
 
 _LONG = sql_counts() + f""", {LSM}, one AS (SELECT conv_id AS female_id, conv_id + 1 AS male_id, max(t1)::BIGINT AS lsm_female_total_words, max(t2)::BIGINT AS lsm_male_total_words, round(avg(lsm), 6) AS lsm_mean, count(lsm) AS lsm_n_active_cats, {sql_wide('lsm', 'lsm')} FROM lsm GROUP BY conv_id),
@@ -552,11 +632,15 @@ def _sql_rolling_results() -> str:
         ctes.append(f"""r{k} AS (SELECT conv_id, turn, speaker, category, coalesce(sum(n) OVER w, 0)::BIGINT AS n, coalesce(sum(total) OVER w, 0)::BIGINT AS total FROM counts WHERE total >= 3 WINDOW w AS (PARTITION BY conv_id, speaker, category ORDER BY turn {frame})),
  q{k} AS (SELECT *, lag(speaker) OVER w AS ps, lag(n) OVER w AS pn, lag(total) OVER w AS pt FROM r{k} WINDOW w AS (PARTITION BY conv_id, category ORDER BY turn)),
  s{k} AS (SELECT conv_id, count(DISTINCT turn) FILTER (pn > 0 AND pt >= {tokens} AND total >= {tokens}) AS n_pair_turns FROM q{k} WHERE ps <> speaker GROUP BY conv_id)""")
-        parts.append(f"SELECT conv_id AS female_id, conv_id + 1 AS male_id, 1 AS round_num, n_pair_turns, {window} AS window_size_param, '{str(include).lower()}' AS include_current, {tokens} AS min_window_tokens, 'bilateral_only' AS na_policy FROM s{k}")
+        parts.append(
+            f"SELECT conv_id AS female_id, conv_id + 1 AS male_id, 1 AS round_num, n_pair_turns, {window} AS window_size_param, '{str(include).lower()}' AS include_current, {tokens} AS min_window_tokens, 'bilateral_only' AS na_policy FROM s{k}"
+        )
     return sql_counts() + ", " + ", ".join(ctes) + f", rw AS ({' UNION ALL '.join(parts)})"
 
 
-@query(_sql_rolling_results() + " SELECT window_size_param, include_current, min_window_tokens, na_policy, count(*) AS \"count\" FROM rw GROUP BY ALL ORDER BY count(*) DESC, 1, 2, 3, 4 LIMIT 1")
+@query(
+    _sql_rolling_results() + " SELECT window_size_param, include_current, min_window_tokens, na_policy, count(*) AS \"count\" FROM rw GROUP BY ALL ORDER BY count(*) DESC, 1, 2, 3, 4 LIMIT 1"
+)
 def rw_param_mode(spark, sf_dir):
     return merge.frequent_parameters(_rolling_results(spark, sf_dir))
 
@@ -578,7 +662,10 @@ def rw_dedup_without_windows(spark, sf_dir):
     """Rows whose window is unknown come after all others."""
     rows = _rolling_results(spark, sf_dir)
     tokens = F.when(F.col("window_size_param") == 4, 1).otherwise(F.col("min_window_tokens"))
-    return merge.representatives(rows.withColumns({"window_size_param": F.expr(_NO_WINDOW), "min_window_tokens": tokens}), ["female_id", "male_id", "round_num"])
+    return merge.representatives(
+        rows.withColumns({"window_size_param": F.expr(_NO_WINDOW), "min_window_tokens": tokens}),
+        ["female_id", "male_id", "round_num"]
+    )
 
 
 @query(_sql_rolling_results() + f""", mode AS (SELECT window_size_param, include_current, min_window_tokens, na_policy, count(*) AS k FROM rw GROUP BY ALL ORDER BY k DESC, 1, 2, 3, 4 LIMIT 1),
@@ -586,9 +673,14 @@ def rw_dedup_without_windows(spark, sf_dir):
  SELECT printf('F%03d_M%03d', c.conv_id, c.conv_id + 1) AS dyad_id, c.conv_id AS female_id, c.conv_id + 1 AS male_id, 1 AS round_num, round(f, 6) AS dyad_final_rlsm, picked.n_pair_turns AS rw_n_pair_turns, picked.window_size_param AS rw_window_size_param, picked.include_current AS rw_include_current, picked.min_window_tokens AS rw_min_window_tokens, picked.na_policy AS rw_na_policy
  FROM convs c LEFT JOIN (SELECT conv_id, avg(bilateral) AS f FROM dyad GROUP BY conv_id) d ON d.conv_id = c.conv_id LEFT JOIN picked ON picked.female_id = c.conv_id""")
 def rlsm_rw_merge(spark, sf_dir):
-    static = _dyads(spark, sf_dir, "bilateral_only").select(F.col("conv_id").alias("female_id"), (F.col("conv_id") + 1).alias("male_id"), F.lit(1).alias("round_num"), F.col("dyad_final").alias("dyad_final_rlsm"))
+    static = _dyads(spark, sf_dir, "bilateral_only").select(
+        F.col("conv_id").alias("female_id"), (F.col("conv_id") + 1).alias("male_id"), F.lit(1).alias("round_num"),
+        F.col("dyad_final").alias("dyad_final_rlsm")
+    )
     out = merge.static_with_rolling(static, _rolling_results(spark, sf_dir))
-    return rounded(out.select("dyad_id", "female_id", "male_id", "round_num", "dyad_final_rlsm", *(f"rw_{c}" for c in ("n_pair_turns", *merge.PARAMETERS))))
+    return rounded(
+        out.select("dyad_id", "female_id", "male_id", "round_num", "dyad_final_rlsm", *(f"rw_{c}" for c in ("n_pair_turns", *merge.PARAMETERS)))
+    )
 
 
 # ---- studies from files to result tables ---------------------------------------------------------
@@ -600,7 +692,9 @@ def _study(spark, sf_dir) -> str:
     files, at = file_system_of(spark, folder)
     files.deleteOnExit(at)
     speaker = F.when(F.col("speaker") == "user", "Woman").otherwise("man").alias("speaker")
-    rows = turns(spark, sf_dir).select("conv_id", "turn", speaker, "text", "start", "end").repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    rows = turns(spark, sf_dir).select(
+        "conv_id", "turn", speaker, "text", "start", "end"
+    ).repartition("conv_id").sortWithinPartitions("conv_id", "turn")
     rows.drop("turn").write.partitionBy("conv_id").csv(f"{folder}/data", header=True, escape='"', quoteAll=True)
     ids = {c: k for k, c in enumerate(SAMPLE.labels, 1)}
     lines = ["%", *(f"{k} {c}" for c, k in ids.items()), "%", *(" ".join([p, *(str(ids[c]) for c in cs)]) for p, cs in SAMPLE.entries)]
@@ -613,12 +707,16 @@ def _study_results(spark, folder: str, name: str) -> DataFrame:
     return rows.withColumn("conv_id", F.regexp_extract("file_path", r"conv_id=(\d+)/", 1).cast("long"))
 
 
-@query(sql_counts() + f", {LSM} SELECT conv_id, max(t1)::BIGINT AS female_total_words, max(t2)::BIGINT AS male_total_words, round(avg(lsm), 6) AS lsm_mean, true AS has_timestamps FROM lsm GROUP BY conv_id HAVING max(t1) > 0 OR max(t2) > 0")
+@query(
+    sql_counts() + f", {LSM} SELECT conv_id, max(t1)::BIGINT AS female_total_words, max(t2)::BIGINT AS male_total_words, round(avg(lsm), 6) AS lsm_mean, true AS has_timestamps FROM lsm GROUP BY conv_id HAVING max(t1) > 0 OR max(t2) > 0"
+)
 def study_lsm(spark, sf_dir):
     """A whole study of static similarity: files in, result tables out."""
     folder = _study(spark, sf_dir)
     run_lsm(spark, f"{folder}/data/*", f"{folder}/sample.dic", f"{folder}/results")
-    return rounded(_study_results(spark, folder, "lsm_results").select("conv_id", "female_total_words", "male_total_words", "lsm_mean", "has_timestamps"))
+    return rounded(
+        _study_results(spark, folder, "lsm_results").select("conv_id", "female_total_words", "male_total_words", "lsm_mean", "has_timestamps")
+    )
 
 
 @query(sql_counts() + f""", {sql_pairs()}, fin AS (SELECT conv_id, avg(bilateral) AS f FROM dyad GROUP BY conv_id),

@@ -28,8 +28,14 @@ def _file_rows(spark: SparkSession, data_dir: str) -> DataFrame:
     """
     width = header_columns(spark, data_dir) + 1  # one more shows rows that are longer than every header
     cells = ", ".join(f"c{k} string" for k in range(width))
-    rows = spark.read.schema(cells).csv(data_dir, pathGlobFilter="*.csv", multiLine=True, lineSep="\n", escape='"', mode="PERMISSIVE", maxColumns=max(20480, width + 1))
-    rows = rows.select(F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("at"), F.array(*(F.rtrim(F.col(f"c{k}"), F.lit("\r")) for k in range(width))).alias("v"))
+    rows = spark.read.schema(cells).csv(
+        data_dir, pathGlobFilter="*.csv", multiLine=True, lineSep="\n", escape='"', mode="PERMISSIVE",
+        maxColumns=max(20480, width + 1)
+    )
+    rows = rows.select(
+        F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("at"),
+        F.array(*(F.rtrim(F.col(f"c{k}"), F.lit("\r")) for k in range(width))).alias("v")
+    )
     order, whole = Window.partitionBy("file_path").orderBy("at"), Window.partitionBy("file_path")
     rows = rows.withColumns({"header": F.first("v").over(order), "turn": (F.row_number().over(order) - 2).cast("long")})
     used = lambda v: F.coalesce(F.array_max(F.transform(v, lambda x, i: F.when(x.isNotNull(), i + 1))), F.lit(0))
@@ -84,7 +90,10 @@ def normal_preferences(raw: DataFrame) -> DataFrame:
     named = raw.withColumnsRenamed({k: v for k, v in PREFERENCE_NAMES.items() if k in raw.columns})
     if missing := [c for c in PREFERENCE_NAMES.values() if c not in named.columns]:
         raise KeyError(f"columns missing: {missing}")
-    return named.select(*(number_of_id(F.col(c)).alias(c) for c in ("female_id", "male_id")), *(flag(F.col(c)).alias(c) for c in ("want_female", "want_male")))
+    return named.select(
+        *(number_of_id(F.col(c)).alias(c) for c in ("female_id", "male_id")),
+        *(flag(F.col(c)).alias(c) for c in ("want_female", "want_male"))
+    )
 
 
 def read_preferences(spark: SparkSession, path: str | None) -> DataFrame:

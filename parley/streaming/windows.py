@@ -12,7 +12,10 @@ from parley.operators.features import count_name, turn_counts
 from parley.operators.similarity import scores
 
 
-def streamed_similarity(turns: DataFrame, dictionary: Dictionary, speakers: tuple[str, str], categories: Sequence[str], width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+def streamed_similarity(
+    turns: DataFrame, dictionary: Dictionary, speakers: tuple[str, str], categories: Sequence[str], width: str = "5 minutes",
+    late: str = "10 minutes"
+) -> DataFrame:
     """turns (conv_id, ts, speaker, text), streaming or not -> scores by conversation and window.
 
     A window is final, and its state dropped, once the watermark passes its end; state is a handful of

@@ -17,21 +17,29 @@ def rates(spark, rows, cats):
 
 def counts(spark, rows, cats=("c1",)):
     """rows: (turn, speaker, total, n, ...)"""
-    return spark.createDataFrame([(1, *r) for r in rows], "conv_id long, turn long, speaker string, total long, " + ", ".join(f"n_{c} long" for c in cats))
+    return spark.createDataFrame(
+        [(1, *r) for r in rows], "conv_id long, turn long, speaker string, total long, " + ", ".join(f"n_{c} long" for c in cats)
+    )
 
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()[0]
 
 
-@pytest.mark.parametrize(("a", "b", "want"), [((10, 100), (20, 200), 1.0), ((0, 100), (10, 100), 0.0), ((4, 100), (6, 100), 0.8), ((0, 100), (0, 200), None), ((3, 0), (1, 10), None)])
+@pytest.mark.parametrize(
+    ("a", "b", "want"),
+    [((10, 100), (20, 200), 1.0), ((0, 100), (10, 100), 0.0), ((4, 100), (6, 100), 0.8), ((0, 100), (0, 200), None), ((3, 0), (1, 10), None)]
+)
 def test_static_similarity(spark, a, b, want):
     for x, y in ((a, b), (b, a)):
         got = one(spark, similarity(F.lit(x[0]), F.lit(x[1]), F.lit(y[0]), F.lit(y[1])))
         assert got == (pytest.approx(want) if want is not None else None)
 
 
-@pytest.mark.parametrize(("a", "b", "want"), [(0.0, 0.0, None), (0.0, 5.0, None), (10.0, 0.0, 1 - 10 / 10.0001), (3.0, 3.0, 1.0), (None, 3.0, None), (3.0, None, 1 - 3 / 3.0001)])
+@pytest.mark.parametrize(
+    ("a", "b", "want"),
+    [(0.0, 0.0, None), (0.0, 5.0, None), (10.0, 0.0, 1 - 10 / 10.0001), (3.0, 3.0, 1.0), (None, 3.0, None), (3.0, None, 1 - 3 / 3.0001)]
+)
 def test_one_exchange(spark, a, b, want):
     got = one(spark, responsiveness(F.lit(a).cast("double"), F.lit(b).cast("double")))
     assert got == (pytest.approx(want, abs=1e-6) if want is not None else None)
@@ -149,7 +157,10 @@ def test_dictionary(spark):
     got = {}
     for r in features.match_tokens(spark.createDataFrame([(w,) for w in words], "word string"), d, ["ppron", "ipron"]).collect():
         got.setdefault(r.word, set()).add(r.category)
-    assert got == {"私": {"ppron"}, "私たち": {"ppron"}, "自分": {"ppron"}, "何か": {"ipron"}, "both": {"ppron", "ipron"}, "weekend": {"ipron"}, "midxdle": {"ppron"}, "a.b": {"ipron"}, "x%y": {"ppron"}}
+    assert got == {
+        "私": {"ppron"}, "私たち": {"ppron"}, "自分": {"ppron"}, "何か": {"ipron"}, "both": {"ppron", "ipron"}, "weekend": {"ipron"},
+        "midxdle": {"ppron"}, "a.b": {"ipron"}, "x%y": {"ppron"}
+    }
     with pytest.raises(RuntimeError):
         d.only(["absent"])
 
@@ -174,7 +185,9 @@ def test_any_number_of_patterns_and_any_characters(spark):
     r = random.Random(3)
     odd = ["", "*", "a*", "*b", "a*b", "a*c*b", "**", "x.y", "x.*y", "[z]", "[*]", "a$", "^*", "d'", "*'*", "i|j", "\\*", "é*", "*ß"]
     d = Dictionary.of({"ppron": odd + [f"w{k}" for k in range(15_000)], "ipron": [f"{r.choice('abc')}*{k}" for k in range(9_000)]})
-    tokens = ["".join(r.choice("abcxyzé.$^['|\\]ij0123") for _ in range(r.randrange(1, 7))) for _ in range(80)] + ["w77", "w99999", "b12", "", "\\", "aß", None]
+    tokens = [
+        "".join(r.choice("abcxyzé.$^['|\\]ij0123") for _ in range(r.randrange(1, 7))) for _ in range(80)
+    ] + ["w77", "w99999", "b12", "", "\\", "aß", None]
     plain = {c: [re.compile(".*".join(map(re.escape, p.split("*"))), re.S) for p, cs in d.entries if c in cs] for c in ("ppron", "ipron")}
     want = {c: sum(any(p.fullmatch(t) for p in ps) for t in tokens if t is not None) for c, ps in plain.items()}
     df = spark.createDataFrame([(1, tokens)], "doc_id int, tokens array<string>")
@@ -184,7 +197,10 @@ def test_any_number_of_patterns_and_any_characters(spark):
     assert got == want == {x.category: x["count"] for x in joined}
 
 
-@pytest.mark.parametrize(("raw", "want"), [("[え] それで", "え それで"), ("[笑] はい", "はい"), ("今日は[たぶん]大丈夫", "今日はたぶん大丈夫"), ("[] 空のかっこ", "空のかっこ"), ("a　 b［ LAUGH ］", "a b"), (None, None)])
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [("[え] それで", "え それで"), ("[笑] はい", "はい"), ("今日は[たぶん]大丈夫", "今日はたぶん大丈夫"), ("[] 空のかっこ", "空のかっこ"), ("a　 b［ LAUGH ］", "a b"), (None, None)]
+)
 def test_brackets(spark, raw, want):
     from parley.functions.text import without_brackets
 
@@ -192,7 +208,9 @@ def test_brackets(spark, raw, want):
 
 
 def segments(spark, rows):
-    return spark.createDataFrame([(1, k, *r) for k, r in enumerate(rows)], "conv_id long, turn long, speaker string, start double, end double, text string")
+    return spark.createDataFrame(
+        [(1, k, *r) for k, r in enumerate(rows)], "conv_id long, turn long, speaker string, start double, end double, text string"
+    )
 
 
 def owners(spark, rows, gap=0.0):
@@ -228,7 +246,9 @@ def test_own_tokeniser(spark):
     from parley.operators.tokenise import tokeniser, words_of
 
     def factory():
-        return lambda text: [{"text": w, "lemma": w.rstrip("s") if w != "is" else "", "pos": "SYM" if w == "+" else "X", "is_punct": w == "."} for w in text.split()]
+        return lambda text: [
+            {"text": w, "lemma": w.rstrip("s") if w != "is" else "", "pos": "SYM" if w == "+" else "X", "is_punct": w == "."} for w in text.split()
+        ]
 
     df = spark.createDataFrame([(1, "Dogs is . + cats"), (2, None)], "conv_id long, text string")
     df = df.withColumn("tokens", words_of(tokeniser(factory)(F.col("text"))))

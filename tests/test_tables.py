@@ -42,7 +42,10 @@ def test_names(spark):
 
 
 def test_rounds_long_and_repeated_keys(spark):
-    one = spark.createDataFrame([("F001", "M002", 10, 30, 0.5)], "female_id string, male_id string, female_total_words long, male_total_words long, lsm_ppron double")
+    one = spark.createDataFrame(
+        [("F001", "M002", 10, 30, 0.5)],
+        "female_id string, male_id string, female_total_words long, male_total_words long, lsm_ppron double"
+    )
     out = merge.rounds_long(one, one, CATEGORIES).orderBy("round_num").collect()
     assert [(r.dyad_id, r.round_num, r.lsm_f_talk_ratio, r.lsm_n_active_cats) for r in out] == [("F001_M002", 1, 0.25, 1), ("F001_M002", 2, 0.25, 1)]
     with pytest.raises(ValueError):
@@ -52,7 +55,10 @@ def test_rounds_long_and_repeated_keys(spark):
 def test_static_with_rolling(spark):
     static = spark.createDataFrame([(1, 2, 1, 0.5), (3, None, 1, 0.7)], "female_id long, male_id long, round_num int, dyad_final_rlsm double")
     rw = spark.createDataFrame(
-        [(1, 2, 1, 5, 8, "True", 0, "nanmean"), (1, 2, 1, 9, 4, "True", 0, "nanmean"), (3, None, 1, 2, 8, "True", 0, "nanmean"), (3, None, 1, 2, 4, "0", 0, "nanmean")],
+        [
+            (1, 2, 1, 5, 8, "True", 0, "nanmean"), (1, 2, 1, 9, 4, "True", 0, "nanmean"),
+            (3, None, 1, 2, 8, "True", 0, "nanmean"), (3, None, 1, 2, 4, "0", 0, "nanmean")
+        ],
         "female_id long, male_id long, round_num int, n_pair_turns int, window_size_param int, include_current string, min_window_tokens int, na_policy string",
     )
     got = {r.female_id: r for r in merge.static_with_rolling(static, rw).collect()}
@@ -95,7 +101,9 @@ def test_reading_conversations(spark, tmp_path):
 def test_wide_and_corrupt_files(spark, tmp_path):
     write_conversations(tmp_path)
     wide = [f"x{k}" for k in range(90)]
-    (tmp_path / "03_1_1_A_F003_M003_concat.csv").write_text(",".join([*wide, "text", "speaker"]) + "\n" + ",".join([*map(str, range(90)), "far right", "female"]) + "\n")
+    (tmp_path / "03_1_1_A_F003_M003_concat.csv").write_text(
+        ",".join([*wide, "text", "speaker"]) + "\n" + ",".join([*map(str, range(90)), "far right", "female"]) + "\n"
+    )
     (tmp_path / "04_1_1_A_F004_M004_concat.csv").write_text("speaker,text\nfemale,fine\nmale,one,cell,too,many\n")
     (tmp_path / "05_1_1_A_F005_M005_concat.csv").write_bytes(b"speaker,text\nfemale,caf\xe9\n")
     (tmp_path / "06_1_1_A_F006_M006_concat.csv").write_text("")
@@ -112,7 +120,9 @@ def test_an_empty_table_is_not_written(spark, tmp_path):
     df = spark.createDataFrame([(2, 1.5), (None, 0.25), (1, None)], "k long, v double")
     assert save(df, str(tmp_path), "t", order=("k",)) and not save(df.where("false"), str(tmp_path), "t")
     assert {p.name for p in tmp_path.iterdir()} == {"t", "t_full"} and spark.read.parquet(f"{tmp_path}/t_full").count() == 3
-    assert [tuple(r) for r in spark.read.csv(f"{tmp_path}/t", header=True).orderBy("k").collect()] == [(None, "0.250000"), ("1", None), ("2", "1.500000")]
+    assert [
+        tuple(r) for r in spark.read.csv(f"{tmp_path}/t", header=True).orderBy("k").collect()
+    ] == [(None, "0.250000"), ("1", None), ("2", "1.500000")]
     assert save(df.where("k = 1"), str(tmp_path), "t") and spark.read.parquet(f"{tmp_path}/t_full").count() == 1
 
 
@@ -136,10 +146,15 @@ def test_whole_runs(spark, tmp_path):
     first = spark.read.csv(f"{out}/lsm_results_1st", header=True).collect()
     assert len(first) == 2 and {r.round_label for r in first} == {"1st_round"} and (out / "lsm_results_1st_full").exists()
     written = main(["rlsm", *args, "--rw", "--unitize", "approx", "--merge_gap", "1"], spark)
-    assert {"rlsm_conversations", "pairs_rlsm", "individual_category_rlsm", "dyad_category_rlsm", "rw_rlsm_conversations", "rw_pairs_rlsm", "rw_individual_category_rlsm", "rw_dyad_category_rlsm", "rlsm_errors", "unitize_reports"} == set(written)
+    assert {
+        "rlsm_conversations", "pairs_rlsm", "individual_category_rlsm", "dyad_category_rlsm", "rw_rlsm_conversations",
+        "rw_pairs_rlsm", "rw_individual_category_rlsm", "rw_dyad_category_rlsm", "rlsm_errors", "unitize_reports"
+    } == set(written)
     one = spark.read.parquet(f"{out}/rlsm_conversations_full").collect()
     assert len(one) == 2 and all(r.dyad_id == "F001_M001" for r in one)
-    assert main(["merge-rlsm", "--rlsm", f"{out}/rlsm_conversations", "--rw", f"{out}/rw_rlsm_conversations", "--out", str(out)], spark) == ["rlsm_merged"]
+    assert main(
+        ["merge-rlsm", "--rlsm", f"{out}/rlsm_conversations", "--rw", f"{out}/rw_rlsm_conversations", "--out", str(out)], spark
+    ) == ["rlsm_merged"]
     assert not any(x.startswith("rw_") for x in main(["rlsm", *args], spark))
 
 
