@@ -283,7 +283,10 @@ class Lexicon:
                 number.append(n)
                 n += below[to]
         ids, count = merged(v, names) if names else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        parts = [np.array(x, kind) for x, kind in zip((keys, target, number, [final[s] for s in queue], np.cumsum([0, *count]), ids), Lexicon.KINDS, strict=True)]
+        parts = [
+            np.array(x, kind) for x,
+            kind in zip((keys, target, number, [final[s] for s in queue], np.cumsum([0, *count]), ids), Lexicon.KINDS, strict=True)
+        ]
         block = np.array([len(p) for p in parts], np.int64).tobytes()
         return block + b"".join(p.tobytes() + bytes(-p.nbytes % 8) for p in parts)
 
@@ -375,7 +378,9 @@ class Encoder:
             seen = rank >= 0
             start[seen] = self.lexicon.at[rank[seen]]
             size[seen] = self.lexicon.at[rank[seen] + 1] - start[seen]
-            ids, count = merged(self.v, [names[i] for i in np.flatnonzero(~seen).tolist()]) if not seen.all() else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            ids, count = merged(
+                self.v, [names[i] for i in np.flatnonzero(~seen).tolist()]
+            ) if not seen.all() else (np.zeros(0, np.int32), np.zeros(0, np.int64))
             start[~seen], size[~seen] = len(self.lexicon.ids) + np.cumsum(count) - count, count
             return np.concatenate([self.lexicon.ids, ids]), start, size
         at = np.searchsorted(self.known, hashes)
@@ -475,7 +480,9 @@ def word_counts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
 
 def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> list[bytes]:
     """The words with the largest summed counts, `most` at most."""
-    found = docs.select("text").mapInArrow(lambda batches: word_counts(batches, path), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(
+        lambda batches: word_counts(batches, path), "word binary, n long"
+    ).groupBy("word").agg(F.sum("n").alias("n"))
     return [w for w in found.orderBy(F.desc("n"), "word").limit(most).select("word").toArrow().column(0).to_pylist()]
 
 
@@ -495,7 +502,10 @@ def encoded(docs: DataFrame, path: str | None = None, words: list[bytes] | None
                 raw = ids.astype("<u4").tobytes()
                 one = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
                 two = [hashlib.sha256(x).hexdigest() for x in decode(v, ids, offsets)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(texts)), pa.array(np.diff(offsets)), pa.array(one), pa.array(two)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(lo, len(texts)), pa.array(np.diff(offsets)), pa.array(one), pa.array(two)],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

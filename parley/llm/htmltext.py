@@ -33,13 +33,23 @@ from parley.llm.common import strings, table
 from parley.llm.labelledpages import labelled_pages
 
 # Elements by kind, in HTML.
-RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title", "annotation", "annotation-xml", "object", "xmp", "noembed", "noframes")
+RAW = (
+    "script", "style", "noscript", "template", "iframe", "textarea", "title", "annotation", "annotation-xml", "object", "xmp",
+    "noembed", "noframes"
+)
 BOILERPLATE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "select", "button", "fieldset", "label", "datalist", "svg"}
 #: Elements of which a slash before the end of the tag closes them.
 FOREIGN = {"svg"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-INLINE |= {"math", "mfrac", "mi", "mn", "mo", "mover", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtext", "munder", "munderover", "semantics"}
+INLINE = {
+    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins",
+    "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u",
+    "var", "wbr"
+}
+INLINE |= {
+    "math", "mfrac", "mi", "mn", "mo", "mover", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup",
+    "mtext", "munder", "munderover", "semantics"
+}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "alert", "dialog"}
 NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "adsense", "adslot", "adbox", "sponsor", "sponsored", "promo", "promotion", "banner",
@@ -276,7 +286,10 @@ def extracted(pages: DataFrame) -> DataFrame:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 texts = [extract(x.as_py(), weights) for x in strings(part.column("html"))]
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
+                    ["page_id", "url", "text", "n_chars"]
+                )
 
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -46,7 +46,9 @@ def content_part(r: random.Random, paragraph_tag: str) -> str:
         return f"<h{r.choice('234')}>{words(r, 1, 6)}</h2>".replace("</h2>", "</h3>" if r.random() < 0.1 else "</h2>")
     if kind < 0.77:
         tag = r.choice(("ul", "ol"))
-        return f"<{tag}>" + "".join(f"<li>{words(r, 1, 12) if r.random() < 0.8 else linked(r, 2, 5)}</li>" for _ in range(r.randint(2, 9))) + f"</{tag}>"
+        return f"<{tag}>" + "".join(
+            f"<li>{words(r, 1, 12) if r.random() < 0.8 else linked(r, 2, 5)}</li>" for _ in range(r.randint(2, 9))
+        ) + f"</{tag}>"
     if kind < 0.87:
         columns = r.randint(2, 4)
         row = lambda tag: "<tr>" + "".join(f"<{tag}>{words(r, 1, 4)}</{tag}>" for _ in range(columns)) + "</tr>"
@@ -75,7 +77,9 @@ def other_part(r: random.Random) -> str:
     if kind == 5:
         return f"<div class='notice'><p>{words(r, 5, 16)}</p></div>" if named else f"<table><tr>{links('td')}</tr></table>"
     if kind == 6:
-        return f"<section id='comments'><h3>{words(r, 1, 2)}</h3>" + "".join(f"<div><p>{words(r, 3, 20)}</p></div>" for _ in range(r.randint(1, 6))) + "</section>"
+        return f"<section id='comments'><h3>{words(r, 1, 2)}</h3>" + "".join(
+            f"<div><p>{words(r, 3, 20)}</p></div>" for _ in range(r.randint(1, 6))
+        ) + "</section>"
     return f"<header>{linked(r)}<p>{words(r, 1, 6)}</p></header>" if named else f"<div><span>{words(r, 1, 2)}</span><div>{linked(r)}</div><div>{linked(r)}</div></div>"
 
 
@@ -90,7 +94,12 @@ def page(r: random.Random) -> str:
     elif r.random() < 0.25:
         parts = [f"<div>{p}</div>" for p in parts]
     before, after = ("".join(other_part(r) for _ in range(r.randint(1, 4))) for _ in range(2))
-    open_, close = r.choice((("<article>", "</article>"), ("<main>", "</main>"), ("<div class='main'>", "</div>"), ("<section><div>", "</div></section>"), ("<table><tr><td>", "</td></tr></table>"), ("", "")))
+    open_, close = r.choice(
+        (
+            ("<article>", "</article>"), ("<main>", "</main>"), ("<div class='main'>", "</div>"),
+            ("<section><div>", "</div></section>"), ("<table><tr><td>", "</td></tr></table>"), ("", "")
+        )
+    )
     if top:
         open_, close = "<article>", "</article>"
     return f"<html><head><meta charset='utf-8'><title>t</title></head><body>{before}{open_}<content>{''.join(parts)}</content>{close}{after}</body></html>"

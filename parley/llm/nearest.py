@@ -197,7 +197,10 @@ def indexed(classes: DataFrame, settings: Settings, blocks: Blocks) -> DataFrame
                     row = np.repeat(np.arange(len(names)), times)
                     block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
                     more = [batch.column(c).take(pa.array(row)) for c in ("rep", "ids", "vec")]
-                    yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(part[row]), pa.array(block), *more], ["bucket", "part", "block", "rep", "ids", "vec"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names[row]), pa.array(part[row]), pa.array(block), *more],
+                        ["bucket", "part", "block", "rep", "ids", "vec"]
+                    )
 
     kind = classes.schema["vec"].dataType.simpleString()
     return classes.mapInArrow(run, f"bucket long, part long, block long, rep long, ids array<long>, vec {kind}")
@@ -212,7 +215,10 @@ def dealt(probes: DataFrame, blocks: Blocks) -> DataFrame:
             block, times = rep % blocks.of(names, blocks.queries), blocks.of(names, blocks.rows)
             row = np.repeat(np.arange(len(names)), times)
             part = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-            yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(part), pa.array(block[row]), pa.array(rep[row])], ["bucket", "part", "block", "rep"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[row]), pa.array(part), pa.array(block[row]), pa.array(rep[row])],
+                ["bucket", "part", "block", "rep"]
+            )
 
     return probes.select("bucket", "rep").mapInArrow(run, "bucket long, part long, block long, rep long")
 
@@ -278,7 +284,9 @@ def met(index: DataFrame, probes: DataFrame, k: int) -> DataFrame:
                         yield best.rows()
         yield best.rows()
 
-    return rows.repartition("bucket", "part", "block").sortWithinPartitions("bucket", "part", "block", "kind").mapInArrow(run, "rep long, vec_id long, score double")
+    return rows.repartition("bucket", "part", "block").sortWithinPartitions("bucket", "part", "block", "kind").mapInArrow(
+        run, "rep long, vec_id long, score double"
+    )
 
 
 def first(rows: DataFrame, by: str, k: int) -> DataFrame:
@@ -307,7 +315,10 @@ def exact_pairs(classes: DataFrame, k: int, rows: int) -> list[tuple[np.ndarray,
                 row = best.ravel()
                 found = np.take_along_axis(score, best, 1).ravel()
                 kept = np.flatnonzero(np.isfinite(found))
-                out = [pa.array(np.repeat(reps, best.shape[1])[kept]), pa.array(rep[row[kept]]), pa.array(found[kept]), batch.column("vec").take(pa.array(row[kept]))]
+                out = [
+                    pa.array(np.repeat(reps, best.shape[1])[kept]), pa.array(rep[row[kept]]), pa.array(found[kept]),
+                    batch.column("vec").take(pa.array(row[kept]))
+                ]
                 yield pa.RecordBatch.from_arrays(out, ["query", "rep", "score", "vec"])
 
     kind = classes.schema["vec"].dataType.simpleString()
@@ -343,7 +354,9 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 5, settings: Settings
     vec = F.col("embedding").cast(f"array<{element}>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec"))
     ok = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    rows = rows.where("vec_id is not null").where(F.coalesce(ok, F.lit(False))).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0).cast(element)))
+    rows = rows.where("vec_id is not null").where(F.coalesce(ok, F.lit(False))).withColumn(
+        "vec", F.transform("vec", lambda x: x + F.lit(0.0).cast(element))
+    )
     asked = rows.where(queries)
     with scratch() as keep:
         # The least ids of equal vectors: limited per deal of a class, then per class, before anything is gathered.
@@ -378,9 +391,16 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 5, settings: Settings
         own = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
         selves = wanted.select("rep", F.explode("ids").alias("vec_id"), (own / (F.sqrt(own) * F.sqrt(own))).alias("score"))
         lists = found.unionByName(selves).groupBy("rep").agg(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id")).alias("near"))
-        near = named.join(keep(lists), "rep").withColumn("near", F.slice(F.array_sort(F.filter("near", lambda x: x["vec_id"] != F.col("query_id"))), 1, k))
+        near = named.join(keep(lists), "rep").withColumn(
+            "near", F.slice(F.array_sort(F.filter("near", lambda x: x["vec_id"] != F.col("query_id"))), 1, k)
+        )
         out = near.select("query_id", F.posexplode("near").alias("at", "one"))
-        return saved(out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("one.vec_id").alias("vec_id"), (-F.col("one.minus")).alias("score")))
+        return saved(
+            out.select(
+                "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("one.vec_id").alias("vec_id"),
+                (-F.col("one.minus")).alias("score")
+            )
+        )
 
 
 def op4_nearest(spark, sf_dir: str) -> DataFrame:

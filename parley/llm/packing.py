@@ -116,7 +116,10 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
                         out.append((lo + i, k // capacity, k, len(part), zlib.crc32(part)))
                 row, *cols = zip(*out, strict=True)
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"]
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
@@ -138,7 +141,10 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sequence, offset = plan.value.place(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return ranked.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -149,7 +149,10 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             doc, feature = features(data, offsets)
             ends = np.searchsorted(doc, np.arange(hi - lo + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), lists, batch.column("quality").slice(lo, hi - lo).cast(pa.int32())], ["doc_id", "x", "y"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), lists, batch.column("quality").slice(lo, hi - lo).cast(pa.int32())],
+                ["doc_id", "x", "y"]
+            )
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -174,7 +177,10 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = scores(batch.column("text"), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))],
+                ["doc_id", "score", "predicted"]
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")

@@ -33,7 +33,10 @@ LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Features and the direction in which a score may go as they grow (0: either).
-FEATURES = {"log_words": 0, "word_length": 0, "symbols": -1, "dup_lines": -1, "repeat_words": -1, "upper": -1, "digits": 0, "marks": -1, "line_words": 0, "repeats_next": -1, "odd_words": -1}
+FEATURES = {
+    "log_words": 0, "word_length": 0, "symbols": -1, "dup_lines": -1, "repeat_words": -1, "upper": -1, "digits": 0, "marks": -1,
+    "line_words": 0, "repeats_next": -1, "odd_words": -1
+}
 
 
 def per_text(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -99,7 +102,13 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     odd = np.bincount(doc[bare[ends] == bare[starts]], minlength=n)
     w, c = np.maximum(n_words, 1), np.maximum(chars, 1)
     marks = per_text(inside, offsets) - letters - digits
-    features = np.stack([np.log1p(n_words), chars / w, symbols / w, dup_lines / np.maximum(n_lines, 1), repeat_words / w, upper / c, digits / c, marks / c, n_words / np.maximum(n_lines, 1), follow / w, odd / w], 1)
+    features = np.stack(
+        [
+            np.log1p(n_words), chars / w, symbols / w, dup_lines / np.maximum(n_lines, 1), repeat_words / w, upper / c,
+            digits / c, marks / c, n_words / np.maximum(n_lines, 1), follow / w, odd / w
+        ],
+        1
+    )
     return base, features
 
 
@@ -126,7 +135,10 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, direction=tuple(FEATURES.values()), rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 64, ridge: float = 5.0) -> Trees | None:
+def fit(
+    x: np.ndarray, y: np.ndarray, direction=tuple(FEATURES.values()), rounds: int = 60, depth: int = 3, rate: float = 0.2,
+    bins: int = 64, ridge: float = 5.0
+) -> Trees | None:
     """Boosted trees for a logistic loss, from histograms of gradients; None without both labels."""
     if len(y) == 0 or y.min() == y.max():
         return None
@@ -178,7 +190,9 @@ def fit(x: np.ndarray, y: np.ndarray, direction=tuple(FEATURES.values()), rounds
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees | None:
     """Fits the trees on at most `rows` labelled documents that aren't held out."""
-    found = labelled_sample(docs, labels, "quality", rows).mapInArrow(_training_rows, "doc_id long, x array<double>, y int").toArrow().sort_by("doc_id")
+    found = labelled_sample(docs, labels, "quality", rows).mapInArrow(
+        _training_rows, "doc_id long, x array<double>, y int"
+    ).toArrow().sort_by("doc_id")
     x = np.array(found.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     return fit(x, np.array(found.column("y").to_pylist(), float))
 
@@ -201,11 +215,16 @@ def score(docs: DataFrame, trees: Trees | None, keep_from: float = KEEP_FROM) ->
                 base, x = statistics(data, offsets)
                 failed = (base[:, 0] < 50) | (100 * base[:, 4] > 50 * base[:, 0])
                 p = np.ones(len(x)) if trees is None else trees.score(x)
-                cols = [batch.column("doc_id").slice(lo, hi - lo), *(pa.array(base[:, k]) for k in range(5)), pa.array(p), pa.array(failed), pa.array(~failed & (p >= keep_from))]
+                cols = [
+                    batch.column("doc_id").slice(lo, hi - lo), *(pa.array(base[:, k]) for k in range(5)), pa.array(p),
+                    pa.array(failed), pa.array(~failed & (p >= keep_from))
+                ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", *BASE, "score", "base_failed", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in BASE) + ", score double, base_failed boolean, kept boolean")
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in BASE) + ", score double, base_failed boolean, kept boolean"
+    )
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -69,7 +69,10 @@ def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((sha, *(sum(x[2] == k for x in base) for k in BASE_KINDS), joined(base), joined(spans)))
         columns = list(zip(*rows, strict=True)) or [[]] * 6
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["sha", "n_assign", "n_access", "n_hex", "base", "spans"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
+            ["sha", "n_assign", "n_access", "n_hex", "base", "spans"]
+        )
 
 
 def addressed(versions: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -86,7 +89,10 @@ def unseen(versions: DataFrame, ledger: DataFrame | None = None, key: str = "doc
     return blobs.join(owners.hint("merge"), ["key", "sha"], "left_semi").select("sha", "text")
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None, key: str = "doc_id", rules: str = RULES_VERSION) -> DataFrame:
+def scan(
+    versions: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None, key: str = "doc_id",
+    rules: str = RULES_VERSION
+) -> DataFrame:
     """Findings under these rules: of blobs scanned now and, with a ledger, those `known` under the same rules from before.
 
     One row per blob with findings: sha, counts of the base kinds, base and all spans, rules.
@@ -160,4 +166,7 @@ def op8_secrets(spark, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     out = rows.join(scan(docs), "sha", "left")
     count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return out.select("doc_id", *map(count, ("n_assign", "n_access", "n_hex")), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+    return out.select(
+        "doc_id", *map(count, ("n_assign", "n_access", "n_hex")), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"),
+        F.coalesce("spans", F.lit("")).alias("spans")
+    )

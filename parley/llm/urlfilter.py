@@ -23,7 +23,10 @@ from parley.llm.common import table
 from parley.llm.components import connected_components
 
 # Verdict, host and path of the rules that the query applies.
-RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+RULES = (
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
+    ("block", "com", "/de/")
+)
 #: Up to so many rules become one expression; more are looked up by a join on the host's endings and the path's beginnings.
 MOST_IN_EXPRESSION = 64
 # Named character references that urls hold, the ampersand last.
@@ -68,7 +71,9 @@ def ruled(rows: DataFrame, rules=RULES) -> DataFrame:
 
 def decoded(text: Column) -> Column:
     """With character references in place of numbers, and those of REFERENCES."""
-    number = lambda r: F.when(F.lower(r).startswith("&#x"), F.conv(F.regexp_extract(r, "[0-9a-fA-F]+", 0), 16, 10)).otherwise(F.regexp_extract(r, "[0-9]+", 0))
+    number = lambda r: F.when(
+        F.lower(r).startswith("&#x"), F.conv(F.regexp_extract(r, "[0-9a-fA-F]+", 0), 16, 10)
+    ).otherwise(F.regexp_extract(r, "[0-9]+", 0))
     one = lambda r: F.decode(F.unhex(F.lpad(F.hex(number(r).cast("long")), 8, "0")), "UTF-32")
     valid = lambda r: (number(r).cast("long") < 0x110000) & ~number(r).cast("long").between(0xD800, 0xDFFF)
     found = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), F.lit(0))), valid)

@@ -42,7 +42,11 @@ def plain_split(url):
     return (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
 
 
-URLS = ["http://Example.ORG/es/1?q", "https://a.example.org/en/1", "http://b.example.org/en/12#x", "http://x.org", "http://x.org/", "ftp://y.com/de/", "http://y.com/fr/a", "http://notexample.org/es/", "nothing", None, "http://z.net/a", "http://z.net/b", "x://y://org/a", "http://É.com/de/q\nr?s"]
+URLS = [
+    "http://Example.ORG/es/1?q", "https://a.example.org/en/1", "http://b.example.org/en/12#x", "http://x.org", "http://x.org/",
+    "ftp://y.com/de/", "http://y.com/fr/a", "http://notexample.org/es/", "nothing", None, "http://z.net/a", "http://z.net/b",
+    "x://y://org/a", "http://É.com/de/q\nr?s"
+]
 
 
 def test_url_rules(spark):
@@ -105,7 +109,10 @@ def test_any_number_of_rules(spark):
     """More rules than one expression holds, and fewer; repeated pages and clashing names are nothing special."""
     rules = [*urlfilter.RULES, ("block", "org", "/"), *(("block" if k % 2 else "allow", f"h{k}.net", "/" + "p" * (k % 5)) for k in range(600))]
     urls = [*URLS, *(f"http://www.h{k}.net/{'p' * (k % 7)}/x" for k in range(0, 640, 7)), "http://h3.net", "http://.h4.net/pppp"]
-    pages = spark.createDataFrame([(k, u, "x", "y", "z") for k, u in enumerate(urls * 2)], "page_id long, url string, host string, verdict string, own string")
+    pages = spark.createDataFrame(
+        [(k, u, "x", "y", "z") for k, u in enumerate(urls * 2)],
+        "page_id long, url string, host string, verdict string, own string"
+    )
     edges = spark.createDataFrame([("z.net/a", "www.h1.net/p")], "a string, b string")
     for some in (rules, rules[:40]):
         got = urlfilter.judge(pages, edges, some).collect()
@@ -126,7 +133,10 @@ def test_sql_of_the_url_filter_gives_its_rows(spark, tmp_path):
     r = random.Random(4)
     hosts = ["x.com", "y.com", "a.net", "www.a.net", "b.net", "example.org", "Sub.Example.org", "c.org"]
     url = lambda: f"http://{r.choice(hosts)}/{r.choice(('', 'es/', 'en/1', 'fr/', 'de/', 'q', 'w'))}{r.randrange(3)}"
-    pages = [(k, u, r.choice((None, "", f"<link rel=canonical href='{r.choice((url(), url(), '/de/1', '//b.net/q1'))}'>", "<p>x</p>"))) for k, u in enumerate([url() for _ in range(80)] + URLS)]
+    pages = [
+        (k, u, r.choice((None, "", f"<link rel=canonical href='{r.choice((url(), url(), '/de/1', '//b.net/q1'))}'>", "<p>x</p>"))) for k,
+        u in enumerate([url() for _ in range(80)] + URLS)
+    ]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     db = duckdb.connect()
     db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
@@ -160,7 +170,10 @@ def test_nearest(spark):
     vectors = [(k, (centres[k % 6] + 0.4 * r.normal(size=16)).astype(np.float32).tolist()) for k in range(1500)]
     same = vectors[3][1]
     vectors += [(k, same) for k in range(1500, 1800)]
-    vectors += [(2000, None), (2050, [0.0] * 16), (2100, [float("nan")] * 16), (2150, [1.0, None] + [0.0] * 14), (2200, []), (2250, [1.0, 2.0]), (2251, [2.0, 1.0])]
+    vectors += [
+        (2000, None), (2050, [0.0] * 16), (2100, [float("nan")] * 16), (2150, [1.0, None] + [0.0] * 14), (2200, []),
+        (2250, [1.0, 2.0]), (2251, [2.0, 1.0])
+    ]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
     want = exact_neighbours(vectors)
     got = {}
@@ -220,7 +233,10 @@ def test_nearest_of_many_collinear_vectors(spark):
     order = [(k * 37) % 101 for k in range(1, 101)]  # ids in no order of length
     vectors = [(x, [3.0 * 2.0**i, 1.0 * 2.0**i, -2.0 * 2.0**i]) for i, x in zip(range(-50, 50), order, strict=True)]
     df = spark.createDataFrame([*vectors, (200, [3.0, 1.5, -2.0]), (201, [-1.0, 0.0, 9.0])], "vec_id long, embedding array<double>").repartition(3)
-    scaled = spark.createDataFrame([(k, [3.0 * 2.0**k, 1.0 * 2.0**k, -2.0 * 2.0**k]) for k in range(30)] + [(200, [3.0, 1.5, -2.0])], "vec_id long, embedding array<double>")
+    scaled = spark.createDataFrame(
+        [(k, [3.0 * 2.0**k, 1.0 * 2.0**k, -2.0 * 2.0**k]) for k in range(30)] + [(200, [3.0, 1.5, -2.0])],
+        "vec_id long, embedding array<double>"
+    )
     got = sorted((x.rank, x.vec_id) for x in nearest.search(scaled, F.col("vec_id") == 200).collect())
     assert got == [(k + 1, k) for k in range(5)]
     for few in (df, df.where("vec_id <= 20 or vec_id = 200")):
@@ -238,8 +254,14 @@ def test_best_keeps_ties_by_id():
 
 
 PAGES = [
-    ("<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a>one</a></li><li><a>two</a></li></ul></nav><div class='ad big'>buy this thing now please</div><article><h1>The title</h1><p>First <b>bold</b>  words &amp; more.<p>Second&nbsp;one<br>here.</p></article><footer>the end of it</footer></body></html>", "The title\n\nFirst bold words & more.\n\nSecond one here."),
-    ("<body><div id=main><p>Some words of the text that matter here</p><script>var x='</p><p>not text</p>';</script><p>and others that follow</p></div><div class='user-comments'><p>a long comment by a reader that has very many words in it, more than the text</p></div></body>", "Some words of the text that matter here\n\nand others that follow"),
+    (
+        "<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a>one</a></li><li><a>two</a></li></ul></nav><div class='ad big'>buy this thing now please</div><article><h1>The title</h1><p>First <b>bold</b>  words &amp; more.<p>Second&nbsp;one<br>here.</p></article><footer>the end of it</footer></body></html>",
+        "The title\n\nFirst bold words & more.\n\nSecond one here."
+    ),
+    (
+        "<body><div id=main><p>Some words of the text that matter here</p><script>var x='</p><p>not text</p>';</script><p>and others that follow</p></div><div class='user-comments'><p>a long comment by a reader that has very many words in it, more than the text</p></div></body>",
+        "Some words of the text that matter here\n\nand others that follow"
+    ),
     ("<article><p>Cut off text with words &amp; a ta<b", "Cut off text with words & a ta"),
     ("<article><p>a</p><aside>no no no no</aside><form>name please</form><p>one more line of text</p></article>", "a\n\none more line of text"),
     ("plain words only", "plain words only"),
@@ -252,7 +274,10 @@ PAGES = [
 
 
 def test_html(spark):
-    df = spark.createDataFrame([(k, f"u{k}", h, "x", 1) for k, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, text string, n_chars int")
+    df = spark.createDataFrame(
+        [(k, f"u{k}", h, "x", 1) for k, (h, _) in enumerate(PAGES)],
+        "page_id long, url string, html string, text string, n_chars int"
+    )
     assert htmltext.extracted(df.union(df)).count() == 2 * len(PAGES)
     got = {r.page_id: r for r in htmltext.extracted(df).collect()}
     for k, (_, want) in enumerate(PAGES):
@@ -285,9 +310,18 @@ WHOLE = [
     (f"<article>{LINES}<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><math/>{LINES}</article>", [LINE, "so x=2 holds", LINE]),
     ("<nav><a>one</a></nav><div class='legal-article'>a few words only</div>", ["a few words only"]),
     *((f"<nav><a>one</a></nav><div class='{name}'>{LINES}{LINES}</div><footer>not this</footer>", [LINE] * 2) for name in ("tags", "popular", "discussion", "notice")),
-    (f"<article>{LINES}<table>" + "".join(f"<tr><td>row {k}</td><td>{k}</td></tr>" for k in range(20)) + f"</table>{LINES}</article>", [LINE, *(x for k in range(20) for x in (f"row {k}", str(k))), LINE]),
-    (f"<header><a>site</a></header><article><header class='entry-header'><h1>A title</h1><p>The lead of it</p></header>{LINES}<footer><p>not this</p></footer></article>", ["A title", "The lead of it", LINE]),
-    ("<div id=c>" + "".join(f"<div>sentence number {k} has words</div>" for k in range(12)) + "</div>", [f"sentence number {k} has words" for k in range(12)]),
+    (
+        f"<article>{LINES}<table>" + "".join(f"<tr><td>row {k}</td><td>{k}</td></tr>" for k in range(20)) + f"</table>{LINES}</article>",
+        [LINE, *(x for k in range(20) for x in (f"row {k}", str(k))), LINE]
+    ),
+    (
+        f"<header><a>site</a></header><article><header class='entry-header'><h1>A title</h1><p>The lead of it</p></header>{LINES}<footer><p>not this</p></footer></article>",
+        ["A title", "The lead of it", LINE]
+    ),
+    (
+        "<div id=c>" + "".join(f"<div>sentence number {k} has words</div>" for k in range(12)) + "</div>",
+        [f"sentence number {k} has words" for k in range(12)]
+    ),
 ]
 
 

@@ -29,8 +29,13 @@ CASES = [
 
 def test_each_stage_takes_nulls_repeats_ties_and_clashing_names(spark, tmp_path):
     extra = "score double, label string, hub long, sha string, rows int, piece string"
-    docs = spark.createDataFrame([(*c[:2], c[2], "s", len(c[1] or ""), 0.5, "x", 9, "y", 3, "z") for c in CASES], f"doc_id long, text string, lang string, source string, n_chars int, {extra}")
-    spark.createDataFrame([(1, 1, 0), (6, 1, 0), (6, 0, 0), (None, 0, 0), (9, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(
+        [(*c[:2], c[2], "s", len(c[1] or ""), 0.5, "x", 9, "y", 3, "z") for c in CASES],
+        f"doc_id long, text string, lang string, source string, n_chars int, {extra}"
+    )
+    spark.createDataFrame(
+        [(1, 1, 0), (6, 1, 0), (6, 0, 0), (None, 0, 0), (9, None, 0)], "doc_id long, quality int, toxic int"
+    ).write.parquet(str(tmp_path / "labels.parquet"))
     kept = {}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
