@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import strings, table
+from parley.llm.common import lean, strings, table
 from parley.llm.textkernel import U, mix, span_hashes
 
 VOCABULARY = "word_bpe_49k.json"
@@ -481,7 +481,7 @@ def word_counts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
 def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> list[bytes]:
     """The words with the largest summed counts, `most` at most."""
     found = docs.select("text").mapInArrow(
-        lambda batches: word_counts(batches, path), "word binary, n long"
+        lean(lambda batches: word_counts(batches, path)), "word binary, n long"
     ).groupBy("word").agg(F.sum("n").alias("n"))
     return [w for w in found.orderBy(F.desc("n"), "word").limit(most).select("word").toArrow().column(0).to_pylist()]
 
@@ -508,7 +508,7 @@ def encoded(docs: DataFrame, path: str | None = None, words: list[bytes] | None
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -36,10 +37,16 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+#: A saved table has at least so many files for each core, where its job has as many tasks, and else one for so many
+#: of the session's shuffle partitions, which a task then takes one after another.
+FILES_A_CORE, PARTITIONS_A_FILE = 3, 3
+
+
 def saved(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """Written as Parquet to the shared folder and read again: a columnar cut of the lineage.
 
-    The job's shuffle files go when it ends, the table at the latest when the driver does; scratch() deletes
+    It has fewer files than shuffle partitions: small files cost a store more than their bytes, and on a local one
+    each makes the executor's JVM start processes to set permissions.  The job's shuffle files go when it ends, the table at the latest when the driver does; scratch() deletes
     tables earlier.  `batch_rows` bounds the rows of an Arrow batch, for rows that may be long.
     """
     spark = df.sparkSession
@@ -48,7 +55,8 @@ def saved(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     if batch_rows:
         conf["spark__sql__execution__arrow__maxRecordsPerBatch"] = str(batch_rows)
     with settings(spark, **conf):
-        df.write.parquet(path)
+        files = int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_A_FILE
+        df.coalesce(max(FILES_A_CORE * spark.sparkContext.defaultParallelism, files)).write.parquet(path)
     file_system, at = file_system_of(spark, path)
     file_system.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
@@ -127,6 +135,21 @@ def chunks(column: pa.Array, limit: int = 1 << 20):
         lo = hi
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """run, after which its worker gives the memory that it no longer uses back: workers stay, and wait, for later stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def filtered(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """The rows, with all their columns, for whose texts `keep` is true."""
     at = docs.columns.index("text")
@@ -135,4 +158,4 @@ def filtered(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFra
         for batch in batches:
             yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -29,7 +29,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from parley.llm.common import strings, table
+from parley.llm.common import lean, strings, table
 from parley.llm.labelledpages import labelled_pages
 
 # Elements by kind, in HTML.
@@ -292,7 +292,7 @@ def extracted(pages: DataFrame) -> DataFrame:
                 )
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(lean(run), f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op6_html_text(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import chunks, filtered, held_out, strings, table
+from parley.llm.common import chunks, filtered, held_out, lean, strings, table
 from parley.llm.textkernel import CODES, LOWER, U, powers, runs, span_hashes
 
 #: Documents that the probabilities are fitted on, taken in the order of a hash of the id.
@@ -138,7 +138,7 @@ def log_sums(words: np.ndarray, sizes: np.ndarray, p: Pieces, probability: np.nd
     return out
 
 
-def by_size(sizes: np.ndarray, cells: int = 1 << 19) -> Iterator[np.ndarray]:
+def by_size(sizes: np.ndarray, cells: int = 1 << 17) -> Iterator[np.ndarray]:
     """Positions in runs of similar sizes, each of about so many cells as a matrix (or a single word)."""
     order = np.argsort(sizes, kind="stable")
     lo = 0
@@ -245,7 +245,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, path: str | None = None) -> M
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text")
     texts = texts.join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi").select("lang", "text")
-    found = texts.mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.mapInArrow(lean(_word_counts), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, dict[bytes, int]] = {}
     shares: dict[str, int] = {}
     for language, word, n in zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
@@ -261,7 +261,7 @@ def predicted(column: pa.Array, model: Model | None) -> tuple[np.ndarray, np.nda
     names = np.array([*(model.languages if model else ()), "und"], object)
     texts = strings(column)
     best, p = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
-    for lo, hi, data, offsets in chunks(texts, 2 << 20) if model else ():
+    for lo, hi, data, offsets in chunks(texts) if model else ():
         ascii_letter = ((data | 32) >= 97) & ((data | 32) <= 122) & (data < 128)
         sums = np.zeros(len(data) + 1, np.int64)
         np.cumsum(ascii_letter, out=sums[1:])
@@ -285,7 +285,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(p)], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import saved, scratch, table
+from parley.llm.common import lean, saved, scratch, table
 
 #: Index rows and queries of one block, about; a bucket of more is dealt out to several tasks.
 ROWS_A_PART = 100_000
@@ -150,7 +150,7 @@ def bucket_counts(classes: DataFrame, settings: Settings) -> DataFrame:
                 vec = _matrix(batch.column("vec"))
                 yield pa.RecordBatch.from_arrays([pa.array(bucket_names(steps(vec, settings)[0], vec.shape[1]).ravel())], ["bucket"])
 
-    return classes.select("vec").mapInArrow(run, "bucket long").groupBy("bucket").agg(F.count("*").alias("rows"))
+    return classes.select("vec").mapInArrow(lean(run), "bucket long").groupBy("bucket").agg(F.count("*").alias("rows"))
 
 
 def probed(classes: DataFrame, settings: Settings) -> DataFrame:
@@ -167,7 +167,7 @@ def probed(classes: DataFrame, settings: Settings) -> DataFrame:
                     rep = some.column("rep").to_numpy()
                     yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), pa.array(np.repeat(rep, names.size // len(rep)))], ["bucket", "rep"])
 
-    return classes.select("rep", "vec").mapInArrow(run, "bucket long, rep long")
+    return classes.select("rep", "vec").mapInArrow(lean(run), "bucket long, rep long")
 
 
 def blocks_of(counts: DataFrame, asked: DataFrame) -> Blocks:
@@ -203,7 +203,7 @@ def indexed(classes: DataFrame, settings: Settings, blocks: Blocks) -> DataFrame
                     )
 
     kind = classes.schema["vec"].dataType.simpleString()
-    return classes.mapInArrow(run, f"bucket long, part long, block long, rep long, ids array<long>, vec {kind}")
+    return classes.mapInArrow(lean(run), f"bucket long, part long, block long, rep long, ids array<long>, vec {kind}")
 
 
 def dealt(probes: DataFrame, blocks: Blocks) -> DataFrame:
@@ -220,7 +220,7 @@ def dealt(probes: DataFrame, blocks: Blocks) -> DataFrame:
                 ["bucket", "part", "block", "rep"]
             )
 
-    return probes.select("bucket", "rep").mapInArrow(run, "bucket long, part long, block long, rep long")
+    return probes.select("bucket", "rep").mapInArrow(lean(run), "bucket long, part long, block long, rep long")
 
 
 class Best:
@@ -284,8 +284,7 @@ def met(index: DataFrame, probes: DataFrame, k: int) -> DataFrame:
                         yield best.rows()
         yield best.rows()
 
-    return rows.repartition("bucket", "part", "block").sortWithinPartitions("bucket", "part", "block", "kind").mapInArrow(
-        run, "rep long, vec_id long, score double"
+    return rows.repartition("bucket", "part", "block").sortWithinPartitions("bucket", "part", "block", "kind").mapInArrow(lean(run), "rep long, vec_id long, score double"
     )
 
 
@@ -322,7 +321,7 @@ def exact_pairs(classes: DataFrame, k: int, rows: int) -> list[tuple[np.ndarray,
                 yield pa.RecordBatch.from_arrays(out, ["query", "rep", "score", "vec"])
 
     kind = classes.schema["vec"].dataType.simpleString()
-    near = classes.select("rep", "vec").mapInArrow(run, f"query long, rep long, score double, vec {kind}")
+    near = classes.select("rep", "vec").mapInArrow(lean(run), f"query long, rep long, score double, vec {kind}")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     near = near.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).select("query", "vec").collect()
     by_rep = dict(shared.value)

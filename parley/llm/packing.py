@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.bpe import Encoder, runs_of_texts, vocabulary, vocabulary_path
-from parley.llm.common import saved, table
+from parley.llm.common import lean, saved, table
 
 CAPACITY = 4096
 CLOSING_ID = 1
@@ -122,7 +122,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -147,7 +147,7 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:

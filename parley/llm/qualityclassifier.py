@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import chunks, filtered, held_out, labelled_sample, table
+from parley.llm.common import chunks, filtered, held_out, labelled_sample, lean, table
 from parley.llm.textkernel import CODES, LOWER, SPACE, U, mix, shingles, span_hashes, words
 
 #: Labelled rows that the model is fitted on, taken in the order of a hash of the id.
@@ -157,7 +157,7 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fits the model on at most `rows` labelled documents that aren't held out."""
-    found = labelled_sample(docs, labels, "quality", rows).mapInArrow(_training_rows, "doc_id long, x array<int>, y int").toArrow()
+    found = labelled_sample(docs, labels, "quality", rows).mapInArrow(lean(_training_rows), "doc_id long, x array<int>, y int").toArrow()
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
     lists = found.column("x").combine_chunks()
     flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
@@ -183,7 +183,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import chunks, labelled_sample, table
+from parley.llm.common import chunks, labelled_sample, lean, table
 from parley.llm.textkernel import CODES, SPACE, U, mix, shingles, span_hashes, words
 
 #: Labelled rows that the trees are fitted on, taken in the order of a hash of the id.
@@ -190,8 +190,7 @@ def fit(
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees | None:
     """Fits the trees on at most `rows` labelled documents that aren't held out."""
-    found = labelled_sample(docs, labels, "quality", rows).mapInArrow(
-        _training_rows, "doc_id long, x array<double>, y int"
+    found = labelled_sample(docs, labels, "quality", rows).mapInArrow(lean(_training_rows), "doc_id long, x array<double>, y int"
     ).toArrow().sort_by("doc_id")
     x = np.array(found.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     return fit(x, np.array(found.column("y").to_pylist(), float))
@@ -222,8 +221,7 @@ def score(docs: DataFrame, trees: Trees | None, keep_from: float = KEEP_FROM) ->
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", *BASE, "score", "base_failed", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in BASE) + ", score double, base_failed boolean, kept boolean"
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in BASE) + ", score double, base_failed boolean, kept boolean"
     )
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import saved, strings, table
+from parley.llm.common import lean, saved, strings, table
 from parley.sources.scratch import file_system_of
 
 # The base kinds in the order in which equal starts are listed, then what this module adds.
@@ -97,7 +97,7 @@ def scan(
 
     One row per blob with findings: sha, counts of the base kinds, base and all spans, rules.
     """
-    found = unseen(versions, ledger, key, rules).mapInArrow(scan_batches, FINDINGS).dropDuplicates(["sha"]).withColumn("rules", F.lit(rules))
+    found = unseen(versions, ledger, key, rules).mapInArrow(lean(scan_batches), FINDINGS).dropDuplicates(["sha"]).withColumn("rules", F.lit(rules))
     return found if known is None else found.unionByName(known.where(F.col("rules") == rules))
 
 
@@ -158,7 +158,7 @@ def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
                 columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return marked.select(*(F.col(f"`{n}`") for n in names), "__spans").mapInArrow(run, docs.schema)
+    return marked.select(*(F.col(f"`{n}`") for n in names), "__spans").mapInArrow(lean(run), docs.schema)
 
 
 def op8_secrets(spark, sf_dir: str) -> DataFrame:
