@@ -46,8 +46,9 @@ def saved(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """Written as Parquet to the shared folder and read again: a columnar cut of the lineage.
 
     It has fewer files than shuffle partitions: small files cost a store more than their bytes, and on a local one
-    each makes the executor's JVM start processes to set permissions.  The job's shuffle files go when it ends, the table at the latest when the driver does; scratch() deletes
-    tables earlier.  `batch_rows` bounds the rows of an Arrow batch, for rows that may be long.
+    each makes the executor's JVM start processes to set permissions.  The job's shuffle files go when it ends, the
+    table at the latest when the driver does; scratch() deletes tables earlier.  `batch_rows` bounds the rows of an
+    Arrow batch, for rows that may be long.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/parley-{uuid.uuid4().hex}"
