@@ -14,9 +14,9 @@ chosen per scheme by cost, from the number of documents in its bands.
 
 Equal sets are one class before anything is indexed, so copies are never paired.  Of each bucket of
 classes with a common signature, the least is the hub; classes that share a hub are a group, in parts
-of a bounded number of members and of shingles.  A part streams by: members linked to the hub need no more
-than that, the others are held and compared among themselves, by their differences from the hub, giving
-one link for two components.  Connected components follow, and only groups of several parts that still
+of a bounded number of members and of shingles.  A part streams by: members linked to the hub need not be
+compared with one another, but the others are, with all members of the part, by their differences from the
+hub, giving one link for two components.  Connected components follow, and only groups of several parts that still
 hold several components are searched further, part against part.  Every comparison is exact on the sets of
 64-bit shingle hashes.
 
@@ -233,8 +233,8 @@ def reachable(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-def intersections(lists: list[np.ndarray]) -> np.ndarray:
-    """How many hashes any two of the lists have in common."""
+def intersections(lists: list[np.ndarray], first: int | None = None) -> np.ndarray:
+    """How many hashes any two of the lists have in common; with `first`, the first ones with all, a row for each."""
     _, ids, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
     who = np.repeat(np.arange(len(lists)), list(map(len, lists)))
     several = count > 1  # what one list has alone is in no intersection
@@ -242,26 +242,32 @@ def intersections(lists: list[np.ndarray]) -> np.ndarray:
     who, ids = who[several[ids]], places[ids[several[ids]]]
     order = np.argsort(ids, kind="stable")
     who, ids = who[order], ids[order]
-    inter = np.zeros((len(lists), len(lists)), np.float32)
+    inter = np.zeros((len(lists[:first]), len(lists)), np.float32)
     for lo in range(0, int(several.sum()), 2048):
         some = slice(*np.searchsorted(ids, (lo, lo + 2048)))
         dense = np.zeros((len(lists), 2048), np.float32)
         dense[who[some], ids[some] - lo] = 1
-        inter += dense @ dense.T
+        inter += dense[:first] @ dense.T
     return inter
 
 
-def spanning_links(n: np.ndarray, part: np.ndarray, aparts: list[np.ndarray], across: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+def spanning_links(
+    n: np.ndarray, part: np.ndarray, aparts: list[np.ndarray], across: np.ndarray | None, percent: int, first: int | None = None
+) -> list[tuple[int, int]]:
     """Links (positions) that join whatever linked members join, from differences from one hub: a tree of them.
 
     Two sets differ in as many shingles as their differences from a third set do.  `part`: what is joined
-    before.  With `across`, only members with other values there are compared.
+    before.  With `across`, only members with other values there are compared; with `first`, only pairs with one
+    of the first members.
     """
     sizes = np.array(list(map(len, aparts)))
-    ok = differ_little(sizes[:, None] + sizes[None] - 2 * intersections(aparts), n[:, None] + n[None], percent)
+    ok = differ_little(sizes[:first, None] + sizes[None] - 2 * intersections(aparts, first), n[:first, None] + n[None], percent)
     if across is not None:
-        ok &= across[:, None] != across[None]
-    root = reachable(ok | (part[:, None] == part[None]))
+        ok &= across[:first, None] != across[None]
+    joined = part[:, None] == part[None]
+    joined[:first] |= ok
+    joined[:, :first] |= ok.T
+    root = reachable(joined)
     found = {(part[i], part[root[i]]): (int(i), int(root[i])) for i in np.flatnonzero(part != part[root])}
     return list(found.values())
 
@@ -300,7 +306,7 @@ def in_parts(pairs: DataFrame, keep) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, keep) -> DataFrame:
-    """Links (a, b) between each hub and its members (node, hub), and between members of equal parts.
+    """Links (a, b) between each hub and its members (node, hub), and between members of equal parts: as many as join what is linked.
 
     Members of hubs with several parts also come as rows without b: with their part, size and the
     hashes in just one of their and their hub's sets.
@@ -312,13 +318,14 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, keep)
     names = ["doc_id", "hub", "part", "parts"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, own, held = None, None, []  # the part at hand, its hub's set, members that aren't linked to the hub
+        here, own, held, near = None, None, [], []  # the part at hand, its hub's set, members that aren't linked to the hub, those that are
 
         def ended() -> list[tuple]:
-            if len(held) < 2:
+            if not held or len(held) + len(near) < 2:
                 return []
-            nodes, sizes, aparts = zip(*held, strict=True)
-            links = spanning_links(np.array(sizes), np.arange(len(held)), list(aparts), None, percent)
+            nodes, sizes, aparts = zip(*held, *near, strict=True)
+            joined = np.minimum(np.arange(len(nodes)), len(held))  # all of `near` are, by the hub
+            links = spanning_links(np.array(sizes), joined, list(aparts), None, percent, len(held))
             return [(nodes[i], nodes[j], None, None, None, None) for i, j in links]
 
         for batch in batches:
@@ -329,13 +336,14 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, keep)
                 mine = flat[at[i] : at[i + 1]]
                 if (hub[i], part[i]) != here:
                     rows += ended()
-                    here, own, held = (hub[i], part[i]), mine.copy(), []  # the hub sorts before its members
+                    here, own, held, near = (hub[i], part[i]), mine.copy(), [], []  # the hub sorts before its members
                     continue
                 if not len(mine):  # another row of an id, without words
                     continue
                 apart = np.setxor1d(mine, own, assume_unique=True)
                 if differ_little(len(apart), len(mine) + len(own), percent):
                     rows.append((int(hub[i]), int(node[i]), None, None, None, None))
+                    near.append((int(node[i]), len(mine), apart))
                 else:
                     held.append((int(node[i]), len(mine), apart))
                 if parts[i] > 1:
@@ -345,7 +353,9 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, keep)
         if rows := ended():
             yield member_rows(rows)
 
-    dealt = with_sets(docs, sent, width).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("doc_id") != F.col("hub"), "doc_id")
+    # Of a hub's texts, where its id has several, the same one comes first in every part: differences from it meet in further_links.
+    order = ["hub", "part", F.col("doc_id") != F.col("hub"), "doc_id", F.desc("shingles")]
+    dealt = with_sets(docs, sent, width).repartition("hub", "part").sortWithinPartitions(*order)
     return keep(dealt.mapInArrow(lean(compare), VERIFIED), SET_ROWS)
 
 
