@@ -51,6 +51,15 @@ def test_each_stage_takes_nulls_repeats_ties_and_clashing_names(spark, tmp_path)
     assert sorted({k for k, _ in kept["packing"]}) == sorted({str(c[0]) for c in CASES}) and len(kept["packing"]) == len(CASES)
 
 
+def test_one_of_each_chain_of_near_copies_stays(spark, chains):
+    rows = [(k, t, "en", "s", len(t)) for k, t in chains]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    want = set()
+    for k in range(0, len(chains), 3):
+        want |= {d for d, (_, c) in brute_components(chains[k : k + 3], percent=80, width=5).items() if c == d}
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(want)
+
+
 def test_run_equals_a_plain_version(spark):
     sf = "/root/testdata/sf0.001"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -174,17 +174,6 @@ def test_jaccard_of_ids_that_repeat_with_other_texts(spark):
     assert ngramjoin.components_of(df).count() == len(rows)
 
 
-@pytest.fixture(scope="session")
-def chains():
-    """Threes of texts of which the middle one alone is linked with both others, under 3 words / 90 or 5 / 80."""
-    rows = []
-    for k in range(150):
-        width, size = (3, 9 + k // 2 % 3) if k % 2 else (5, 5 + k // 2 % 5)
-        words = [f"w{k}x{i}" for i in range(size + width - 1)]
-        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join([*words, "y"])), (3 * k + 2, " ".join([*words, "y", "z"]))]
-    return rows
-
-
 def test_a_member_that_is_not_linked_to_its_hub_meets_those_that_are(spark, chains, monkeypatch):
     want = {}
     for k in range(0, len(chains), 3):
