@@ -13,30 +13,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.sources.scratch import file_system_of, shared_dir
+from parley.sources.scratch import file_system_of, settings, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@contextmanager
-def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
-    """SQL settings for the jobs that are run inside the block; the session's own come back after it."""
-    names = {k.replace("__", "."): v for k, v in conf.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-
-
 #: A saved table has at least so many files for each core, where its job has as many tasks, and else one for so many
 #: of the session's shuffle partitions, which a task then takes one after another.
 FILES_A_CORE, PARTITIONS_A_FILE = 3, 3

@@ -15,7 +15,7 @@ from parley.functions.text import clean_or_raw
 from parley.operators import features, responsiveness, rolling, similarity, unitize
 from parley.schema import CATEGORIES, EPS, MICRO_CATEGORIES, MIN_TURN_WORDS, ROLLING_WINDOW, WINDOW_MINUTES, ZERO_TOL
 from parley.sources.sinks import save
-from parley.sources.transcripts import of_round, read_conversations, warn_of_corrupt_files
+from parley.sources.transcripts import file_rows, of_round, read_conversations, warn_of_corrupt_files
 
 GENDERS = ("female", "male")
 META = ("file_basename", "female_id", "male_id", "dyad_id", "round_num", "round_label")
@@ -165,14 +165,15 @@ def run_lsm(
     temporal: bool = False, minutes: float = WINDOW_MINUTES, categories: Sequence[str] = CATEGORIES
 ) -> list[str]:
     """Reads, scores and writes static (and temporal) similarity; returns the names written."""
-    warn_of_corrupt_files(spark, data_dir)
-    conversations = of_round(read_conversations(spark, data_dir), round_number)
-    tables = lsm_tables(
-        conversations, Dictionary.read(spark, dictionary_path), categories, minutes if temporal else None,
-        dictionary_path.rsplit("/", 1)[-1]
-    )
-    ending = {1: "_1st", 2: "_2nd", None: ""}[round_number]
-    return [k for k, v in tables.items() if save(v, results_dir, k + ending, order=("female_id", "male_id", "file_path"))]
+    with file_rows(spark, data_dir, results_dir) as rows:
+        warn_of_corrupt_files(spark, data_dir, rows)
+        conversations = of_round(read_conversations(spark, data_dir, rows=rows), round_number)
+        tables = lsm_tables(
+            conversations, Dictionary.read(spark, dictionary_path), categories, minutes if temporal else None,
+            dictionary_path.rsplit("/", 1)[-1]
+        )
+        ending = {1: "_1st", 2: "_2nd", None: ""}[round_number]
+        return [k for k, v in tables.items() if save(v, results_dir, k + ending, order=("female_id", "male_id", "file_path"))]
 
 
 def run_rlsm(
@@ -180,10 +181,11 @@ def run_rlsm(
     categories: Sequence[str] = CATEGORIES
 ) -> list[str]:
     """Reads, scores and writes all tables of the directional measure; returns the names written."""
-    warn_of_corrupt_files(spark, data_dir)
-    tables = rlsm_tables(read_conversations(spark, data_dir), Dictionary.read(spark, dictionary_path), options, categories)
-    turns = tables.pop("_turns")
-    order = {"rlsm_conversations": ("female_id", "male_id", "file_path"), "rlsm_errors": ("file_path",)}
-    written = [k for k, v in tables.items() if save(v, results_dir, k, order=order.get(k, ()))]
-    turns.unpersist()
-    return written
+    with file_rows(spark, data_dir, results_dir) as rows:
+        warn_of_corrupt_files(spark, data_dir, rows)
+        tables = rlsm_tables(read_conversations(spark, data_dir, rows=rows), Dictionary.read(spark, dictionary_path), options, categories)
+        turns = tables.pop("_turns")
+        order = {"rlsm_conversations": ("female_id", "male_id", "file_path"), "rlsm_errors": ("file_path",)}
+        written = [k for k, v in tables.items() if save(v, results_dir, k, order=order.get(k, ()))]
+        turns.unpersist()
+        return written

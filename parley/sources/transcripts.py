@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,14 +13,26 @@ from pyspark.sql.types import StructType
 
 from parley.functions.names import dyad_id, flag, id_in_name, number_of_id, round_label, round_number
 from parley.schema import CSV_TURNS
+from parley.sources.scratch import file_system_of, settings
 
 # Headers of the preference table.
 PREFERENCE_NAMES = {"女性ID": "female_id", "男性ID": "male_id", "女性の交換意欲": "want_female", "男性の交換意欲": "want_male"}
 
 
+#: Tasks for each core that list folders; by default Spark takes one for each folder, up to 10,000.
+LISTING_TASKS = 8
+
+
+def listing(spark: SparkSession):
+    """Settings for a reader of many folders."""
+    return settings(spark, spark__sql__sources__parallelPartitionDiscovery__parallelism=str(LISTING_TASKS * spark.sparkContext.defaultParallelism))
+
+
 def header_columns(spark: SparkSession, data_dir: str) -> int:
     """Columns of the widest header among the folder's files, or more: of any line with the names that a header must have."""
-    lines = spark.read.text(data_dir, pathGlobFilter="*.csv").where(F.lower("value").contains("text") & F.lower("value").contains("speaker"))
+    with listing(spark):
+        lines = spark.read.text(data_dir, pathGlobFilter="*.csv")
+    lines = lines.where(F.lower("value").contains("text") & F.lower("value").contains("speaker"))
     return lines.agg(F.max(F.regexp_count("value", F.lit(",")) + 1)).first()[0] or 1
 
 
@@ -28,10 +43,11 @@ def _file_rows(spark: SparkSession, data_dir: str) -> DataFrame:
     """
     width = header_columns(spark, data_dir) + 1  # one more shows rows that are longer than every header
     cells = ", ".join(f"c{k} string" for k in range(width))
-    rows = spark.read.schema(cells).csv(
-        data_dir, pathGlobFilter="*.csv", multiLine=True, lineSep="\n", escape='"', mode="PERMISSIVE",
-        maxColumns=max(20480, width + 1)
-    )
+    with listing(spark):
+        rows = spark.read.schema(cells).csv(
+            data_dir, pathGlobFilter="*.csv", multiLine=True, lineSep="\n", escape='"', mode="PERMISSIVE",
+            maxColumns=max(20480, width + 1)
+        )
     rows = rows.select(
         F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("at"),
         F.array(*(F.rtrim(F.col(f"c{k}"), F.lit("\r")) for k in range(width))).alias("v")
@@ -44,25 +60,43 @@ def _file_rows(spark: SparkSession, data_dir: str) -> DataFrame:
     return rows.withColumn("names", F.transform("header", lambda x: F.lower(F.regexp_replace(x, r"(?U)^[\s\uFEFF]+|\s+$", ""))))
 
 
-def corrupt_files(spark: SparkSession, data_dir: str) -> DataFrame:
-    """file_path of each file that read_conversations leaves out as corrupt."""
-    return _file_rows(spark, data_dir).where("corrupt").select("file_path").distinct()
+@contextmanager
+def file_rows(spark: SparkSession, data_dir: str, scratch_dir: str) -> Iterator[DataFrame]:
+    """The files' rows for several readers: listed and parsed once, into a table under scratch_dir that goes when the block ends."""
+    path = f"{scratch_dir.rstrip('/')}/_rows-{uuid.uuid4().hex}"
+    files, at = file_system_of(spark, path)
+    rows = _file_rows(spark, data_dir)
+    try:
+        rows.write.parquet(path)
+        yield spark.read.schema(rows.schema).parquet(path)
+    finally:
+        files.delete(at, True)
+
+
+def corrupt_files(spark: SparkSession, data_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """file_path of each file that read_conversations leaves out as corrupt; `rows`: those of file_rows, if at hand."""
+    rows = _file_rows(spark, data_dir) if rows is None else rows
+    return rows.where("corrupt").select("file_path").distinct()
 
 
-def warn_of_corrupt_files(spark: SparkSession, data_dir: str) -> None:
-    if some := [r[0] for r in corrupt_files(spark, data_dir).limit(20).collect()]:
+def warn_of_corrupt_files(spark: SparkSession, data_dir: str, rows: DataFrame | None = None) -> None:
+    if some := [r[0] for r in corrupt_files(spark, data_dir, rows).limit(20).collect()]:
         warnings.warn(f"corrupt files are left out: {', '.join(some)}{' and more' if len(some) == 20 else ''}", stacklevel=2)
 
 
-def read_conversations(spark: SparkSession, data_dir: str, schema: str | StructType = CSV_TURNS) -> DataFrame:
+def read_conversations(
+    spark: SparkSession, data_dir: str, schema: str | StructType = CSV_TURNS, rows: DataFrame | None = None
+) -> DataFrame:
     """All *.csv directly under a folder: file_path, file_basename, turn, ids, round and the file's columns.
 
     Columns go by each file's own header, of any width; those that a file lacks are null, and so are values of
     another type.  A file is read by one task, so its lines keep their order, and a turn's number is its row's
-    place.  Files without text or speaker give no rows, and neither do corrupt ones.
+    place.  Files without text or speaker give no rows, and neither do corrupt ones.  `rows`: those of file_rows, if
+    at hand.
     """
     wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    rows = _file_rows(spark, data_dir).where("not corrupt").where(F.array_contains("names", "text") & F.array_contains("names", "speaker"))
+    rows = _file_rows(spark, data_dir) if rows is None else rows
+    rows = rows.where("not corrupt").where(F.array_contains("names", "text") & F.array_contains("names", "speaker"))
     picked = [F.get("v", F.nullif(F.array_position("names", f.name), F.lit(0)).cast("int") - 1).try_cast(f.dataType).alias(f.name) for f in wanted]
     base = F.element_at(F.split("file_path", "/"), -1)
     f, m, k = id_in_name(base, "F"), id_in_name(base, "M"), round_number(base)

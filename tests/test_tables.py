@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import names
 from parley.operators import merge
+from parley.plans import runs
 from parley.plans.cli import main, parser
 from parley.queries import ORACLES, QUERIES
 from parley.schema import CATEGORIES
@@ -178,3 +179,23 @@ def test_streaming(spark, tmp_path):
     q.stop()
     got = spark.table("scores").collect()
     assert [(r.total_1, r.total_2, r.lsm_p) for r in got] == [(3, 3, 1.0)]
+
+
+def test_studies_list_and_parse_many_files_once_in_few_tasks(spark, tmp_path, monkeypatch):
+    for k in range(80):
+        (tmp_path / "data" / f"d{k}").mkdir(parents=True)
+        (tmp_path / "data" / f"d{k}" / f"F{k:03d}_M{k:03d}.csv").write_text("speaker,text\n" + "Woman,I am the one\nman,you are the other\n" * 5)
+    (tmp_path / "a.dic").write_text("%\n1 ppron\n2 article\n%\ni 1\nyou 1\nthe 2\n")
+    parsed, parse = [], transcripts._file_rows
+    monkeypatch.setattr(transcripts, "_file_rows", lambda *a: parsed.append(1) or parse(*a))
+    monkeypatch.setattr(transcripts, "LISTING_TASKS", 2, raising=False)
+    for study, table in ((runs.run_lsm, "lsm_results"), (runs.run_rlsm, "rlsm_conversations")):
+        parsed.clear()
+        spark.sparkContext.setJobGroup(table, "a study")
+        study(spark, f"{tmp_path}/data/*", str(tmp_path / "a.dic"), str(tmp_path / table))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs = spark.sparkContext.statusTracker()
+        stages = [s for j in jobs.getJobIdsForGroup(table) for s in jobs.getJobInfo(j).stageIds]
+        assert len(parsed) == 1 and max(x.numTasks for x in map(jobs.getStageInfo, stages) if x) < 80
+        assert spark.read.parquet(f"{tmp_path}/{table}/{table}_full").count() == 80
+        assert not list((tmp_path / table).glob("_rows*"))
