@@ -256,3 +256,27 @@ def test_own_tokeniser(spark):
     d = Dictionary.of({"ppron": ["Dog"], "ipron": ["c*"]})
     got = features.token_counts(df, ["conv_id"], d, ["ppron", "ipron"], fold_case=False).collect()
     assert {(r.conv_id, r.category, r.n) for r in got} == {(1, "ppron", 1), (1, "ipron", 1)}
+
+
+def test_own_tokens_are_python_objects_for_a_bounded_number_of_texts_only(spark):
+    from parley.operators.tokenise import tokeniser
+
+    def factory():
+        import tracemalloc
+
+        tracemalloc.start()
+
+        def tokens(text):
+            used = str(tracemalloc.get_traced_memory()[0])
+            if text == "last":
+                tracemalloc.stop()
+            return [{"text": w, "lemma": used} for w in text.split()]
+
+        return tokens
+
+    texts = [None, "", *(f"first{k} " + f"word{k} " * 60 for k in range(4000)), "last"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string").coalesce(1)
+    got = df.select("k", tokeniser(factory)(F.col("text")).alias("t")).orderBy("k").collect()
+    assert [[x.text for x in r.t] for r in got] == [(t or "").split() for t in texts]
+    assert {(x.pos, x.is_space, x.is_punct) for r in got for x in r.t} == {(None, False, False)}
+    assert max(int(x.lemma) for r in got for x in r.t) < 40e6
