@@ -19,6 +19,7 @@ from parley.operators import features, merge, responsiveness, rolling, similarit
 from parley.plans.runs import levels, run_lsm, run_rlsm
 from parley.schema import CATEGORIES, MICRO_CATEGORIES
 from parley.sources.scratch import file_system_of, shared_dir
+from parley.sources.sinks import write_conversations
 from parley.sources.transcripts import read_conversations
 
 SPEAKERS = ("user", "assistant")
@@ -686,21 +687,13 @@ def rlsm_rw_merge(spark, sf_dir):
 # ---- studies from files to result tables ---------------------------------------------------------
 
 
-#: How a file for each conversation is written to a local disk: without checksum files.  Each file and folder made there
-#: starts processes to set permissions, which take most of the time: three for a file with a checksum file, one without.
-NO_CHECKSUMS = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
-
-
 def _study(spark, sf_dir) -> str:
     """A shared folder with a conversation file for each conversation (data/*) and the dictionary (sample.dic)."""
     folder = f"{shared_dir(spark).rstrip('/')}/study-{uuid.uuid4().hex}"
     files, at = file_system_of(spark, folder)
     files.deleteOnExit(at)
     speaker = F.when(F.col("speaker") == "user", "Woman").otherwise("man").alias("speaker")
-    rows = turns(spark, sf_dir).select(
-        "conv_id", "turn", speaker, "text", "start", "end"
-    ).repartition("conv_id").sortWithinPartitions("conv_id", "turn")
-    rows.drop("turn").write.partitionBy("conv_id").options(**NO_CHECKSUMS).csv(f"{folder}/data", header=True, escape='"', quoteAll=True)
+    write_conversations(turns(spark, sf_dir).select("conv_id", "turn", speaker, "text", "start", "end"), f"{folder}/data")
     ids = {c: k for k, c in enumerate(SAMPLE.labels, 1)}
     lines = ["%", *(f"{k} {c}" for c, k in ids.items()), "%", *(" ".join([p, *(str(ids[c]) for c in cs)]) for p, cs in SAMPLE.entries)]
     spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{folder}/sample.dic")
@@ -709,7 +702,7 @@ def _study(spark, sf_dir) -> str:
 
 def _study_results(spark, folder: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{folder}/results/{name}_full")
-    return rows.withColumn("conv_id", F.regexp_extract("file_path", r"conv_id=(\d+)/", 1).cast("long"))
+    return rows.withColumn("conv_id", F.regexp_extract("file_path", r"conv_id=(\d+)[/.]", 1).cast("long"))
 
 
 @query(

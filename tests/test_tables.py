@@ -4,13 +4,14 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from parley import queries
 from parley.functions import names
 from parley.operators import merge
 from parley.plans import runs
 from parley.plans.cli import main, parser
 from parley.queries import ORACLES, QUERIES
 from parley.schema import CATEGORIES
-from parley.sources import transcripts
+from parley.sources import sinks, transcripts
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -199,3 +200,33 @@ def test_studies_list_and_parse_many_files_once_in_few_tasks(spark, tmp_path, mo
         assert len(parsed) == 1 and max(x.numTasks for x in map(jobs.getStageInfo, stages) if x) < 80
         assert spark.read.parquet(f"{tmp_path}/{table}/{table}_full").count() == 80
         assert not list((tmp_path / table).glob("_rows*"))
+
+
+def test_a_study_writes_many_files_to_a_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "shared_dir", lambda spark: str(tmp_path))
+    folder = queries._study(spark, DATA)
+    files = list((tmp_path / folder.rsplit("/", 1)[-1]).glob("data/*/*.csv"))
+    assert len(files) == spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id").distinct().count()
+    assert len({f.parent for f in files}) <= 4 < len(files)  # 4 shuffle partitions
+
+
+def test_conversation_files_equal_those_of_sparks_writer(spark, tmp_path, monkeypatch):
+    rows = [
+        (7, 1, " a ", None, 1.0), (7, 0, None, 'say "x", \\ ok\\', 1e-9), (7, 2, "", "", 1e12), (8, 0, "u", "a\r\nb\rc\n\n", 3.0),
+        (None, 0, "u", "\ufeff日本 \U0001f600", 3.0), (9, 5, "u", "\ttab  ", float("nan")), (9, 4, "m", "first", None)
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, speaker string, text string, start double").repartition(3)
+    place = sinks.file_system_of
+    got = {}
+    for scheme in ("file", "other"):
+        fs = type("FileSystem", (), {"getScheme": lambda self, s=scheme: s, "mkdirs": lambda self, at: place(spark, at.toString())[0].mkdirs(at)})()
+        monkeypatch.setattr(sinks, "file_system_of", lambda spark, path, fs=fs: (fs, place(spark, path)[1]))
+        sinks.write_conversations(turns, str(tmp_path / scheme))
+        files = [f for f in (tmp_path / scheme).rglob("*.csv") if not f.name.startswith(".")]
+        got[scheme] = {(f.stem if scheme == "file" else f.parent.name): f.read_bytes() for f in files}
+        assert len(files) == len(got[scheme]) == 4
+    assert got["file"] == got["other"]
+    again = transcripts.read_conversations(spark, f"{tmp_path}/file/*").where("file_path like '%conv_id=9.csv'").orderBy("turn").collect()
+    assert [(r.turn, r.speaker, r.text) for r in again] == [(0, "m", "first"), (1, "u", "tab")]
+    sinks.write_conversations(turns.where("false"), str(tmp_path / "none"))
+    assert transcripts.read_conversations(spark, f"{tmp_path}/none/*").count() == 0
