@@ -1,11 +1,12 @@
 """The pipeline: contracts of its stages, and run() against a plain version on a small table."""
 
 import collections
+import random
 
 import corpus_pipeline
 from tests.llm.test_text_operators import brute_components, check_packing, plain_spans
 
-from parley.llm import languageid, qualityclassifier
+from parley.llm import languageid, ngramjoin, qualityclassifier
 
 
 def test_stages(spark, docs, empty):
@@ -60,6 +61,32 @@ def test_one_of_each_chain_of_near_copies_stays(spark, chains):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(want)
 
 
+def test_near_copies_in_several_parts_of_a_hub_keep_one_of_each_component(spark, monkeypatch):
+    r = random.Random(3)
+    rows = []
+    for g in range(24):
+        texts = [[f"g{g}w{i}" for i in range(r.choice((8, 9, 10, 14, 24)))]]
+        for k in range(8):
+            words = list(r.choice(texts))
+            texts.append(words[1:] if k % 3 == 0 else [*words, f"m{g}x{k}"])
+        rows += [" ".join(t) for t in texts]
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    want = sorted(k for k, (_, c) in brute_components(rows, percent=80, width=5).items() if k == c)
+    monkeypatch.setattr(ngramjoin, "GROUP", 2)  # parts of two members: most groups have several
+    found, further = [], ngramjoin.further_links
+
+    def counted(*given):
+        found.append(further(*given))
+        assert found[0].count() > 0
+        return found[0]
+
+    monkeypatch.setattr(ngramjoin, "further_links", counted)
+    assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
+    assert found and 24 < len(want) < len(rows) // 2
+
+
 def test_run_equals_a_plain_version(spark):
     sf = "/root/testdata/sf0.001"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
